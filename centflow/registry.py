@@ -16,7 +16,7 @@ from centflow.sources import tables, topics
 from centflow.sources.testviews import VIEWS, needs, view
 from centflow.streaming import carried, stateful, windows
 
-DAY = date(1997, 5, 28)
+DAY = date(1997, 2, 13)
 FROM, TO = date(1996, 1, 1), date(1999, 6, 30)
 STATES = [sc.AUTHORIZED, sc.FLAGGED, sc.SETTLED]
 
@@ -167,9 +167,10 @@ def _warehouse_export(v: Views) -> DataFrame:
     days = v.discrepancies
     stored = scratch_path(v.spark, "discrepancies")
     tables.append(days, stored, ["run_date"])
-    tables.export_run_date(v.spark.read.parquet(stored), DAY, path)
-    out = v.spark.read.parquet(path)
-    return out.select("transaction_id", "discrepancy_type", "diff_cents", "merchant_id", F.col("run_date"))
+    table = v.spark.read.schema(days.schema).parquet(stored)
+    exported = tables.export_run_date(table, DAY, path)
+    out = v.spark.read.schema(days.schema).parquet(path) if exported else table.limit(0)
+    return out.select("transaction_id", "discrepancy_type", "diff_cents", "merchant_id", "run_date")
 
 
 def _append_rows(v: Views) -> DataFrame:

@@ -1,10 +1,19 @@
 """Keyed JSON messages: reading a topic as a stream, and serialising rows for one."""
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from centflow import schemas as sc
 
 
+# Microseconds and an offset, so that a message carries the exact instant.
+JSON_OPTIONS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "ignoreNullFields": "false"}
+
+
+def as_json(*columns: str) -> Column:
+    """One JSON object of the columns."""
+    return F.to_json(F.struct(*columns), JSON_OPTIONS)
+
+
 def parse_messages(messages: DataFrame, schema: T.StructType = sc.VALIDATED_EVENT) -> DataFrame:
     """Columns of the JSON in ``value``."""
     return messages.select(F.from_json(F.col("value").cast("string"), schema).alias("data")).select("data.*")
@@ -27,7 +36,7 @@ def to_topic(df: DataFrame, topic: str, key: str) -> DataFrame:
     """(topic, key, value): one JSON message per row, ready for a batch or streaming write."""
     return df.select(
         F.lit(topic).alias("topic"), F.col(key).cast("string").alias("key"),
-        F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"),
+        as_json(*df.columns).alias("value"),
     )
 
 

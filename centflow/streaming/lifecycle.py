@@ -11,7 +11,7 @@ from centflow import schemas as sc
 from centflow.operators import intake, lifecycle, validate as rules
 from centflow.plans.scoring import score_events
 from centflow.sources.tables import read_features
-from centflow.sources.topics import to_topic
+from centflow.sources.topics import as_json, to_topic
 from centflow.streaming.stateful import stream_rate_limit
 from centflow.streaming.windows import stream_dedup, trigger
 
@@ -59,7 +59,7 @@ def process_batch(batch: DataFrame, batch_id: int, model: PipelineModel, tables:
     _store(to_topic(ways["alert"], sc.TOPIC_ALERT, "event_id"), tables, "alerts", batch_id)
 
     as_payload = ways["ledger"].select(
-        F.to_json(F.struct("*")).alias("payload"), F.current_timestamp().alias("received_at")
+        as_json("*").alias("payload"), F.current_timestamp().alias("received_at")
     )
     booked = rules.validate_ledger(as_payload)
     good = booked.where(F.col("failure_reason").isNull())
@@ -72,7 +72,7 @@ def process_batch(batch: DataFrame, batch_id: int, model: PipelineModel, tables:
 
     _store(
         ways["review"].select(
-            F.col("event_id").alias("transaction_id"), "risk_score", F.to_json(F.struct("*")).alias("payload"),
+            F.col("event_id").alias("transaction_id"), "risk_score", as_json("*").alias("payload"),
             F.current_timestamp().alias("created_at"), F.lit("PENDING").alias("status"),
         ),
         tables, "manual_review_queue", batch_id,
