@@ -213,6 +213,15 @@ SELECT window_start, window_start + INTERVAL 5 MINUTE AS window_end, merchant_id
   FROM {payment_events}, (VALUES (0), (1), (2), (3), (4)) AS s(k)) q GROUP BY 1, 3"""
 
 
+_LIVE = f"""
+SELECT p.event_id, p.merchant_id, CAST(v.tx_velocity_1m AS DOUBLE) AS tx_velocity_1m, CAST(v.tx_velocity_5m AS DOUBLE) AS tx_velocity_5m,
+  round(z.z, 4) AS amount_zscore, coalesce(r.score, 0.5) AS merchant_risk_score, CAST(d.device_switch_flag AS DOUBLE) AS device_switch_flag,
+  CAST(p.hour_of_day AS DOUBLE) AS hour_of_day, CAST(p.weekend_flag AS DOUBLE) AS weekend_flag, p.amount_cents_log
+FROM ({_ENRICHED}) p JOIN ({_velocity(tx_velocity_1m="'1' MINUTE", tx_velocity_5m="'5' MINUTE")}) v ON v.event_id = p.event_id
+JOIN ({_RUNNING_Z}) z ON z.event_id = p.event_id JOIN ({_DEVICE}) d ON d.event_id = p.event_id
+LEFT JOIN {{merchant_risk}} r ON r.merchant_id = p.merchant_id"""
+
+
 def _error_rate(trunc: str, threshold: float) -> str:
     return f"""
 SELECT {trunc} AS window_start, count(*) AS requests, round(avg(CASE WHEN is_error THEN 1 ELSE 0 END), 6) AS error_rate,
@@ -413,13 +422,10 @@ FROM {ledger_entries} GROUP BY transaction_id HAVING balance_cents <> 0""",
     "score_fallback": f"SELECT event_id, risk_score, is_high_risk, manual_review FROM ({_SCORED}) s",
     "reconstruct_features": _reconstructed(_HISTORY),
     "reconstruct_features_range": _reconstructed(_HISTORY + _RANGE),
-    "live_features": f"""
-SELECT p.event_id, p.merchant_id, CAST(v.tx_velocity_1m AS DOUBLE) AS tx_velocity_1m, CAST(v.tx_velocity_5m AS DOUBLE) AS tx_velocity_5m,
-  round(z.z, 4) AS amount_zscore, coalesce(r.score, 0.5) AS merchant_risk_score, CAST(d.device_switch_flag AS DOUBLE) AS device_switch_flag,
-  CAST(p.hour_of_day AS DOUBLE) AS hour_of_day, CAST(p.weekend_flag AS DOUBLE) AS weekend_flag, p.amount_cents_log
-FROM ({_ENRICHED}) p JOIN ({_velocity(tx_velocity_1m="'1' MINUTE", tx_velocity_5m="'5' MINUTE")}) v ON v.event_id = p.event_id
-JOIN ({_RUNNING_Z}) z ON z.event_id = p.event_id JOIN ({_DEVICE}) d ON d.event_id = p.event_id
-LEFT JOIN {{merchant_risk}} r ON r.merchant_id = p.merchant_id""",
+    "feature_vector": f"""
+SELECT event_id, tx_velocity_1m AS f0, tx_velocity_5m AS f1, amount_zscore AS f2, round(merchant_risk_score, 4) AS f3, device_switch_flag AS f4,
+  hour_of_day AS f5, weekend_flag AS f6, round(ln(1 + amount_cents), 4) AS f7 FROM ({_LIVE}) l JOIN {{payment_events}} e USING (event_id)""",
+    "live_features": _LIVE,
     "dq_not_null": _DQ_NOT_NULL,
     "dq_unique": _DQ_UNIQUE,
     "dq_accepted_values": _DQ_ACCEPTED,

@@ -144,8 +144,10 @@ def _model_auc(v: Views) -> DataFrame:
 
 
 def _feature_vector(v: Views) -> DataFrame:
+    """The vector's slots as columns, in canonical order."""
     df = model.feature_vector(features.live_features(v.payment_events, v.merchant_risk))
-    return df.select("event_id", F.transform(vector_to_array("features"), lambda x: F.round(x, 6)).alias("features"))
+    slots = vector_to_array("features")
+    return df.select("event_id", *[F.round(slots[i], 4).alias(f"f{i}") for i in range(len(sc.FEATURE_ORDER))])
 
 
 def _messages(df: DataFrame) -> DataFrame:

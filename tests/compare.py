@@ -23,7 +23,7 @@ def _plain(value):
     if value is None or (isinstance(value, float) and math.isnan(value)):
         return None
     if isinstance(value, float):
-        return round(value, 4) + 0.0
+        return value + 0.0
     if isinstance(value, list):
         return tuple(_plain(v) for v in value)
     if hasattr(value, "tzinfo") and value.tzinfo is not None:
