@@ -39,7 +39,7 @@ def stg_transactions(state_log: DataFrame, ledger: DataFrame) -> DataFrame:
     debits = _debits(ledger).select(
         "transaction_id", "amount_cents", "currency", F.col("created_at").alias("settled_at")
     )
-    return fan_out_left(latest_state(state_log), debits, ["transaction_id"])
+    return fan_out_left(latest_state(state_log), debits, "transaction_id")
 
 
 def dim_merchants(ledger: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 """Equi-joins that stay balanced when one key holds a large share of the rows."""
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 HOT_SHARE = 1 / 500
@@ -8,22 +10,63 @@ MAX_HOT_KEYS = 64
 _TRACKED = 4096
 
 
-def key_hash(keys: list[str]) -> Column:
-    return F.xxhash64(*[F.col(k) for k in keys])
+@dataclass
+class Hot:
+    """Join keys that hold an outsized share of the rows; ``nulls`` if the null key does."""
+
+    keys: list[str]
+    values: list
+    nulls: bool
+
+    def __bool__(self) -> bool:
+        return bool(self.values) or self.nulls
+
+    def holds(self) -> Column:
+        """True for rows whose key is one of the hot values."""
+        return F.coalesce(_probe(self.keys).isin(self.values), F.lit(False)) if self.values else F.lit(False)
+
 
+def _probe(keys: list[str]) -> Column:
+    """The key itself, or the hash of a composite one."""
+    return F.col(keys[0]) if len(keys) == 1 else F.xxhash64(*[F.col(k) for k in keys])
 
-def hot_hashes(df: DataFrame, keys: list[str], min_rows: int | None = None) -> list[int]:
-    """Hashes of the join keys that hold an outsized share of ``df``; at most ``MAX_HOT_KEYS``.
+
+def find_hot(df: DataFrame, keys: list[str], min_rows: int | None = None) -> Hot:
+    """Look for hot keys; at most ``MAX_HOT_KEYS``.
 
     One pass over the key columns with a mergeable frequent-items sketch: nothing but the sketches
     is shuffled and the answer has a fixed size. It only steers the spreading of rows, results never
     depend on it.
     """
     min_rows = HOT_MIN_ROWS if min_rows is None else min_rows
-    top = F.expr(f"approx_top_k(h, {MAX_HOT_KEYS}, {_TRACKED})")
-    row = df.select(key_hash(keys).alias("h")).agg(F.count("*").alias("n"), top.alias("top")).first()
+    null = F.lit(False)
+    for k in keys:
+        null = null | F.col(k).isNull()
+    row = df.select(null.alias("null"), F.when(~null, _probe(keys)).alias("k")).agg(
+        F.count("*").alias("n"), F.count_if("null").alias("nulls"),
+        F.expr(f"approx_top_k(k, {MAX_HOT_KEYS}, {_TRACKED})").alias("top"),
+    ).first()
     limit = max(min_rows, row["n"] * HOT_SHARE)
-    return [item["item"] for item in row["top"] or [] if item["count"] >= limit]
+    values = [i["item"] for i in row["top"] or [] if i["item"] is not None and i["count"] >= limit]
+    return Hot(keys, values, row["nulls"] >= limit)
+
+
+def _salted(many: DataFrame, one: DataFrame, hot: Hot) -> tuple[DataFrame, DataFrame]:
+    """Spread the hot rows of ``many`` over salts and repeat the hot rows of ``one`` once per salt.
+
+    The salt is a hash of the whole row, so a recomputed task puts a row where it was before.
+    """
+    salts = max(8, int(many.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in many.columns]), F.lit(salts))
+    spread = hot.holds()
+    for k in hot.keys:
+        spread = spread | F.col(k).isNull()
+    every = F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))
+    first = F.array(F.lit(0).cast("long"))
+    return (
+        many.withColumn("_salt", F.when(spread, salt).otherwise(F.lit(0).cast("long"))),
+        one.withColumn("_salt", F.explode(F.when(hot.holds(), every).otherwise(first))),
+    )
 
 
 def spread_join(
@@ -36,37 +79,27 @@ def spread_join(
 ) -> DataFrame:
     """Join ``many`` (any number of rows per key) to ``one`` (few rows per key) on ``keys``.
 
-    Rows of ``many`` with a hot key are spread over salts and the matching rows of ``one`` are
-    repeated once per salt, so no task gets a whole hot key. ``how`` is seen from ``many``:
-    inner, left, left_semi or left_anti. ``hot_from`` names a cheaper frame with the same keys to
-    look for hot keys in, e.g. the stored table that ``many`` is derived from.
+    No task gets a whole hot key. ``how`` is seen from ``many``: inner, left, left_semi or
+    left_anti. ``hot_from`` names a cheaper frame with the same keys to look for hot keys in, e.g.
+    the stored table that ``many`` is derived from.
     """
-    if many.isStreaming:
-        return many.join(one, keys, how)
-    hot = hot_hashes(many if hot_from is None else hot_from, keys, min_rows)
+    hot = None if many.isStreaming else find_hot(many if hot_from is None else hot_from, keys, min_rows)
     if not hot:
         return many.join(one, keys, how)
-    salts = max(8, int(many.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    is_hot = key_hash(keys).isin(hot)
-    row_hash = F.xxhash64(*[F.col(c) for c in many.columns])
-    many = many.withColumn("_salt", F.when(is_hot, F.pmod(row_hash, F.lit(salts))).otherwise(F.lit(0)))
-    every = F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))
-    one = one.withColumn(
-        "_salt", F.explode(F.when(is_hot, every).otherwise(F.array(F.lit(0).cast("long"))))
-    )
+    many, one = _salted(many, one, hot)
     return many.join(one, [*keys, "_salt"], how).drop("_salt")
 
 
-def fan_out_left(one: DataFrame, many: DataFrame, keys: list[str], min_rows: int | None = None) -> DataFrame:
+def fan_out_left(one: DataFrame, many: DataFrame, key: str, min_rows: int | None = None) -> DataFrame:
     """``one LEFT JOIN many``: each row of ``one`` with every match, or once with nulls.
 
-    A left join cannot be split on its right side, so matches come from a spread inner join and the
-    rest from an anti join against the distinct keys of ``many``.
+    A left join cannot be split on its right side. With hot keys the rows of ``one`` are repeated per
+    salt, and the repetitions that find nothing are dropped: a hot key has matches by definition, so
+    its row of ``one`` never needs the null form.
     """
-    matched = spread_join(many, one, keys, "inner", min_rows=min_rows)
-    missing = one.join(many.select(*keys).distinct(), keys, "left_anti")
-    extra = [c for c in many.columns if c not in keys]
-    columns = [*one.columns, *extra]
-    types = dict(many.dtypes)
-    missing = missing.select("*", *[F.lit(None).cast(types[c]).alias(c) for c in extra])
-    return matched.select(*columns).unionByName(missing.select(*columns))
+    hot = find_hot(many.where(F.col(key).isNotNull()), [key], min_rows)
+    if not hot:
+        return one.join(many, key, "left")
+    salted, repeated = _salted(many.withColumn("_found", F.lit(True)), one, hot)
+    joined = repeated.join(salted, [key, "_salt"], "left")
+    return joined.where(~hot.holds() | F.col("_found").isNotNull()).drop("_salt", "_found")

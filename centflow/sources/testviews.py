@@ -134,6 +134,34 @@ SELECT event_id, CAST(ts AS TIMESTAMP) ts, event_type = 'error' is_error, value
 }
 
 
+# Forms for Spark of the two views that repeat each row: one scan and no join.
+SPARK_VIEWS = {
+    "payment_state_log": """
+SELECT k * 10 + s.seq id, transaction_id, s.from_state, s.to_state, concat('evt_', transaction_id, '_', s.to_state) event_id,
+  merchant_id, base_ts + s.seq * INTERVAL '1' SECOND created_at
+FROM (SELECT *, explode(CASE st
+  WHEN 'F' THEN array(named_struct('seq', 1, 'from_state', CAST(NULL AS STRING), 'to_state', 'INITIATED'),
+    named_struct('seq', 2, 'from_state', 'INITIATED', 'to_state', 'VALIDATED'),
+    named_struct('seq', 3, 'from_state', 'VALIDATED', 'to_state', 'SCORING'),
+    named_struct('seq', 4, 'from_state', 'SCORING', 'to_state', 'AUTHORIZED'),
+    named_struct('seq', 5, 'from_state', 'AUTHORIZED', 'to_state', 'SETTLED'))
+  WHEN 'P' THEN array(named_struct('seq', 1, 'from_state', CAST(NULL AS STRING), 'to_state', 'INITIATED'),
+    named_struct('seq', 2, 'from_state', 'INITIATED', 'to_state', 'VALIDATED'),
+    named_struct('seq', 3, 'from_state', 'VALIDATED', 'to_state', 'SCORING'),
+    named_struct('seq', 4, 'from_state', 'SCORING', 'to_state', 'FLAGGED'))
+  WHEN 'O' THEN array(named_struct('seq', 1, 'from_state', CAST(NULL AS STRING), 'to_state', 'INITIATED'),
+    named_struct('seq', 2, 'from_state', 'INITIATED', 'to_state', 'VALIDATED'),
+    named_struct('seq', 3, 'from_state', 'VALIDATED', 'to_state', 'SCORING'),
+    named_struct('seq', 4, 'from_state', 'SCORING', 'to_state', 'AUTHORIZED')) END) s FROM {txns}) t""",
+    "ledger_entries": """
+SELECT k * 10 + seq id, transaction_id,
+  CASE WHEN seq = 2 AND k % 97 = 0 THEN amount_cents - 1 ELSE amount_cents END amount_cents,
+  CASE WHEN seq = 2 THEN 'CREDIT' ELSE 'DEBIT' END entry_type, merchant_id, 'USD' currency,
+  transaction_id source_event_id, base_ts + INTERVAL '5' SECOND created_at
+FROM (SELECT *, explode(CASE WHEN k % 101 = 0 THEN array(1, 2, 3) ELSE array(1, 2) END) seq FROM {txns} WHERE st = 'F') t""",
+}
+
+
 def needs(text: str) -> list[str]:
     """The views and tables a text names, in order of first use."""
     return list(dict.fromkeys(re.findall(r"(?<!\{)\{(\w+)\}(?!\})", text)))
@@ -143,7 +171,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One derived table over the test tables in ``sf_dir``."""
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    text = VIEWS[name]
+    text = SPARK_VIEWS.get(name, VIEWS[name])
     return spark.sql(text, **{n: view(spark, sf_dir, n) for n in needs(text)})
 
 
