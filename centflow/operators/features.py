@@ -1,48 +1,64 @@
 """The eight risk features, from stored events."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from centflow import schemas as sc
 from centflow.functions.scalar import date_range, enrich
-from centflow.operators.ordered import ordered_blocks, previous, running_moments, running_sum
+from centflow.operators.ordered import ordered_blocks, previous, running_moments, running_sum_with_peers
 from centflow.operators.skew import spread_join
+from centflow.session import written
 
 
-def trailing_counts(df: DataFrame, sizes: dict[str, int], key: str, ts: str) -> DataFrame:
-    """Distinct (key, ts) with the rows of the key in [ts - size, ts]; ``sizes`` maps column to seconds.
+VELOCITIES = {"tx_velocity_1m": 60, "tx_velocity_5m": 300}
 
-    A row enters the count at ts and leaves it one microsecond after ts + size, so each count is a
-    running sum of entries minus exits: linear, whatever the number of rows in a window.
+
+def history_blocks(df: DataFrame, sizes: dict[str, int], key: str, ts: str, tie: str) -> DataFrame:
+    """Blocks of the rows of each key by time, with the exit rows of the trailing windows among them.
+
+    A row enters a trailing count at ts and leaves it one microsecond after ts + size. The count at
+    any time is then a running sum of entries minus exits: linear, whatever a window holds. Exit
+    rows carry only the key, their time and the id that keeps equal times apart.
     """
     at = F.unix_micros(ts)
-    names = list(sizes)
-    changes = [
-        F.struct(at.alias("_at"), F.lit(1).alias("_here"), *[F.lit(1).alias(n) for n in names]),
-        *[
-            F.struct(
-                (at + F.lit(seconds * 1_000_000 + 1)).alias("_at"), F.lit(0).alias("_here"),
-                *[F.lit(-1 if n == name else 0).alias(n) for n in names],
-            )
-            for name, seconds in sizes.items()
-        ],
+    known = F.col(ts).isNotNull()
+    entry = F.struct(
+        at.alias("_at"), F.lit(True).alias("_row"),
+        *[F.when(known, 1).otherwise(0).alias(f"_d_{n}") for n in sizes],
+    )
+    exits = [
+        F.when(known, F.struct(
+            (at + F.lit(seconds * 1_000_000 + 1)).alias("_at"), F.lit(False).alias("_row"),
+            *[F.lit(-1 if n == name else 0).alias(f"_d_{n}") for n in sizes],
+        ))
+        for name, seconds in sizes.items()
     ]
-    steps = (
-        df.where(F.col(ts).isNotNull())
-        .select(key, F.inline(F.array(*changes)))
-        .groupBy(key, "_at")
-        .agg(F.max("_here").alias("_here"), *[F.sum(n).alias(f"_d_{n}") for n in names])
+    steps = df.withColumn("_step", F.explode(F.array_compact(F.array(entry, *exits))))
+    kept = {key, tie}
+    slim = steps.select(
+        *[F.col(c) if c in kept else F.when(F.col("_step._row"), F.col(c)).alias(c) for c in df.columns], "_step.*"
     )
-    counts = ordered_blocks(steps, [key], ["_at"])
-    counts = running_sum(counts, [key], ["_at"], {n: F.col(f"_d_{n}") for n in names})
-    return counts.where("_here = 1").select(key, F.timestamp_micros("_at").alias(ts), *names)
+    return ordered_blocks(slim, [key], ["_at", tie])
+
+
+def _trailing(rows: DataFrame, sizes: dict[str, int], key: str, stored: DataFrame | None = None) -> DataFrame:
+    """Trailing counts on ``history_blocks``; drops the exit rows."""
+    counted = running_sum_with_peers(rows, [key], "_at", {n: F.col(f"_d_{n}") for n in sizes}, stored)
+    return counted.where("_row").withColumns({
+        n: F.when(F.col("_at").isNotNull(), F.col(n)) for n in sizes
+    })
 
 
 def tx_velocity(
-    df: DataFrame, sizes: dict[str, int] | None = None, key: str = "merchant_id", ts: str = "received_at"
+    df: DataFrame, sizes: dict[str, int] = VELOCITIES, key: str = "merchant_id", ts: str = "received_at",
+    tie: str = "event_id",
 ) -> DataFrame:
-    """Add trailing row counts per key; rows with the same timestamp count each other."""
-    sizes = sizes or {"tx_velocity_1m": 60, "tx_velocity_5m": 300}
-    return spread_join(df, trailing_counts(df, sizes, key, ts), [key, ts], "left")
+    """Add for each size (seconds) the rows of the key in [ts - size, ts]; equal times count each other."""
+    return _trailing(history_blocks(df, sizes, key, ts, tie), sizes, key).select(*df.columns, *sizes)
+
+
+def _running_z(value: str, min_n: int) -> Column:
+    std = F.when(F.col("_m2") > 0, F.sqrt(F.col("_m2") / (F.col("_n") - 1))).otherwise(1.0)
+    return F.when(F.col("_n") < min_n, 0.0).otherwise((F.col(value) - F.col("_mean")) / std)
 
 
 def zscore_running(
@@ -52,16 +68,24 @@ def zscore_running(
     """z-score of each value against the rows of its key so far, itself included; 0 below ``min_n`` rows."""
     blocks = ordered_blocks(df, [key], [ts, tie])
     run = running_moments(blocks, [key], [ts, tie], value)
-    std = F.when(F.col("_m2") > 0, F.sqrt(F.col("_m2") / (F.col("_n") - 1))).otherwise(1.0)
-    z = F.when(F.col("_n") < min_n, 0.0).otherwise((F.col(value) - F.col("_mean")) / std)
-    return run.withColumn(out, z).select(*df.columns, out)
+    return run.withColumn(out, _running_z(value, min_n)).select(*df.columns, out)
+
+
+def velocity_and_zscore(df: DataFrame) -> DataFrame:
+    """``tx_velocity`` and ``zscore_running`` on one ordering of the merchants' events."""
+    blocks = history_blocks(df, VELOCITIES, "merchant_id", "received_at", "event_id")
+    run = running_moments(blocks, ["merchant_id"], ["_at", "event_id"], "amount_cents")
+    run = _trailing(run, VELOCITIES, "merchant_id", blocks)
+    return run.withColumn("amount_zscore", _running_z("amount_cents", 3)).select(
+        *df.columns, *VELOCITIES, "amount_zscore"
+    )
 
 
 def key_stats(df: DataFrame, key: str, value: str) -> DataFrame:
     return df.groupBy(key).agg(F.avg(value).alias("_mean"), F.stddev_samp(value).alias("_std"))
 
 
-def batch_z(value: str):
+def batch_z(value: str) -> Column:
     return F.when(
         F.col("_std").isNull() | (F.col("_std") == 0), 0.0
     ).otherwise((F.col(value) - F.col("_mean")) / F.col("_std"))
@@ -97,18 +121,20 @@ def device_switch(
     )
 
 
-def with_merchant_risk(df: DataFrame, risk: DataFrame, default: float = sc.DEFAULT_MERCHANT_RISK) -> DataFrame:
+def with_merchant_risk(
+    df: DataFrame, risk: DataFrame, default: float = sc.DEFAULT_MERCHANT_RISK, hot_from: DataFrame | None = None
+) -> DataFrame:
     """Add ``merchant_risk_score``; merchants without a score get the default."""
     scores = risk.select("merchant_id", F.col("score").alias("merchant_risk_score"))
-    joined = spread_join(df, scores, ["merchant_id"], "left")
+    joined = spread_join(df, scores, ["merchant_id"], "left", hot_from=hot_from)
     return joined.withColumn("merchant_risk_score", F.coalesce("merchant_risk_score", F.lit(default)))
 
 
 def live_features(events: DataFrame, risk: DataFrame) -> DataFrame:
     """All eight features for every event, in event-time order."""
     df = events.select("event_id", "merchant_id", "stripe_customer_id", "amount_cents", "received_at")
-    df = device_switch(zscore_running(tx_velocity(df)))
-    df = enrich(with_merchant_risk(df, risk))
+    df = device_switch(velocity_and_zscore(df))
+    df = enrich(with_merchant_risk(df, risk, hot_from=events))
     numbers = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in sc.FEATURE_ORDER]
     return df.select("event_id", "merchant_id", "received_at", *numbers)
 
@@ -133,15 +159,15 @@ def reconstruct_features(
     """The offline feature table of settled transactions; an empty input gives an empty table.
 
     Velocities and z-scores see only the selected, settled rows. The device sequence is not stored,
-    so its flag is 0.
+    so its flag is 0. The joined history is stored once, since three steps start from it.
     """
-    base = settled_history(state_log, ledger, start, end, inclusive_end)
+    base = written(settled_history(state_log, ledger, start, end, inclusive_end), "history")
     timed = tx_velocity(base, ts="created_at")
     per_merchant = (
         key_stats(base, "merchant_id", "amount_cents")
         .join(risk.select("merchant_id", "score"), "merchant_id", "left")
     )
-    df = spread_join(timed, per_merchant, ["merchant_id"], "left", hot_from=state_log)
+    df = spread_join(timed, per_merchant, ["merchant_id"], "left", hot_from=base)
     df = enrich(df, ts="created_at").withColumns({
         "amount_zscore": batch_z("amount_cents"),
         "merchant_risk_score": F.coalesce("score", F.lit(sc.DEFAULT_MERCHANT_RISK)),

@@ -62,6 +62,55 @@ def running_sum(blocks: DataFrame, keys: list[str], order: list[str], values: di
     )
 
 
+def running_sum_with_peers(
+    rows: DataFrame, keys: list[str], at: str, values: dict[str, Column], stored: DataFrame | None = None
+) -> DataFrame:
+    """Like ``running_sum`` along ``at``, but rows with the same ``at`` all get the sum over them all.
+
+    A group of equal ``at`` that lies across blocks also needs what follows in the next blocks. There
+    is at most one such group per block border, so these sums are as few as the blocks. ``stored``
+    are the blocks themselves where ``rows`` is already derived from them.
+    """
+    blocks = rows if stored is None else stored
+    sums = {f"_t_{o}": F.sum(v) for o, v in values.items()}
+    totals = blocks.groupBy(*keys, BLOCK).agg(
+        *[v.alias(n) for n, v in sums.items()], F.min(at).alias("_first"), F.max(at).alias("_last")
+    )
+    along = Window.partitionBy(*keys).orderBy(BLOCK)
+    across = (
+        totals.withColumn("_next", F.lead("_first").over(along)).where("_last = _next")
+        .select(*[F.col(k).alias(f"_x_{k}") for k in keys], F.col("_last").alias("_x_at")).distinct()
+    )
+
+    def same(prefix: str) -> Column:
+        match = F.col(at) == F.col(f"{prefix}at")
+        for k in keys:
+            match = match & F.col(k).eqNullSafe(F.col(f"{prefix}{k}"))
+        return match
+
+    parts = blocks.join(F.broadcast(across), same("_x_")).groupBy(*keys, at, BLOCK).agg(
+        *[v.alias(n) for n, v in sums.items()]
+    )
+    after = Window.partitionBy(*keys, at).orderBy(BLOCK).rowsBetween(1, Window.unboundedFollowing)
+    ahead = parts.select(
+        *[F.col(k).alias(f"_a_{k}") for k in keys], F.col(at).alias("_a_at"), F.col(BLOCK).alias("_a_block"),
+        *[F.sum(n).over(after).alias(f"_a{n}") for n in sums],
+    )
+    carry = {f"_b_{o}": F.sum(f"_t_{o}").over(_earlier(keys)) for o in values}
+    here = Window.partitionBy(*keys, BLOCK).orderBy(at).rangeBetween(Window.unboundedPreceding, 0)
+    zero = F.lit(0)
+    return (
+        _with_carry(rows, totals, keys, carry)
+        .join(F.broadcast(ahead), same("_a_") & (F.col(BLOCK) == F.col("_a_block")), "left")
+        .withColumns({
+            o: F.coalesce(F.col(f"_b_{o}"), zero) + F.coalesce(F.sum(v).over(here), zero)
+            + F.coalesce(F.col(f"_a_t_{o}"), zero)
+            for o, v in values.items()
+        })
+        .drop(*carry, *ahead.columns)
+    )
+
+
 def running_moments(blocks: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
     """Running count, mean and sum of squared deviations: columns ``_n``, ``_mean``, ``_m2``.
 

@@ -6,6 +6,7 @@ The log has ``ts``, ``is_error`` and ``latency``.
 from pyspark.sql import DataFrame, Window, functions as F
 
 from centflow.operators.ordered import ordered_blocks, running_sum
+from centflow.operators.skew import spread_join
 
 
 def error_rate(log: DataFrame, size: str = "5 minutes", threshold: float = 0.01) -> DataFrame:
@@ -34,8 +35,8 @@ def latency_quantiles(
     )
     blocks = ordered_blocks(counted, ["window_start"], ["latency"])
     ranked = running_sum(blocks, ["window_start"], ["latency"], {"_upto": F.col("_n")})
-    totals = counted.groupBy("window_start").agg(F.sum("_n").alias("_all"))
-    ranked = ranked.join(totals, "window_start")
+    totals = blocks.groupBy("window_start").agg(F.sum("_n").alias("_all"))
+    ranked = spread_join(ranked, totals, ["window_start"], hot_from=blocks)
 
     def at(position):
         """The value at a 0-based position of the sorted latencies."""
@@ -73,7 +74,7 @@ def request_total(log: DataFrame) -> DataFrame:
     minutes = minutes.withColumn("_day", F.to_date("minute"))
     earlier = Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
     days = (
-        log.groupBy(F.to_date("ts").alias("_day")).agg(F.count("*").alias("_n"))
+        minutes.groupBy("_day").agg(F.sum("requests").alias("_n"))
         .select("_day", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     )
     upto = Window.partitionBy("_day").orderBy("minute").rowsBetween(Window.unboundedPreceding, 0)
