@@ -131,9 +131,13 @@ def with_merchant_risk(
 
 
 def live_features(events: DataFrame, risk: DataFrame) -> DataFrame:
-    """All eight features for every event, in event-time order."""
+    """All eight features for every event, in event-time order.
+
+    The device flag comes first: range bounds are found by sampling, which evaluates the input of
+    the second ordering twice, so that input should be the cheap one.
+    """
     df = events.select("event_id", "merchant_id", "stripe_customer_id", "amount_cents", "received_at")
-    df = device_switch(velocity_and_zscore(df))
+    df = velocity_and_zscore(device_switch(df))
     df = enrich(with_merchant_risk(df, risk, hot_from=events))
     numbers = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in sc.FEATURE_ORDER]
     return df.select("event_id", "merchant_id", "received_at", *numbers)

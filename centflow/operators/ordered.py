@@ -24,6 +24,12 @@ def ordered_blocks(df: DataFrame, keys: list[str], order: list[str]) -> DataFram
     return written(ranged.withColumn(BLOCK, F.spark_partition_id()), "blocks")
 
 
+def _by_block(blocks: DataFrame) -> DataFrame:
+    """One task per block, whatever the hashes of the block numbers; windows inside blocks need no other shuffle."""
+    partitions = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return blocks.repartitionById(partitions, F.col(BLOCK))
+
+
 def _inside(keys: list[str], order: list[str]):
     return Window.partitionBy(*keys, BLOCK).orderBy(*order)
 
@@ -53,7 +59,7 @@ def running_sum(blocks: DataFrame, keys: list[str], order: list[str], values: di
     carry = {f"_b_{o}": F.sum(f"_t_{o}").over(_earlier(keys)) for o in values}
     here = _inside(keys, order).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        _with_carry(blocks, totals, keys, carry)
+        _with_carry(_by_block(blocks), totals, keys, carry)
         .withColumns({
             o: F.coalesce(F.col(f"_b_{o}"), F.lit(0)) + F.coalesce(F.sum(v).over(here), F.lit(0))
             for o, v in values.items()
@@ -72,6 +78,7 @@ def running_sum_with_peers(
     are the blocks themselves where ``rows`` is already derived from them.
     """
     blocks = rows if stored is None else stored
+    rows = _by_block(blocks) if stored is None else rows
     sums = {f"_t_{o}": F.sum(v) for o, v in values.items()}
     totals = blocks.groupBy(*keys, BLOCK).agg(
         *[v.alias(n) for n, v in sums.items()], F.min(at).alias("_first"), F.max(at).alias("_last")
@@ -139,7 +146,7 @@ def running_moments(blocks: DataFrame, keys: list[str], order: list[str], value:
     pn = F.coalesce("_pn", F.lit(0))
     pmean = F.when(pn > 0, F.col("_m0") + F.col("_s1") / pn).otherwise(0.0)
     pm2 = F.when(pn > 0, F.col("_s2") - F.col("_s1") * F.col("_s1") / pn).otherwise(0.0)
-    joined = _with_carry(blocks, stats, keys, carry).withColumns({
+    joined = _with_carry(_by_block(blocks), stats, keys, carry).withColumns({
         "_hn": F.count(v).over(inside),
         "_hmean": F.coalesce(F.avg(v).over(inside), zero),
         "_hvar": F.coalesce(F.var_pop(v).over(inside), zero),
@@ -161,7 +168,7 @@ def previous(blocks: DataFrame, keys: list[str], order: list[str], columns: dict
         F.max_by(values, F.struct(*[F.col(o) for o in order])).alias("_last")
     )
     carry = {"_before": F.lag("_last").over(Window.partitionBy(*keys).orderBy(BLOCK))}
-    found = _with_carry(blocks, last, keys, carry).withColumn(
+    found = _with_carry(_by_block(blocks), last, keys, carry).withColumn(
         "_prev", F.coalesce(F.lag(values).over(_inside(keys, order)), F.col("_before"))
     )
     return found.withColumns({out: F.col("_prev")[c] for c, out in columns.items()}).drop("_prev", "_before")
