@@ -419,6 +419,19 @@ FROM {ledger_entries} GROUP BY transaction_id HAVING balance_cents <> 0""",
     "stream_device_switch": _DEVICE,
     "stream_dedup": "SELECT DISTINCT stripe_event_id, event_type FROM {webhook_received}",
     "stream_rate_limit": _rate_limit(2, "day", "event_id, position, limited"),
+    "stream_lifecycle": f"""WITH once AS (SELECT *, failure_reason IS NULL AS valid, amount_cents % 100 >= 70 AS risky FROM ({_CHECKED}) c WHERE seq = 0),
+rows_of AS (
+  SELECT 'payment_state_log' AS table_name, 'INITIATED' AS kind FROM once
+  UNION ALL SELECT 'payment_state_log', CASE WHEN valid THEN 'VALIDATED' ELSE 'FAILED' END FROM once
+  UNION ALL SELECT 'payment_state_log', 'SCORING' FROM once WHERE valid
+  UNION ALL SELECT 'payment_state_log', CASE WHEN risky THEN 'FLAGGED' ELSE 'AUTHORIZED' END FROM once WHERE valid
+  UNION ALL SELECT 'payment_state_log', 'SETTLED' FROM once WHERE valid AND NOT risky AND amount_cents > 0
+  UNION ALL SELECT 'ledger_entries', e.kind FROM once, (VALUES ('DEBIT'), ('CREDIT')) AS e(kind) WHERE valid AND NOT risky AND amount_cents > 0
+  UNION ALL SELECT 'dlq', 'SCHEMA_INVALID' FROM once WHERE NOT valid
+  UNION ALL SELECT 'dlq', 'LEDGER_WRITE_FAIL' FROM once WHERE valid AND NOT risky AND amount_cents <= 0
+  UNION ALL SELECT 'manual_review_queue', 'PENDING' FROM once WHERE valid AND risky
+  UNION ALL SELECT 'alerts', 'payment.alert.triggered' FROM once WHERE valid AND risky)
+SELECT table_name, kind, count(*) AS row_count FROM rows_of GROUP BY 1, 2""",
     "score_fallback": f"SELECT event_id, risk_score, is_high_risk, manual_review FROM ({_SCORED}) s",
     "reconstruct_features": _reconstructed(_HISTORY),
     "reconstruct_features_range": _reconstructed(_HISTORY + _RANGE),

@@ -2,6 +2,7 @@
 
 from collections.abc import Callable
 from datetime import date
+from functools import reduce
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -10,11 +11,11 @@ from centflow import schemas as sc
 from centflow.functions.scalar import date_range, enrich, utc_day
 from centflow.operators import features, intake, lifecycle, marts, model, quality, recon, reports, service_metrics
 from centflow.operators import validate as rules
-from centflow.plans import reconciliation, warehouse
+from centflow.plans import reconciliation, scoring, warehouse
 from centflow.session import configure, scratch_path
 from centflow.sources import tables, topics
 from centflow.sources.testviews import VIEWS, needs, view
-from centflow.streaming import carried, stateful, windows
+from centflow.streaming import carried, lifecycle as stream_lifecycle, stateful, windows
 
 DAY = date(1997, 2, 13)
 FROM, TO = date(1996, 1, 1), date(1999, 6, 30)
@@ -213,10 +214,7 @@ def _materialize(v: Views) -> DataFrame:
         built[n].agg(F.count("*").alias("row_count")).select(F.lit(n).alias("model"), "row_count")
         for layer in warehouse.LAYERS.values() for n in layer
     ]
-    out = counts[0]
-    for c in counts[1:]:
-        out = out.unionByName(c)
-    return out
+    return reduce(DataFrame.unionByName, counts)
 
 
 def _dq_tables(v: Views) -> dict[str, DataFrame]:
@@ -235,10 +233,8 @@ def _dq(v: Views, rule: str) -> DataFrame:
 
 def _dq_not_null(v: Views) -> DataFrame:
     rows = [quality.null_counts(df, n, quality.NOT_NULL[n]) for n, df in _dq_tables(v).items()]
-    out = quality.null_counts(v.stg, "stg_transactions_amount", ["amount_cents"])
-    for r in rows:
-        out = out.unionByName(r)
-    return out
+    extra = quality.null_counts(v.stg, "stg_transactions_amount", ["amount_cents"])
+    return reduce(DataFrame.unionByName, rows, extra)
 
 
 def _stream_zscore(v: Views) -> DataFrame:
@@ -267,6 +263,24 @@ def _stream_rate_limit(v: Views) -> DataFrame:
     return df.select("event_id", "position", "limited")
 
 
+def _stream_lifecycle(v: Views) -> DataFrame:
+    """Rows per state, entry type and failure in the tables that the stream leaves."""
+    folder, checkpoint = scratch_path(v.spark, "lifecycle"), scratch_path(v.spark, "lifecycle-checkpoint")
+    cents = scoring.by_expression(F.col("amount_cents") % 100 / 100)
+    received = v.stream("webhook_received").select(*sc.WEBHOOK_RECEIVED.fieldNames())
+    stream_lifecycle.start_lifecycle(received, cents, folder, checkpoint, once=True).awaitTermination()
+    kinds = {
+        "payment_state_log": "to_state", "ledger_entries": "entry_type", "dlq": "failure_reason",
+        "manual_review_queue": "status", "alerts": "topic",
+    }
+    counts = [
+        v.spark.read.parquet(f"{folder}/{table}").groupBy(F.col(column).alias("kind"))
+        .agg(F.count("*").alias("row_count")).select(F.lit(table).alias("table_name"), "kind", "row_count")
+        for table, column in kinds.items()
+    ]
+    return reduce(DataFrame.unionByName, counts)
+
+
 def _transitions(v: Views) -> DataFrame:
     outcome = F.when(F.col("event_type").startswith("charge"), sc.FAILED).when(
         F.col("risk_score") >= sc.HIGH_RISK, sc.FLAGGED
@@ -278,10 +292,7 @@ def _route(v: Views) -> DataFrame:
     ways = lifecycle.route(v.scored)
     named = [df.select(F.lit(n).alias("stream"), "event_id") for n, df in ways.items() if n != "state"]
     named.append(ways["state"].select(F.col("final_state").alias("stream"), "event_id"))
-    out = named[0]
-    for df in named[1:]:
-        out = out.unionByName(df)
-    return out
+    return reduce(DataFrame.unionByName, named)
 
 
 def _recon_args(v: Views):
@@ -398,6 +409,7 @@ _QUERIES: dict[str, Callable[[Views], DataFrame]] = {
     "stream_device_switch": _stream_device,
     "stream_dedup": _stream_dedup,
     "stream_rate_limit": _stream_rate_limit,
+    "stream_lifecycle": _stream_lifecycle,
     # model data
     "feature_vector": _feature_vector,
     "model_auc": _model_auc,

@@ -3,13 +3,12 @@
 from functools import partial
 
 from pyspark.errors import AnalysisException
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from centflow import schemas as sc
 from centflow.operators import intake, lifecycle, validate as rules
-from centflow.plans.scoring import score_events
+from centflow.plans.scoring import Scorer, score_events
 from centflow.sources.tables import read_features
 from centflow.sources.topics import as_json, to_topic
 from centflow.streaming.stateful import stream_rate_limit
@@ -33,7 +32,7 @@ def stored_before(spark: SparkSession, tables: str, name: str, batch_id: int) ->
         raise
 
 
-def process_batch(batch: DataFrame, batch_id: int, model: PipelineModel, tables: str, features: str | None) -> None:
+def process_batch(batch: DataFrame, batch_id: int, score: Scorer, tables: str, features: str | None) -> None:
     """Validate, score, route and book one micro-batch of deduplicated, rate-checked deliveries.
 
     Every table is derived from the stored form of the one before, so a step is computed once and a
@@ -44,6 +43,8 @@ def process_batch(batch: DataFrame, batch_id: int, model: PipelineModel, tables:
         batch.withColumn("failure_reason", F.when(F.col("limited"), "RATE_LIMITED").otherwise(F.col("failure_reason"))),
         tables, "checked_events", batch_id,
     )
+    if checked.isEmpty():
+        return
     valid, dead = rules.split_valid(checked.where("NOT limited"), F.current_timestamp())
     first = intake.dedup_first(valid, ["event_id"], "received_at", "event_type")
     before = stored_before(spark, tables, "payment_state_log", batch_id)
@@ -53,7 +54,7 @@ def process_batch(batch: DataFrame, batch_id: int, model: PipelineModel, tables:
         known = spark.createDataFrame([], "event_id string, " + ", ".join(f"{c} double" for c in sc.FEATURE_ORDER))
     else:
         known = read_features(spark, features)
-    scored = _store(score_events(first, known, model), tables, "scored_events", batch_id)
+    scored = _store(score_events(first, known, score), tables, "scored_events", batch_id)
     ways = lifecycle.route(scored)
 
     _store(to_topic(ways["alert"], sc.TOPIC_ALERT, "event_id"), tables, "alerts", batch_id)
@@ -103,11 +104,11 @@ def checked_deliveries(received: DataFrame, limit: int = sc.RATE_LIMIT_PER_MINUT
 
 
 def start_lifecycle(
-    received: DataFrame, model: PipelineModel, tables: str, checkpoint: str, features: str | None = None,
+    received: DataFrame, score: Scorer, tables: str, checkpoint: str, features: str | None = None,
     limit: int = sc.RATE_LIMIT_PER_MINUTE, once: bool = False,
 ) -> StreamingQuery:
     """Start the lifecycle on a stream of received webhooks; results are tables under ``tables``."""
-    sink = partial(process_batch, model=model, tables=tables, features=features)
+    sink = partial(process_batch, score=score, tables=tables, features=features)
     return (
         checked_deliveries(received, limit).writeStream.queryName("lifecycle")
         .outputMode("append").foreachBatch(sink)

@@ -7,9 +7,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from centflow import schemas as sc
+from centflow.functions.scalar import enrich
 from centflow.operators import features as batch, intake, model as ml
 from centflow.registry import drained
+from centflow.plans.scoring import by_model
 from centflow.session import scratch_path
+from centflow.sources.tables import feature_sink
 from centflow.streaming import carried, lifecycle, stateful, windows
 
 T0 = datetime(2026, 3, 23, 12)
@@ -50,8 +53,6 @@ def test_windows_count_and_drop_late_rows(feed):
 
 
 def test_enrichment_drops_nothing(feed):
-    from centflow.functions.scalar import enrich
-
     out = drained(enrich(feed([event(1)], [event(2, seconds=7200)], [event(3)])))
     assert out.count() == 3
 
@@ -136,12 +137,10 @@ def test_lifecycle(spark, feed, fitted, folder):
     names = ", ".join(f"{c} double" for c in sc.FEATURE_ORDER)
     low, high = [1.0] + [0.0] * 7, [9.0] + [0.0] * 7
     known = [("e1", *low), ("e2", *high), ("e5", *low), *[(f"e{100 + i}", *low) for i in range(4)], ("e7", *low)]
-    from centflow.sources.tables import feature_sink
-
     feature_sink(f"{folder}/features")(spark.createDataFrame(known, "event_id string, " + names), 0)
     stream = feed(received, [delivery(1, seconds=60), delivery(7, seconds=60)], schema=sc.WEBHOOK_RECEIVED)
     tables = f"{folder}/tables"
-    lifecycle.start_lifecycle(stream, fitted, tables, f"{folder}/checkpoint", f"{folder}/features", limit=3, once=True).awaitTermination()
+    lifecycle.start_lifecycle(stream, by_model(fitted), tables, f"{folder}/checkpoint", f"{folder}/features", limit=3, once=True).awaitTermination()
 
     def table(name):
         return spark.read.parquet(f"{tables}/{name}")
@@ -171,5 +170,5 @@ def test_lifecycle(spark, feed, fitted, folder):
     again = table("checked_events").where("batch_id = 0").drop("batch_id")
     again = again.withColumn("failure_reason", F.when(F.col("failure_reason") != "RATE_LIMITED", F.col("failure_reason")))
     stored = spark.createDataFrame(again.collect(), again.schema)
-    lifecycle.process_batch(stored, 0, fitted, tables, f"{folder}/features")
+    lifecycle.process_batch(stored, 0, by_model(fitted), tables, f"{folder}/features")
     assert {n: table(n).count() for n in before} == before
