@@ -16,6 +16,15 @@ def envelope(raw: DataFrame, received_at: Column | None = None) -> DataFrame:
     )
 
 
+def _parsed_once(json: str) -> Column:
+    """The parsed JSON as a generated row of its own.
+
+    A filter on a rule would otherwise be pushed below the projection and parse the text again for
+    every rule it names.
+    """
+    return F.explode(F.array(F.try_parse_json(json)))
+
+
 def _kind(value: Column) -> Column:
     """The JSON type of a variant: BIGINT only for whole numbers, VOID for null, null if absent."""
     return F.schema_of_variant(value)
@@ -26,7 +35,7 @@ def extract_payment(df: DataFrame, default_merchant: str = sc.DEFAULT_MERCHANT)
 
     The helper columns ``_payload``, ``_object`` and ``_amount`` stay for the rules below.
     """
-    parsed = df.withColumn("_payload", F.try_parse_json("payload")).withColumn(
+    parsed = df.withColumn("_payload", _parsed_once("payload")).withColumn(
         "_object", F.try_variant_get("_payload", "$.data.object", "variant")
     ).withColumn("_amount", F.try_variant_get("_object", "$.amount", "variant"))
     currency = F.try_variant_get("_object", "$.currency", "variant")
@@ -105,7 +114,7 @@ def validate_ledger(df: DataFrame) -> DataFrame:
         return F.when(_kind(value) == "STRING", F.try_variant_get("_v", path, "string"))
 
     amount = F.try_variant_get("_v", "$.amount_cents", "variant")
-    parsed = df.withColumn("_v", F.try_parse_json("payload")).withColumns({
+    parsed = df.withColumn("_v", _parsed_once("payload")).withColumns({
         "_event": text("$.event_id"),
         "amount_cents": F.when(_kind(amount) == "BIGINT", F.try_variant_get("_v", "$.amount_cents", "bigint")),
         "merchant_id": text("$.merchant_id"),

@@ -169,7 +169,7 @@ def _warehouse_export(v: Views) -> DataFrame:
     path = scratch_path(v.spark, "warehouse")
     days = v.discrepancies
     stored = scratch_path(v.spark, "discrepancies")
-    tables.append(days, stored, ["run_date"])
+    tables.append(days, stored)
     table = v.spark.read.schema(days.schema).parquet(stored)
     exported = tables.export_run_date(table, DAY, path)
     out = v.spark.read.schema(days.schema).parquet(path) if exported else table.limit(0)

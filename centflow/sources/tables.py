@@ -27,7 +27,9 @@ def read_jdbc(spark: SparkSession, url: str, table: str, predicates: list[str],
 
 
 def append(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """Append-only insert."""
+    """Append-only insert. Rows of one partition value are brought together, large values over several files."""
+    if partition_by:
+        df = df.hint("rebalance", *partition_by)
     df.write.mode("append").partitionBy(*(partition_by or [])).parquet(path)
 
 

@@ -15,10 +15,10 @@ from centflow.streaming.stateful import stream_rate_limit
 from centflow.streaming.windows import stream_dedup, trigger
 
 
-def _store(df: DataFrame, tables: str, name: str, batch_id: int) -> DataFrame:
+def _store(df: DataFrame, tables: str, name: str, batch_id: int, *partition_by: str) -> DataFrame:
     """Write one micro-batch of a table; the same batch again replaces its own files only."""
     path = f"{tables}/{name}/batch_id={batch_id}"
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -49,7 +49,9 @@ def process_batch(batch: DataFrame, batch_id: int, score: Scorer, tables: str, f
     first = intake.dedup_first(valid, ["event_id"], "received_at", "event_type")
     before = stored_before(spark, tables, "payment_state_log", batch_id)
     if before is not None:
-        first = lifecycle.skip_done(first, before, sc.SCORING)
+        # only this batch's ids leave the scan of the log, which reads one column of one partition value
+        ids = checked.select(F.col("stripe_event_id").alias("event_id"))
+        first = lifecycle.skip_done(first, before.join(ids, "event_id", "left_semi"), sc.SCORING)
     if features is None:
         known = spark.createDataFrame([], "event_id string, " + ", ".join(f"{c} double" for c in sc.FEATURE_ORDER))
     else:
@@ -91,7 +93,7 @@ def process_batch(batch: DataFrame, batch_id: int, score: Scorer, tables: str, f
     log = lifecycle.transitions(
         outcomes.withColumn("outcome", F.coalesce("failed", "final_state", F.lit(sc.VALIDATED)))
     ).withColumn("id", F.xxhash64("event_id", "to_state", "created_at"))
-    _store(log.select(*sc.STATE_LOG.fieldNames()), tables, "payment_state_log", batch_id)
+    _store(log.select(*sc.STATE_LOG.fieldNames()), tables, "payment_state_log", batch_id, "to_state")
 
 
 def checked_deliveries(received: DataFrame, limit: int = sc.RATE_LIMIT_PER_MINUTE) -> DataFrame:
