@@ -38,16 +38,22 @@ def extract_payment(df: DataFrame, default_merchant: str = sc.DEFAULT_MERCHANT)
     parsed = df.withColumn("_payload", _parsed_once("payload")).withColumn(
         "_object", F.try_variant_get("_payload", "$.data.object", "variant")
     ).withColumn("_amount", F.try_variant_get("_object", "$.amount", "variant"))
-    currency = F.try_variant_get("_object", "$.currency", "variant")
-    merchant = F.try_variant_get("_object", "$.metadata.merchant_id", "variant")
+
+    def text(path: str, default: str, for_null: str | None = None) -> Column:
+        """The string at ``path``; the default if absent, and null if it is anything but a string."""
+        value = F.try_variant_get("_object", path, "variant")
+        return (
+            F.when(value.isNull(), default)
+            .when(_kind(value) == "STRING", F.try_variant_get("_object", path, "string"))
+            .when(_kind(value) == "VOID", for_null)
+        )
+
     whole = _kind(F.col("_amount")) == "BIGINT"
     return parsed.withColumns({
         "amount_cents": F.when(whole, F.try_variant_get("_amount", "$", "bigint")),
-        "currency": F.when(currency.isNull(), "usd").otherwise(F.try_variant_get("_object", "$.currency", "string")),
-        "stripe_customer_id": F.coalesce(F.try_variant_get("_object", "$.customer", "string"), F.lit("")),
-        "merchant_id": F.when(merchant.isNull(), default_merchant).otherwise(
-            F.try_variant_get("_object", "$.metadata.merchant_id", "string")
-        ),
+        "currency": text("$.currency", "usd"),
+        "stripe_customer_id": text("$.customer", "", for_null=""),
+        "merchant_id": text("$.metadata.merchant_id", default_merchant),
     })
 
 
@@ -67,7 +73,10 @@ def validate(df: DataFrame, default_merchant: str = sc.DEFAULT_MERCHANT) -> Data
         .when(amount.isNull(), "amount_not_integer")
         .when(succeeded & (amount < 0), "amount_negative")
         .when(succeeded & (amount == 0), "amount_zero")
-        .when(F.col("currency").isNull() | F.col("merchant_id").isNull(), "null_field")
+        .when(
+            F.col("currency").isNull() | F.col("merchant_id").isNull() | F.col("stripe_customer_id").isNull(),
+            "not_text",
+        )
     )
     return (
         extract_payment(df, default_merchant)

@@ -172,7 +172,7 @@ def _warehouse_export(v: Views) -> DataFrame:
     tables.append(days, stored)
     table = v.spark.read.schema(days.schema).parquet(stored)
     exported = tables.export_run_date(table, DAY, path)
-    out = v.spark.read.schema(days.schema).parquet(path) if exported else table.limit(0)
+    out = v.spark.read.schema(days.schema).parquet(path) if exported else table.where(F.lit(False))
     return out.select("transaction_id", "discrepancy_type", "diff_cents", "merchant_id", "run_date")
 
 

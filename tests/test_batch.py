@@ -35,8 +35,9 @@ OBJECT = '{"data":{"object":{%s}}}'
     ('"amount":5.0', "amount_not_integer"), ('"amount":5.5', "amount_not_integer"),
     ('"amount":"5"', "amount_not_integer"), ('"amount":true', "amount_not_integer"),
     ('"amount":null', "amount_not_integer"), ('"amount":12345678901234567890', "amount_not_integer"),
-    ('"other":1', "amount_missing"), ('"amount":5,"currency":null', "null_field"),
-    ('"amount":5,"metadata":{"merchant_id":null}', "null_field"),
+    ('"other":1', "amount_missing"), ('"amount":5,"currency":null', "not_text"),
+    ('"amount":5,"currency":7', "not_text"), ('"amount":5,"customer":{}', "not_text"),
+    ('"amount":5,"metadata":{"merchant_id":null}', "not_text"), ('"amount":5,"metadata":null', None),
 ])
 def test_amount_rules(spark, amount, want):
     assert detail(spark, OBJECT % amount) == want
