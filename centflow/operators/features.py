@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from centflow import schemas as sc
 from centflow.functions.scalar import date_range, enrich
-from centflow.operators.ordered import ordered_blocks, previous, running_moments, running_sum_with_peers
+from centflow.operators.ordered import Part, in_order, previous, running_moments, running_sum_with_peers
 from centflow.operators.skew import spread_join
 from centflow.session import written
 
@@ -12,8 +12,8 @@ from centflow.session import written
 VELOCITIES = {"tx_velocity_1m": 60, "tx_velocity_5m": 300}
 
 
-def history_blocks(df: DataFrame, sizes: dict[str, int], key: str, ts: str, tie: str) -> DataFrame:
-    """Blocks of the rows of each key by time, with the exit rows of the trailing windows among them.
+def _with_exits(df: DataFrame, sizes: dict[str, int], key: str, ts: str, tie: str) -> DataFrame:
+    """The rows at ``_at``, and for each trailing window one slim row where they leave it.
 
     A row enters a trailing count at ts and leaves it one microsecond after ts + size. The count at
     any time is then a running sum of entries minus exits: linear, whatever a window holds. Exit
@@ -34,15 +34,14 @@ def history_blocks(df: DataFrame, sizes: dict[str, int], key: str, ts: str, tie:
     ]
     steps = df.withColumn("_step", F.explode(F.array_compact(F.array(entry, *exits))))
     kept = {key, tie}
-    slim = steps.select(
+    return steps.select(
         *[F.col(c) if c in kept else F.when(F.col("_step._row"), F.col(c)).alias(c) for c in df.columns], "_step.*"
     )
-    return ordered_blocks(slim, [key], ["_at", tie])
 
 
-def _trailing(rows: DataFrame, sizes: dict[str, int], key: str, stored: DataFrame | None = None) -> DataFrame:
-    """Trailing counts on ``history_blocks``; drops the exit rows."""
-    counted = running_sum_with_peers(rows, [key], "_at", {n: F.col(f"_d_{n}") for n in sizes}, stored)
+def _trailing(part: Part, sizes: dict[str, int], rows: DataFrame | None = None) -> DataFrame:
+    """Trailing counts on rows with exits; drops the exit rows."""
+    counted = running_sum_with_peers(part, "_at", {n: F.col(f"_d_{n}") for n in sizes}, rows)
     return counted.where("_row").withColumns({
         n: F.when(F.col("_at").isNotNull(), F.col(n)) for n in sizes
     })
@@ -53,7 +52,10 @@ def tx_velocity(
     tie: str = "event_id",
 ) -> DataFrame:
     """Add for each size (seconds) the rows of the key in [ts - size, ts]; equal times count each other."""
-    return _trailing(history_blocks(df, sizes, key, ts, tie), sizes, key).select(*df.columns, *sizes)
+    def counts(part: Part) -> DataFrame:
+        return _trailing(part, sizes).select(*df.columns, *sizes)
+
+    return in_order(_with_exits(df, sizes, key, ts, tie), [key], ["_at", tie], counts, hot_from=df)
 
 
 def _running_z(value: str, min_n: int) -> Column:
@@ -66,19 +68,22 @@ def zscore_running(
     tie: str = "event_id", min_n: int = 3, out: str = "amount_zscore",
 ) -> DataFrame:
     """z-score of each value against the rows of its key so far, itself included; 0 below ``min_n`` rows."""
-    blocks = ordered_blocks(df, [key], [ts, tie])
-    run = running_moments(blocks, [key], [ts, tie], value)
-    return run.withColumn(out, _running_z(value, min_n)).select(*df.columns, out)
+    def z(part: Part) -> DataFrame:
+        return running_moments(part, value).withColumn(out, _running_z(value, min_n)).select(*df.columns, out)
+
+    return in_order(df, [key], [ts, tie], z)
 
 
-def velocity_and_zscore(df: DataFrame) -> DataFrame:
+def velocity_and_zscore(df: DataFrame, hot_from: DataFrame | None = None) -> DataFrame:
     """``tx_velocity`` and ``zscore_running`` on one ordering of the merchants' events."""
-    blocks = history_blocks(df, VELOCITIES, "merchant_id", "received_at", "event_id")
-    run = running_moments(blocks, ["merchant_id"], ["_at", "event_id"], "amount_cents")
-    run = _trailing(run, VELOCITIES, "merchant_id", blocks)
-    return run.withColumn("amount_zscore", _running_z("amount_cents", 3)).select(
-        *df.columns, *VELOCITIES, "amount_zscore"
-    )
+    key, ts, tie, value = "merchant_id", "received_at", "event_id", "amount_cents"
+
+    def both(part: Part) -> DataFrame:
+        rows = _trailing(part, VELOCITIES, running_moments(part, value))
+        return rows.withColumn("amount_zscore", _running_z(value, 3)).select(*df.columns, *VELOCITIES, "amount_zscore")
+
+    steps = _with_exits(df, VELOCITIES, key, ts, tie)
+    return in_order(steps, [key], ["_at", tie], both, hot_from=df if hot_from is None else hot_from)
 
 
 def key_stats(df: DataFrame, key: str, value: str) -> DataFrame:
@@ -110,15 +115,17 @@ def device_switch(
 
     Events without a customer share no device and get 0.
     """
-    blocks = ordered_blocks(df, [customer], [ts, tie])
-    seen = previous(blocks, [customer], [ts, tie], {merchant: "_was", ts: "_then"})
-    gap = F.unix_micros(ts) - F.unix_micros("_then")
-    switched = (
-        (F.col(customer) != "") & (F.col("_was") != F.col(merchant)) & (gap <= ttl_seconds * 1_000_000)
-    )
-    return seen.withColumn("device_switch_flag", F.coalesce(switched, F.lit(False)).cast("int")).select(
-        *df.columns, "device_switch_flag"
-    )
+    def flag(part: Part) -> DataFrame:
+        seen = previous(part, {merchant: "_was", ts: "_then"})
+        gap = F.unix_micros(ts) - F.unix_micros("_then")
+        switched = (
+            (F.col(customer) != "") & (F.col("_was") != F.col(merchant)) & (gap <= ttl_seconds * 1_000_000)
+        )
+        return seen.withColumn("device_switch_flag", F.coalesce(switched, F.lit(False)).cast("int")).select(
+            *df.columns, "device_switch_flag"
+        )
+
+    return in_order(df, [customer], [ts, tie], flag)
 
 
 def with_merchant_risk(
@@ -133,11 +140,11 @@ def with_merchant_risk(
 def live_features(events: DataFrame, risk: DataFrame) -> DataFrame:
     """All eight features for every event, in event-time order.
 
-    The device flag comes first: range bounds are found by sampling, which evaluates the input of
-    the second ordering twice, so that input should be the cheap one.
+    The device flag comes first: where blocks are needed, their bounds are found by sampling, which
+    evaluates the input of the second ordering twice, so that input should be the cheap one.
     """
     df = events.select("event_id", "merchant_id", "stripe_customer_id", "amount_cents", "received_at")
-    df = velocity_and_zscore(device_switch(df))
+    df = velocity_and_zscore(device_switch(df), hot_from=events)
     df = enrich(with_merchant_risk(df, risk, hot_from=events))
     numbers = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in sc.FEATURE_ORDER]
     return df.select("event_id", "merchant_id", "received_at", *numbers)

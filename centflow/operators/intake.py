@@ -5,7 +5,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from centflow import schemas as sc
-from centflow.operators.ordered import ordered_blocks, running_sum
+from centflow.operators.ordered import Part, in_order, running_sum
 from centflow.operators.skew import spread_join
 from centflow.session import written
 
@@ -47,13 +47,15 @@ def rate_limit(
 ) -> DataFrame:
     """Add ``position`` in the (key, bucket) and ``limited``; only ``types`` use up the quota.
 
-    Positions are running counts over range blocks, so even a bucket that holds most rows is split.
+    Positions are running counts, so even a bucket that holds most rows is split.
     """
     counted = F.col("event_type").isin(*types)
-    df = df.withColumn("_bucket", F.date_trunc(bucket, ts))
-    blocks = ordered_blocks(df, [key, "_bucket"], [ts, tie])
-    run = running_sum(blocks, [key, "_bucket"], [ts, tie], {"_n": counted.cast("int")})
-    position = F.when(counted, F.col("_n"))
-    return run.withColumns({
-        "position": position, "limited": F.coalesce(position > limit, F.lit(False))
-    }).drop("_bucket", "_block", "_n")
+    columns = df.columns
+
+    def positions(part: Part) -> DataFrame:
+        position = F.when(counted, F.col("_n"))
+        return running_sum(part, {"_n": counted.cast("int")}).withColumns({
+            "position": position, "limited": F.coalesce(position > limit, F.lit(False))
+        }).select(*columns, "position", "limited")
+
+    return in_order(df.withColumn("_bucket", F.date_trunc(bucket, ts)), [key, "_bucket"], [ts, tie], positions)

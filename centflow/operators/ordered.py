@@ -1,19 +1,45 @@
-"""Running values along an order inside each key, without ever holding one key in one task.
-
-``ordered_blocks`` range-partitions the rows by (key, order) and stores them with the number of
-their block. A block is one contiguous stretch of about equal size, so a hot key spans many blocks.
-Each running value is then a window inside (key, block) plus the carry of the key's earlier blocks.
-Only the first key of a block can have started in an earlier one, so there is at most one carry row
-per block: its size is bounded by the number of partitions, which makes the broadcast safe.
+"""Running values along an order inside each key, without ever holding a hot key in one task.
+
+Rows of ordinary keys take a plain window: one shuffle by key. Rows of hot keys, if there are any,
+are range-partitioned by (key, order) and stored with the number of their block. A block is one
+contiguous stretch of about equal size, so a hot key spans many blocks. Each running value is then a
+window inside (key, block) plus the carry of the key's earlier blocks. Only the first key of a block
+can have started in an earlier one, so there is at most one carry row per block: its size is bounded
+by the number of partitions, which makes the broadcast safe.
 """
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from centflow.operators.skew import find_hot
 from centflow.session import written
 
 BLOCK = "_block"
 
 
+@dataclass
+class Part:
+    """Rows with their keys and order; ``spans`` if they are stored blocks that keys run across."""
+
+    rows: DataFrame
+    keys: list[str]
+    order: list[str]
+    spans: bool = False
+
+    def placed(self) -> DataFrame:
+        """One task per block, whatever the hashes of the block numbers; windows inside need no other shuffle."""
+        if not self.spans:
+            return self.rows
+        partitions = int(self.rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return self.rows.repartitionById(partitions, F.col(BLOCK))
+
+    def inside(self, order: list[str] | None = None):
+        """The window over a key, or over the stretch of a key in a block."""
+        return Window.partitionBy(*self.keys, *([BLOCK] if self.spans else [])).orderBy(*(order or self.order))
+
+
 def ordered_blocks(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Store ``df`` with a block number; ``keys + order`` should tell the rows apart.
 
@@ -24,25 +50,30 @@ def ordered_blocks(df: DataFrame, keys: list[str], order: list[str]) -> DataFram
     return written(ranged.withColumn(BLOCK, F.spark_partition_id()), "blocks")
 
 
-def _by_block(blocks: DataFrame) -> DataFrame:
-    """One task per block, whatever the hashes of the block numbers; windows inside blocks need no other shuffle."""
-    partitions = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return blocks.repartitionById(partitions, F.col(BLOCK))
-
+def in_order(
+    df: DataFrame, keys: list[str], order: list[str], compute: Callable[[Part], DataFrame],
+    hot_from: DataFrame | None = None,
+) -> DataFrame:
+    """Apply ``compute`` to the rows of ordinary keys and to the blocks of hot keys.
 
-def _inside(keys: list[str], order: list[str]):
-    return Window.partitionBy(*keys, BLOCK).orderBy(*order)
+    ``hot_from`` names a cheaper frame with the same keys to look for hot keys in.
+    """
+    hot = find_hot(df if hot_from is None else hot_from, keys)
+    if not hot:
+        return compute(Part(df, keys, order))
+    blocks = ordered_blocks(df.where(hot.rows()), keys, order)
+    return compute(Part(df.where(~hot.rows()), keys, order)).unionByName(compute(Part(blocks, keys, order, True)))
 
 
 def _earlier(keys: list[str]):
     return Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
 
 
-def _with_carry(blocks: DataFrame, per_block: DataFrame, keys: list[str], carry: dict[str, Column]) -> DataFrame:
+def _with_carry(rows: DataFrame, per_block: DataFrame, keys: list[str], carry: dict[str, Column]) -> DataFrame:
     """Attach ``carry``, computed over the one row per (key, block); null where the key starts here."""
     names = [*keys, BLOCK]
     started = F.lag(BLOCK).over(Window.partitionBy(*keys).orderBy(BLOCK))
-    rows = (
+    carried = (
         per_block.withColumns({**carry, "_started": started})
         .where(F.col("_started").isNotNull())
         .select(*[F.col(k).alias(f"_c_{k}") for k in names], *carry)
@@ -50,35 +81,40 @@ def _with_carry(blocks: DataFrame, per_block: DataFrame, keys: list[str], carry:
     match = F.col(BLOCK) == F.col(f"_c_{BLOCK}")
     for k in keys:
         match = match & F.col(k).eqNullSafe(F.col(f"_c_{k}"))
-    return blocks.join(F.broadcast(rows), match, "left").drop(*[f"_c_{k}" for k in names])
+    return rows.join(F.broadcast(carried), match, "left").drop(*[f"_c_{k}" for k in names])
 
 
-def running_sum(blocks: DataFrame, keys: list[str], order: list[str], values: dict[str, Column]) -> DataFrame:
+def running_sum(part: Part, values: dict[str, Column]) -> DataFrame:
     """For each output name, the sum of its column over the rows of the key up to and including this one."""
-    totals = blocks.groupBy(*keys, BLOCK).agg(*[F.sum(v).alias(f"_t_{o}") for o, v in values.items()])
-    carry = {f"_b_{o}": F.sum(f"_t_{o}").over(_earlier(keys)) for o in values}
-    here = _inside(keys, order).rowsBetween(Window.unboundedPreceding, 0)
+    zero = F.lit(0)
+    upto = part.inside().rowsBetween(Window.unboundedPreceding, 0)
+    here = {o: F.coalesce(F.sum(v).over(upto), zero) for o, v in values.items()}
+    if not part.spans:
+        return part.rows.withColumns(here)
+    totals = part.rows.groupBy(*part.keys, BLOCK).agg(*[F.sum(v).alias(f"_t_{o}") for o, v in values.items()])
+    carry = {f"_b_{o}": F.sum(f"_t_{o}").over(_earlier(part.keys)) for o in values}
     return (
-        _with_carry(_by_block(blocks), totals, keys, carry)
-        .withColumns({
-            o: F.coalesce(F.col(f"_b_{o}"), F.lit(0)) + F.coalesce(F.sum(v).over(here), F.lit(0))
-            for o, v in values.items()
-        })
+        _with_carry(part.placed(), totals, part.keys, carry)
+        .withColumns({o: F.coalesce(F.col(f"_b_{o}"), zero) + here[o] for o in values})
         .drop(*carry)
     )
 
 
 def running_sum_with_peers(
-    rows: DataFrame, keys: list[str], at: str, values: dict[str, Column], stored: DataFrame | None = None
+    part: Part, at: str, values: dict[str, Column], rows: DataFrame | None = None
 ) -> DataFrame:
     """Like ``running_sum`` along ``at``, but rows with the same ``at`` all get the sum over them all.
 
     A group of equal ``at`` that lies across blocks also needs what follows in the next blocks. There
-    is at most one such group per block border, so these sums are as few as the blocks. ``stored``
-    are the blocks themselves where ``rows`` is already derived from them.
+    is at most one such group per block border, so these sums are as few as the blocks. ``rows`` are
+    the part's rows with more columns, if some were already added.
     """
-    blocks = rows if stored is None else stored
-    rows = _by_block(blocks) if stored is None else rows
+    zero = F.lit(0)
+    upto = part.inside([at]).rangeBetween(Window.unboundedPreceding, 0)
+    here = {o: F.coalesce(F.sum(v).over(upto), zero) for o, v in values.items()}
+    if not part.spans:
+        return (part.rows if rows is None else rows).withColumns(here)
+    keys, blocks = part.keys, part.rows
     sums = {f"_t_{o}": F.sum(v) for o, v in values.items()}
     totals = blocks.groupBy(*keys, BLOCK).agg(
         *[v.alias(n) for n, v in sums.items()], F.min(at).alias("_first"), F.max(at).alias("_last")
@@ -95,37 +131,43 @@ def running_sum_with_peers(
             match = match & F.col(k).eqNullSafe(F.col(f"{prefix}{k}"))
         return match
 
-    parts = blocks.join(F.broadcast(across), same("_x_")).groupBy(*keys, at, BLOCK).agg(
+    groups = blocks.join(F.broadcast(across), same("_x_")).groupBy(*keys, at, BLOCK).agg(
         *[v.alias(n) for n, v in sums.items()]
     )
     after = Window.partitionBy(*keys, at).orderBy(BLOCK).rowsBetween(1, Window.unboundedFollowing)
-    ahead = parts.select(
+    ahead = groups.select(
         *[F.col(k).alias(f"_a_{k}") for k in keys], F.col(at).alias("_a_at"), F.col(BLOCK).alias("_a_block"),
         *[F.sum(n).over(after).alias(f"_a{n}") for n in sums],
     )
     carry = {f"_b_{o}": F.sum(f"_t_{o}").over(_earlier(keys)) for o in values}
-    here = Window.partitionBy(*keys, BLOCK).orderBy(at).rangeBetween(Window.unboundedPreceding, 0)
-    zero = F.lit(0)
     return (
-        _with_carry(rows, totals, keys, carry)
+        _with_carry(part.placed() if rows is None else rows, totals, keys, carry)
         .join(F.broadcast(ahead), same("_a_") & (F.col(BLOCK) == F.col("_a_block")), "left")
         .withColumns({
-            o: F.coalesce(F.col(f"_b_{o}"), zero) + F.coalesce(F.sum(v).over(here), zero)
-            + F.coalesce(F.col(f"_a_t_{o}"), zero)
-            for o, v in values.items()
+            o: F.coalesce(F.col(f"_b_{o}"), zero) + here[o] + F.coalesce(F.col(f"_a_t_{o}"), zero)
+            for o in values
         })
         .drop(*carry, *ahead.columns)
     )
 
 
-def running_moments(blocks: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
+def running_moments(part: Part, value: str) -> DataFrame:
     """Running count, mean and sum of squared deviations: columns ``_n``, ``_mean``, ``_m2``.
 
     Moments of earlier blocks are merged around the key's first block mean, not around 0, so that
     large amounts with a small spread keep their digits.
     """
-    v = F.col(value).cast("double")
-    stats = blocks.groupBy(*keys, BLOCK).agg(
+    v, zero = F.col(value).cast("double"), F.lit(0.0)
+    upto = part.inside().rowsBetween(Window.unboundedPreceding, 0)
+    here = {
+        "_n": F.count(v).over(upto),
+        "_mean": F.coalesce(F.avg(v).over(upto), zero),
+        "_m2": F.coalesce(F.var_pop(v).over(upto), zero) * F.count(v).over(upto),
+    }
+    if not part.spans:
+        return part.rows.withColumns(here)
+    keys = part.keys
+    stats = part.rows.groupBy(*keys, BLOCK).agg(
         F.count(v).alias("bn"), F.avg(v).alias("bmean"), (F.var_pop(v) * F.count(v)).alias("bm2")
     )
     anchor = F.first("bmean", ignorenulls=True).over(
@@ -141,34 +183,31 @@ def running_moments(blocks: DataFrame, keys: list[str], order: list[str], value:
         "_s2": F.sum(F.col("bm2") + n * off * off).over(_earlier(keys)),
         "_m0": F.col("m0"),
     }
-    inside = _inside(keys, order).rowsBetween(Window.unboundedPreceding, 0)
-    zero = F.lit(0.0)
     pn = F.coalesce("_pn", F.lit(0))
     pmean = F.when(pn > 0, F.col("_m0") + F.col("_s1") / pn).otherwise(0.0)
     pm2 = F.when(pn > 0, F.col("_s2") - F.col("_s1") * F.col("_s1") / pn).otherwise(0.0)
-    joined = _with_carry(_by_block(blocks), stats, keys, carry).withColumns({
-        "_hn": F.count(v).over(inside),
-        "_hmean": F.coalesce(F.avg(v).over(inside), zero),
-        "_hvar": F.coalesce(F.var_pop(v).over(inside), zero),
-    })
-    total = pn + F.col("_hn")
-    share = F.when(total > 0, F.col("_hn") / total).otherwise(0.0)
-    gap = F.col("_hmean") - pmean
+    joined = _with_carry(part.placed(), stats, keys, carry).withColumns({f"_h{k}": c for k, c in here.items()})
+    total = pn + F.col("_h_n")
+    share = F.when(total > 0, F.col("_h_n") / total).otherwise(0.0)
+    gap = F.col("_h_mean") - pmean
     return joined.withColumns({
         "_n": total,
         "_mean": pmean + gap * share,
-        "_m2": pm2 + F.col("_hvar") * F.col("_hn") + gap * gap * pn * share,
-    }).drop(*carry, "_hn", "_hmean", "_hvar")
+        "_m2": pm2 + F.col("_h_m2") + gap * gap * pn * share,
+    }).drop(*carry, "_h_n", "_h_mean", "_h_m2")
 
 
-def previous(blocks: DataFrame, keys: list[str], order: list[str], columns: dict[str, str]) -> DataFrame:
+def previous(part: Part, columns: dict[str, str]) -> DataFrame:
     """Values of the row just before this one in its key: ``columns`` maps source to output name."""
     values = F.struct(*[F.col(c) for c in columns])
-    last = blocks.groupBy(*keys, BLOCK).agg(
-        F.max_by(values, F.struct(*[F.col(o) for o in order])).alias("_last")
-    )
-    carry = {"_before": F.lag("_last").over(Window.partitionBy(*keys).orderBy(BLOCK))}
-    found = _with_carry(_by_block(blocks), last, keys, carry).withColumn(
-        "_prev", F.coalesce(F.lag(values).over(_inside(keys, order)), F.col("_before"))
-    )
-    return found.withColumns({out: F.col("_prev")[c] for c, out in columns.items()}).drop("_prev", "_before")
+    before = F.lag(values).over(part.inside())
+    if part.spans:
+        last = part.rows.groupBy(*part.keys, BLOCK).agg(
+            F.max_by(values, F.struct(*[F.col(o) for o in part.order])).alias("_last")
+        )
+        carry = {"_before": F.lag("_last").over(Window.partitionBy(*part.keys).orderBy(BLOCK))}
+        rows = _with_carry(part.placed(), last, part.keys, carry)
+        found = rows.withColumn("_prev", F.coalesce(before, F.col("_before"))).drop("_before")
+    else:
+        found = part.rows.withColumn("_prev", before)
+    return found.withColumns({out: F.col("_prev")[c] for c, out in columns.items()}).drop("_prev")

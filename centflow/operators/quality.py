@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from centflow import schemas as sc
 from centflow.operators.marts import latest_state
-from centflow.operators.ordered import ordered_blocks, previous
+from centflow.operators.ordered import Part, in_order, previous
 
 # The declared checks of the sources and models.
 NOT_NULL = {
@@ -96,17 +96,22 @@ def append_only_audit(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def state_machine_audit(state_log: DataFrame) -> DataFrame:
     """Log rows on an edge that does not exist, or that do not continue from the previous state."""
-    blocks = ordered_blocks(state_log, ["transaction_id"], ["created_at", "id"])
-    seen = previous(blocks, ["transaction_id"], ["created_at", "id"], {"to_state": "previous_to"})
-    edge = F.lit(False)
+    edge = F.col("to_state") == sc.FAILED
     for a, b in sc.ALLOWED_EDGES:
         edge = edge | (F.col("from_state").eqNullSafe(F.lit(a)) & (F.col("to_state") == b))
-    edge = edge | (F.col("to_state") == sc.FAILED)
     broken = ~F.col("from_state").eqNullSafe(F.col("previous_to"))
-    return (
-        seen.withColumns({"bad_edge": ~edge, "broken_chain": broken})
-        .where("bad_edge OR broken_chain")
-        .select("id", "transaction_id", "from_state", "to_state", "previous_to", "bad_edge", "broken_chain")
+    columns = ["id", "transaction_id", "from_state", "to_state"]
+
+    def broken_rows(part: Part) -> DataFrame:
+        return (
+            previous(part, {"to_state": "previous_to"})
+            .withColumns({"bad_edge": ~edge, "broken_chain": broken})
+            .where("bad_edge OR broken_chain")
+            .select(*columns, "previous_to", "bad_edge", "broken_chain")
+        )
+
+    return in_order(
+        state_log.select(*columns, "created_at"), ["transaction_id"], ["created_at", "id"], broken_rows
     )
 
 

@@ -5,7 +5,7 @@ The log has ``ts``, ``is_error`` and ``latency``.
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from centflow.operators.ordered import ordered_blocks, running_sum
+from centflow.operators.ordered import in_order, running_sum
 from centflow.operators.skew import spread_join
 
 
@@ -24,19 +24,20 @@ def latency_quantiles(
 ) -> DataFrame:
     """Exact interpolated quantiles per window, and whether the highest is above the threshold.
 
-    Equal latencies are first counted; the rank of each distinct value is a running count over range
-    blocks. No task ever holds the values of a whole window, unlike the exact percentile aggregate.
+    Equal latencies are first counted; the rank of each distinct value is a running count. No task
+    ever holds all values of a window that is hot, unlike the exact percentile aggregate.
     """
     quantiles = quantiles or {"p50": 0.5, "p99": 0.99}
-    counted = (
-        log.where(F.col("latency").isNotNull())
-        .groupBy(F.window("ts", size)["start"].alias("window_start"), "latency")
-        .agg(F.count("*").alias("_n"))
+    known = log.where(F.col("latency").isNotNull()).select(
+        F.window("ts", size)["start"].alias("window_start"), "latency"
     )
-    blocks = ordered_blocks(counted, ["window_start"], ["latency"])
-    ranked = running_sum(blocks, ["window_start"], ["latency"], {"_upto": F.col("_n")})
-    totals = blocks.groupBy("window_start").agg(F.sum("_n").alias("_all"))
-    ranked = spread_join(ranked, totals, ["window_start"], hot_from=blocks)
+    counted = known.groupBy("window_start", "latency").agg(F.count("*").alias("_n"))
+    ranked = in_order(
+        counted, ["window_start"], ["latency"], lambda part: running_sum(part, {"_upto": F.col("_n")}).select(
+            *counted.columns, "_upto"), hot_from=known,
+    )
+    totals = known.groupBy("window_start").agg(F.count("*").alias("_all"))
+    ranked = spread_join(ranked, totals, ["window_start"], hot_from=known)
 
     def at(position):
         """The value at a 0-based position of the sorted latencies."""

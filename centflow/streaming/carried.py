@@ -9,7 +9,7 @@ again replaces its own files, which makes a rerun exact.
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F
 
-from centflow.operators.ordered import ordered_blocks, running_moments
+from centflow.operators.ordered import Part, ordered_blocks, running_moments
 from centflow.operators.skew import spread_join
 
 _KEY, _ORDER, _VALUE = "merchant_id", ["received_at", "event_id"], "amount_cents"
@@ -58,7 +58,8 @@ def zscore_sink(state: str, out: str, min_n: int = 3, compact_every: int = 100):
                 raise
             raise RuntimeError(f"the state under {state} is incomplete") from missing
         old = _merged(old)
-        run = spread_join(running_moments(blocks, [_KEY], _ORDER, _VALUE), old, [_KEY], "left", hot_from=blocks)
+        run = running_moments(Part(blocks, [_KEY], _ORDER, True), _VALUE)
+        run = spread_join(run, old, [_KEY], "left", hot_from=blocks)
         n = F.coalesce("_on", F.lit(0)) + F.col("_n")
         gap = F.col("_mean") - F.coalesce("_omean", F.lit(0.0))
         known = F.col("_on").isNotNull()

@@ -26,8 +26,8 @@ def spark():
 
 
 @pytest.fixture
-def many_blocks(spark):
-    """Keep small range partitions apart, so that keys span blocks."""
+def many_blocks(spark, all_hot):
+    """Treat frequent keys as hot and keep small range partitions apart, so that keys span blocks."""
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     yield
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
@@ -40,6 +40,7 @@ def all_hot(monkeypatch):
 
     monkeypatch.setattr(skew, "HOT_MIN_ROWS", 1)
     monkeypatch.setattr(skew, "HOT_SHARE", 1e-3)
+    monkeypatch.setattr(skew, "HOT_PARTITIONS", 0)
 
 
 @pytest.fixture

@@ -27,6 +27,15 @@ def events():
     return rows
 
 
+@pytest.fixture(params=["plain", "mixed", "blocks"])
+def layout(request, monkeypatch):
+    """No hot key, one hot key beside ordinary ones, or only hot keys."""
+    if request.param != "plain":
+        request.getfixturevalue("many_blocks")
+    if request.param == "mixed":
+        monkeypatch.setattr(skew, "HOT_MIN_ROWS", 250)
+
+
 COLUMNS = "event_id string, merchant_id string, stripe_customer_id string, amount_cents bigint, received_at timestamp, event_type string"
 
 
@@ -43,7 +52,7 @@ def test_hot_key_spans_blocks(df, many_blocks):
 
 
 @pytest.mark.parametrize("size", [1, 60, 300])
-def test_trailing_counts(df, events, many_blocks, size):
+def test_trailing_counts(df, events, layout, size):
     got = {r.event_id: r.n for r in features.tx_velocity(df, {"n": size}).collect()}
     for e in events:
         want = sum(o[1] == e[1] and timedelta(0) <= e[4] - o[4] <= timedelta(seconds=size) for o in events)
@@ -57,7 +66,7 @@ def test_trailing_counts_ignore_null_times(spark, many_blocks):
     assert got == {"a": None, "b": 1, "c": 2}
 
 
-def test_running_zscore(df, events, many_blocks):
+def test_running_zscore(df, events, layout):
     got = {r.event_id: r.amount_zscore for r in features.zscore_running(df).collect()}
     both = {r.event_id: r for r in features.velocity_and_zscore(df).collect()}
     seen = {}
@@ -92,7 +101,7 @@ def test_large_amounts_keep_their_digits(spark, many_blocks):
     assert got == pytest.approx(exact, abs=1e-4)
 
 
-def test_device_switch(df, events, many_blocks):
+def test_device_switch(df, events, layout):
     got = {r.event_id: r.device_switch_flag for r in features.device_switch(df).collect()}
     last = {}
     for e in sorted(events, key=lambda e: (e[4], e[0])):
@@ -102,7 +111,7 @@ def test_device_switch(df, events, many_blocks):
         assert got[e[0]] == want, e
 
 
-def test_rate_limit(df, events, many_blocks):
+def test_rate_limit(df, events, layout):
     got = {r.event_id: (r.position, r.limited) for r in intake.rate_limit(df, 5).collect()}
     used = {}
     for e in sorted(events, key=lambda e: (e[4], e[0])):
@@ -117,15 +126,17 @@ def test_rate_limit(df, events, many_blocks):
 def test_running_sum_of_nulls(spark, many_blocks):
     df = spark.createDataFrame([("a", 1, None), ("a", 2, 5), ("a", 3, None)], "k string, o int, v int")
     blocks = ordered.ordered_blocks(df, ["k"], ["o"])
-    got = ordered.running_sum(blocks, ["k"], ["o"], {"s": F.col("v")}).orderBy("o").collect()
-    assert [r.s for r in got] == [0, 5, 5]
+    for part in ordered.Part(df, ["k"], ["o"]), ordered.Part(blocks, ["k"], ["o"], True):
+        got = ordered.running_sum(part, {"s": F.col("v")}).orderBy("o").collect()
+        assert [r.s for r in got] == [0, 5, 5]
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
 def test_spread_join_equals_plain_join(spark, all_hot, how):
     many = spark.range(400).selectExpr("id", "CASE WHEN id % 7 = 0 THEN NULL WHEN id % 3 = 0 THEN 'hot' ELSE concat('k', id % 50) END k")
     one = spark.createDataFrame([("hot", 1), ("k4", 2), ("k5", 3), ("none", 4)], "k string, v int")
-    assert skew.find_hot(many, ["k"]).values and skew.find_hot(many, ["k"]).nulls
+    hot = skew.find_hot(many, ["k"])
+    assert "hot" in [v for values in hot.by_salts.values() for v in values] and hot.null_salts
     got = skew.spread_join(many, one, ["k"], how)
     want = many.join(one, "k", how)
     assert sorted(map(tuple, got.select(want.columns).collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
