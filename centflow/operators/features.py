@@ -4,9 +4,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from centflow import schemas as sc
 from centflow.functions.scalar import date_range, enrich
-from centflow.operators.ordered import Part, in_order, previous, running_moments, running_sum_with_peers
+from centflow.operators.ordered import Part, in_order, key_moments, previous, running_moments, running_sum_with_peers
 from centflow.operators.skew import spread_join
-from centflow.session import written
 
 
 VELOCITIES = {"tx_velocity_1m": 60, "tx_velocity_5m": 300}
@@ -170,21 +169,22 @@ def reconstruct_features(
     """The offline feature table of settled transactions; an empty input gives an empty table.
 
     Velocities and z-scores see only the selected, settled rows. The device sequence is not stored,
-    so its flag is 0. The joined history is stored once, since three steps start from it.
+    so its flag is 0. Both features of the merchant come from one ordering of the joined history.
     """
-    base = written(settled_history(state_log, ledger, start, end, inclusive_end), "history")
-    timed = tx_velocity(base, ts="created_at")
-    per_merchant = (
-        key_stats(base, "merchant_id", "amount_cents")
-        .join(risk.select("merchant_id", "score"), "merchant_id", "left")
+    history = settled_history(state_log, ledger, start, end, inclusive_end).select(
+        "transaction_id", "merchant_id", "event_id", "created_at", "amount_cents", "settled_at"
     )
-    df = spread_join(timed, per_merchant, ["merchant_id"], "left", hot_from=base)
-    df = enrich(df, ts="created_at").withColumns({
-        "amount_zscore": batch_z("amount_cents"),
-        "merchant_risk_score": F.coalesce("score", F.lit(sc.DEFAULT_MERCHANT_RISK)),
-        "device_switch_flag": F.lit(0),
-    })
-    return df.select(
+
+    def both(part: Part) -> DataFrame:
+        rows = _trailing(part, VELOCITIES, key_moments(part, "amount_cents"))
+        return rows.withColumn("amount_zscore", batch_z("amount_cents")).select(
+            *history.columns, *VELOCITIES, "amount_zscore"
+        )
+
+    steps = _with_exits(history, VELOCITIES, "merchant_id", "created_at", "event_id")
+    df = in_order(steps, ["merchant_id"], ["_at", "event_id"], both, hot_from=state_log)
+    df = enrich(with_merchant_risk(df, risk, hot_from=state_log), ts="created_at")
+    return df.withColumn("device_switch_flag", F.lit(0)).select(
         "transaction_id", "merchant_id", "event_id", "settled_at",
         *[F.col(c).cast("double").alias(c) for c in sc.FEATURE_ORDER],
     )

@@ -197,6 +197,24 @@ def running_moments(part: Part, value: str) -> DataFrame:
     }).drop(*carry, "_h_n", "_h_mean", "_h_m2")
 
 
+def key_moments(part: Part, value: str, rows: DataFrame | None = None) -> DataFrame:
+    """Mean and sample deviation over all rows of the key: columns ``_mean`` and ``_std``.
+
+    For blocks they come from an aggregate with one row per hot key, whose number is bounded.
+    """
+    rows = (part.placed() if part.spans else part.rows) if rows is None else rows
+    if not part.spans:
+        whole = Window.partitionBy(*part.keys)
+        return rows.withColumns({"_mean": F.avg(value).over(whole), "_std": F.stddev_samp(value).over(whole)})
+    stats = part.rows.groupBy(*[F.col(k).alias(f"_k_{k}") for k in part.keys]).agg(
+        F.avg(value).alias("_mean"), F.stddev_samp(value).alias("_std")
+    )
+    match = F.lit(True)
+    for k in part.keys:
+        match = match & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return rows.join(F.broadcast(stats), match, "left").drop(*[f"_k_{k}" for k in part.keys])
+
+
 def previous(part: Part, columns: dict[str, str]) -> DataFrame:
     """Values of the row just before this one in its key: ``columns`` maps source to output name."""
     values = F.struct(*[F.col(c) for c in columns])
