@@ -26,10 +26,10 @@ class Views:
     """Attribute access to the derived tables of one folder."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
-        self.spark, self.sf_dir = configure(spark), sf_dir
+        self.spark, self.sf_dir, self._seen = configure(spark), sf_dir, {}
 
     def __getattr__(self, name: str) -> DataFrame:
-        return view(self.spark, self.sf_dir, name)
+        return view(self.spark, self.sf_dir, name, self._seen)
 
     @property
     def stg(self) -> DataFrame:

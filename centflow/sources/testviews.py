@@ -167,12 +167,16 @@ def needs(text: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"(?<!\{)\{(\w+)\}(?!\})", text)))
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One derived table over the test tables in ``sf_dir``."""
-    if name in TABLES:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    text = SPARK_VIEWS.get(name, VIEWS[name])
-    return spark.sql(text, **{n: view(spark, sf_dir, n) for n in needs(text)})
+def view(spark: SparkSession, sf_dir: str, name: str, seen: dict[str, DataFrame] | None = None) -> DataFrame:
+    """One derived table over the test tables in ``sf_dir``; ``seen`` keeps those already defined."""
+    seen = {} if seen is None else seen
+    if name not in seen:
+        if name in TABLES:
+            seen[name] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        else:
+            text = SPARK_VIEWS.get(name, VIEWS[name])
+            seen[name] = spark.sql(text, **{n: view(spark, sf_dir, n, seen) for n in needs(text)})
+    return seen[name]
 
 
 def with_views(query: str) -> str:
