@@ -1,6 +1,7 @@
 """Every operator as a named query over the test tables."""
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from datetime import date
 from functools import reduce
 
@@ -72,6 +73,23 @@ def stream_view(spark: SparkSession, events: DataFrame, name: str) -> DataFrame:
     return spark.sql(VIEWS[name], **{n: stream_view(spark, events, n) for n in needs(VIEWS[name])})
 
 
+@contextmanager
+def state_per_core(spark: SparkSession) -> Iterator[None]:
+    """Start streams with no more state partitions than cores; a stream keeps the number it starts with."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(min(int(before), spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def _run(spark: SparkSession, jobs: dict, checkpoint: str) -> None:
+    with state_per_core(spark):
+        started = windows.start_all(spark, jobs, checkpoint, once=True)
+    windows.wait_all(spark, started)
+
+
 def drained(df: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over all available input and read back what it wrote."""
     spark = df.sparkSession
@@ -80,11 +98,7 @@ def drained(df: DataFrame, mode: str = "append") -> DataFrame:
     def store(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
-    query = (
-        df.writeStream.outputMode(mode).foreachBatch(store)
-        .option("checkpointLocation", checkpoint).trigger(**windows.trigger(once=True)).start()
-    )
-    query.awaitTermination()
+    _run(spark, {"drained": (df, mode, store)}, checkpoint)
     return spark.read.parquet(out)
 
 
@@ -187,7 +201,7 @@ def _velocity_upsert(v: Views) -> DataFrame:
     path, checkpoint = scratch_path(v.spark, "velocity"), scratch_path(v.spark, "velocity-checkpoint")
     fixed = F.lit("2024-02-01 00:00:00").cast("timestamp")
     job = {"velocity": (windows.velocity_1m(v.stream("payment_events")), "update", tables.velocity_sink(path, now=fixed))}
-    windows.wait_all(v.spark, windows.start_all(v.spark, job, checkpoint, once=True))
+    _run(v.spark, job, checkpoint)
     return tables.read_velocity(v.spark, path, fixed).select("merchant_id", "epoch_minute", "count")
 
 
@@ -195,7 +209,7 @@ def _feature_upsert(v: Views) -> DataFrame:
     path, checkpoint = scratch_path(v.spark, "features"), scratch_path(v.spark, "features-checkpoint")
     fixed = F.lit("2024-02-01 00:00:00").cast("timestamp")
     job = {"features": (enrich(v.stream("payment_events")), "append", tables.feature_sink(path, now=fixed))}
-    windows.wait_all(v.spark, windows.start_all(v.spark, job, checkpoint, once=True))
+    _run(v.spark, job, checkpoint)
     return rounded(tables.read_features(v.spark, path, fixed).select("event_id", *sc.FEATURE_ORDER), "amount_cents_log")
 
 
@@ -245,7 +259,7 @@ def _stream_zscore(v: Views) -> DataFrame:
 def _stream_zscore_carried(v: Views) -> DataFrame:
     state, out, checkpoint = (scratch_path(v.spark, n) for n in ("z-state", "z-out", "z-checkpoint"))
     job = {"carried": (v.stream("payment_events"), "append", carried.zscore_sink(state, out))}
-    windows.wait_all(v.spark, windows.start_all(v.spark, job, checkpoint, once=True))
+    _run(v.spark, job, checkpoint)
     return rounded(v.spark.read.parquet(out).select("event_id", "amount_zscore"), "amount_zscore", digits=4)
 
 
@@ -268,7 +282,9 @@ def _stream_lifecycle(v: Views) -> DataFrame:
     folder, checkpoint = scratch_path(v.spark, "lifecycle"), scratch_path(v.spark, "lifecycle-checkpoint")
     cents = scoring.by_expression(F.col("amount_cents") % 100 / 100)
     received = v.stream("webhook_received").select(*sc.WEBHOOK_RECEIVED.fieldNames())
-    stream_lifecycle.start_lifecycle(received, cents, folder, checkpoint, once=True).awaitTermination()
+    with state_per_core(v.spark):
+        query = stream_lifecycle.start_lifecycle(received, cents, folder, checkpoint, once=True)
+    query.awaitTermination()
     kinds = {
         "payment_state_log": "to_state", "ledger_entries": "entry_type", "dlq": "failure_reason",
         "manual_review_queue": "status", "alerts": "topic",

@@ -6,14 +6,19 @@ micro-batch is bounded by the source's admission limit (``maxOffsetsPerTrigger``
 too hot for one task.
 """
 
+import sys
 from collections.abc import Iterator
 from math import sqrt
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from centflow import schemas as sc
 
+# Python workers get the processors with the query and need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def _micros(ts) -> int:
     return round(ts.timestamp() * 1_000_000)
