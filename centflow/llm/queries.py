@@ -3,13 +3,21 @@
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from centflow.llm import bpe, token_output
+from centflow.llm import bpe, language_id, quality_rules, token_output, toxicity
 from centflow.llm.batches import table
 from centflow.session import configure, scratch_path, written
 
 
+#: Rows whose checksum leaves this remainder are held out of every fit.
+FOLDS, HELD_OUT = 4, 2
+
+
+def held_out(id_column: str = "doc_id") -> Column:
+    return F.crc32(F.col(id_column).cast("string")) % FOLDS == HELD_OUT
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as token files, read back."""
     configure(spark)
@@ -19,16 +27,41 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read_token_files(written(manifest, "token-manifest"), with_ids=False)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents, learned from the labelled ones that are not held out."""
+    configure(spark)
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~held_out()))
+    return toxicity.predict(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids of every document and of what they decode to."""
     configure(spark)
     return bpe.digests(bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, base rule and compression bands of all documents."""
+    configure(spark)
+    return quality_rules.measure(table(spark, sf_dir, "documents"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents, learned from those that are not held out."""
+    configure(spark)
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs.where(~held_out()))
+    return language_id.predict(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_token_files": op2_token_files,
+        "op3_toxicity": op3_toxicity,
         "op4_bpe": op4_bpe,
+        "op7_quality_rules": op7_quality_rules,
+        "op10_language_id": op10_language_id,
     }
 
 
