@@ -25,7 +25,7 @@ from centflow.llm.batches import filled, slices
 from centflow.llm.clause_grammar import CLASSES, PRIOR, Grammar
 
 SAMPLE, STEMS, SHORTEST, LONGEST_STEM = 20_000, 1_000, 4, 10
-MIN_ODDS, THRESHOLD = 3.0, 0.3
+MIN_ODDS, THRESHOLD = 3.5, 0.3
 BASE_RATE, PRIOR_SCALE, STRENGTH = 0.05, 2.5, 0.05
 _WORD = pattern(r"[^\W\d_]+")
 
@@ -84,7 +84,7 @@ def _stem_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learn_stems(sample: DataFrame) -> dict[str, float]:
-    """Stems with log odds of at least MIN_ODDS in at least three and one in 100 of the toxic texts.
+    """Stems with log odds of at least MIN_ODDS in at least three and one in 50 of the toxic texts.
 
     Of a stem and a longer one in nearly the same texts the longer one stays; of others the shorter one.
     """
@@ -92,7 +92,7 @@ def learn_stems(sample: DataFrame) -> dict[str, float]:
     rate = lambda n, total: (F.col(n) + 0.5) / (total + 1.0)
     counted = sample.mapInArrow(_stem_counts, "stem string, toxic long, clean long")
     odds = (counted.groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-            .where(F.col("toxic") >= max(3, totals["toxic"] / 100))
+            .where(F.col("toxic") >= max(3, totals["toxic"] / 50))
             .withColumn("odds", F.log(rate("toxic", totals["toxic"]) / rate("clean", totals["clean"])))
             .where(F.col("odds") >= MIN_ODDS))
     found = odds.orderBy(F.desc(F.col("odds") * F.sqrt("toxic")), F.length("stem"), "stem").limit(STEMS).collect()
