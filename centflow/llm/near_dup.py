@@ -11,8 +11,9 @@ linked if 100 * |intersection| >= percent * |union|; documents with the empty se
 3. Candidates are tested by batches of signature values: a pair goes when the posterior probability (from a
    uniform prior) that it reaches the threshold falls below ``miss``. Full sets decide about the rest.
 4. Pairs come in rounds, and a pair whose nodes are connected by then is not tested: each node with one pivot,
-   then all nodes of a bucket with its pivot, then nodes of a bucket that no links connect yet. So a group of
-   many mutual copies costs one pair per member and band instead of all pairs.
+   then all nodes of a bucket with its pivot. So a group of mutual copies costs a few pairs per member instead of
+   all. Nodes of buckets that are not connected then are compared by families (nodes that buckets connect), block
+   against block inside tasks: signatures first, then full sets, and only links that connect something come out.
 
 Defined results: rows of one id are documents of their own that share the id; a null id never names a component
 unless all its documents have none; a null text is empty. Further columns do not matter. An empty table gives no
@@ -22,17 +23,20 @@ rows.
 import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from centflow.llm.batches import slices, words
+from centflow.llm.batches import as_lists, slices, words
 from centflow.llm.components import connected
 from centflow.session import written
 
-_BLOCK = 1 << 17
+#: Nodes in a block of those that are compared with each other in one task.
+BLOCK = 512
+_SHINGLES_AT_ONCE = 1 << 17
 _MIX1, _MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
 
@@ -113,7 +117,7 @@ def signatures(shingles: np.ndarray, sizes: np.ndarray, factors: np.ndarray) ->
     out = np.empty((len(sizes), len(factors)), np.uint32)
     first = 0
     while first < len(sizes):
-        last = max(first + 1, int(np.searchsorted(starts, starts[first] + _BLOCK)))
+        last = max(first + 1, int(np.searchsorted(starts, starts[first] + _SHINGLES_AT_ONCE)))
         stop = starts[last] if last < len(starts) else len(shingles)
         part, at = shingles[starts[first]:stop], starts[first:last] - starts[first]
         for j, factor in enumerate(factors):
@@ -171,38 +175,47 @@ def _likely(pairs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(test, "a long, b long")
 
 
-def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs whose full sets reach the threshold; ``docs`` (id, text) is read again for the sets of their nodes."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = nodes.join(wanted, "node").select("node", "label", "d1", "d2")
+def _sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
+    """(node, shingles) of the wanted nodes; ``docs`` (id, text) is read again for them."""
+    wanted = nodes.join(wanted.select("node").distinct(), "node").select("node", "label", "d1", "d2")
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             shingles, sizes = shingle_sets(batch.column("text"), rule.shingle)
-            own = [shingles[e - n:e].tobytes() for e, n in zip(np.cumsum(sizes).tolist(), sizes.tolist())]
-            both = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, own)), np.int64).reshape(-1, 2)
+            ends = np.cumsum(sizes)
+            digests = [xxhash.xxh3_128_digest(shingles[e - n:e].tobytes()) for e, n in zip(ends.tolist(), sizes.tolist())]
+            both = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_pydict({"d1": pa.array(both[:, 0]), "d2": pa.array(both[:, 1]),
-                                              "shingles": pa.array(own, pa.binary())})
+                                              "shingles": as_lists(shingles.view(np.int64), sizes, pa.int64())})
+
+    named = wanted.select(F.col("label").alias("named")).distinct()
+    texts = docs.join(named, F.col("id").eqNullSafe(F.col("named")), "left_semi")
+    return written(texts.mapInArrow(sets, "d1 long, d2 long, shingles array<long>").join(wanted, ["d1", "d2"])
+                   .groupBy("node").agg(F.first("shingles").alias("shingles")), "shingle-sets")
 
-    texts = docs.join(wanted.select(F.col("label").alias("id")).distinct(), docs["id"].eqNullSafe(F.col("id")), "left_semi")
-    found = (texts.mapInArrow(sets, "d1 long, d2 long, shingles binary").join(wanted, ["d1", "d2"])
-             .groupBy("node").agg(F.first("shingles").alias("shingles")))
-    full = written(found, "shingle-sets")
-    side = lambda name: full.select(F.col("node").alias(name), F.col("shingles").alias(f"s{name}"))
+
+def _linked(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs whose full sets reach the threshold."""
+    side = lambda name: sets.select(F.col("node").alias(name), F.col("shingles").alias(f"s{name}"))
 
     def decide(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
-            for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                both = int((y[at] == x).sum())
+            x_all, y_all = (batch.column(c).values.to_numpy() for c in ("sa", "sb"))
+            x_at, y_at = (batch.column(c).offsets.to_numpy() for c in ("sa", "sb"))
+            for i in range(batch.num_rows):
+                x, y = x_all[x_at[i]:x_at[i + 1]], y_all[y_at[i]:y_at[i + 1]]
+                both = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
                 good.append(100 * both >= rule.percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(decide, "a long, b long")
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
+
+
 def _apart(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
     """Pairs that no links connect so far."""
     if labels is None:
@@ -224,35 +237,95 @@ def components(df: DataFrame, rule: Rule, id_column: str = "doc_id", text_column
     pivots = banded.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot < last")
     buckets = written(banded.join(pivots.select("key", "pivot"), "key"), "buckets")
 
-    links = labels = tried = None
-    for number in range(3):
-        if number == 0:
-            pairs = buckets.where("node <> pivot").groupBy("node").agg(F.min("pivot").alias("b")).withColumnRenamed("node", "a")
-        elif number == 1:
-            pairs = buckets.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-        else:
-            pairs = _unconnected(buckets, labels)
-        pairs = _apart(pairs, labels)
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = written(pairs, "candidates")
-        tried = pairs if tried is None else tried.union(pairs)
+    labels, found = None, []
+    for propose in (_first_pivots, _pivots):
+        pairs = _apart(propose(buckets, labels), labels)
         likely = written(_likely(pairs, nodes, rule), "likely")
-        found = written(_linked(likely, nodes, docs, rule), "found")
-        links = found if links is None else links.union(found)
-        labels = written(connected(links), "labels")
-
+        found.append(written(_linked(likely, _sets(_ends(likely), nodes, docs, rule), rule), "found"))
+        labels = written(connected(reduce(DataFrame.union, found)), "labels")
+    rest = written(_mixed(buckets, labels), "unconnected")
+    stars = rest.join(rest.groupBy("key").agg(F.min("node").alias("least")), "key")
+    families = written(connected(stars.select(F.col("node").alias("a"), F.col("least").alias("b"))), "families")
+    members = (rest.select("node", "label").distinct()
+               .join(families.select("node", F.col("label").alias("family")), "node")
+               .join(_sets(rest, nodes, docs, rule), "node").join(nodes.select("node", "signature"), "node"))
+    found.append(written(_compared(members, rule), "found"))
+    labels = written(connected(reduce(DataFrame.union, found)), "labels")
     return _named(rows, nodes, labels)
 
 
-def _unconnected(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of nodes in one bucket that no links connect so far; larger node first."""
+def _first_pivots(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Each node with the smallest pivot of its buckets."""
+    return (buckets.where("node <> pivot").groupBy("node").agg(F.min("pivot").alias("b"))
+            .select(F.col("node").alias("a"), "b"))
+
+
+def _pivots(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """Each node with the pivots of all its buckets."""
+    return buckets.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+
+
+def _mixed(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, node, label) of the buckets whose nodes no links connect so far."""
     known = (buckets.select("key", "node").join(labels, "node", "left")
              .select("key", "node", F.coalesce("label", "node").alias("label")))
     mixed = known.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
-    rest = known.join(mixed, "key")
-    left, right = (rest.select("key", F.col("node").alias(n), F.col("label").alias(f"l{n}")) for n in ("a", "b"))
-    return left.join(right, "key").where("a > b and la <> lb").select("a", "b").distinct()
+    return known.join(mixed, "key")
+
+
+def _compared(members: DataFrame, rule: Rule) -> DataFrame:
+    """Links among the members (node, label, family, signature, shingles) of families, enough to connect them.
+
+    Families of more than BLOCK nodes are dealt into blocks and compared block by block, smaller ones share a
+    block. Only links between nodes that no links connect yet leave a task, fewer than it has nodes.
+    """
+    sizes = members.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    bins = F.lit(max(1, -(-members.count() // BLOCK)))
+    block = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    alone = F.struct(F.lit(-1).cast("long").alias("unit"), *(F.pmod(F.xxhash64("family"), bins).cast("long").alias(c) for c in "ij"))
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1),
+                        lambda x: F.struct(F.col("family").alias("unit"), F.least("block", x).alias("i"), F.greatest("block", x).alias("j")))
+    dealt = (members.join(sizes, "family").withColumn("block", block.cast("long"))
+             .withColumn("of", F.explode(F.when(F.col("blocks") == 1, F.array(alone)).otherwise(pairs)))
+             .select("of.*", "block", "family", "node", "label", "signature", "shingles"))
+    limits = rule.least_matches()
+
+    def compare(unit: pa.Table) -> pa.Table:
+        unit = unit.combine_chunks()
+        family, node, label, own = (unit[c].to_numpy() for c in ("family", "node", "label", "block"))
+        apart = unit["i"][0].as_py() != unit["j"][0].as_py()
+        values = np.frombuffer(b"".join(unit["signature"].to_pylist()), np.uint16).reshape(len(node), -1)
+        lists = unit["shingles"].combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        shingles, at = lists.values.to_numpy(), lists.offsets.to_numpy()
+        parent = {x: x for x in label.tolist()}
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        links = []
+        for x in range(len(node)):
+            y = np.flatnonzero((family[x + 1:] == family[x]) & (label[x + 1:] != label[x])) + x + 1
+            y = y[own[y] != own[x]] if apart else y
+            matches, done = np.zeros(len(y), np.int64), 0
+            for n, least in limits:
+                matches += (values[y, done:n] == values[x, done:n]).sum(1)
+                y, matches, done = y[matches >= least], matches[matches >= least], n
+            mine = shingles[at[x]:at[x + 1]]
+            for other in y.tolist():
+                a, b = root(int(label[x])), root(int(label[other]))
+                if a == b:
+                    continue
+                theirs = shingles[at[other]:at[other + 1]]
+                union = len(np.unique(np.concatenate([mine, theirs])))
+                if 100 * (len(mine) + len(theirs) - union) >= rule.percent * union:
+                    parent[a] = b
+                    links.append((int(node[x]), int(node[other])))
+        return pa.table({"a": pa.array([l[0] for l in links], pa.int64()), "b": pa.array([l[1] for l in links], pa.int64())})
+
+    return dealt.groupBy("unit", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def _named(rows: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from centflow.llm import bpe, language_id, quality_rules, token_output, toxicity
+from centflow.llm import bpe, language_id, near_dup, quality_rules, token_output, toxicity
 from centflow.llm.batches import table
 from centflow.session import configure, scratch_path, written
 
@@ -41,6 +41,13 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 3-word shingles agree to 85 percent."""
+    configure(spark)
+    found = near_dup.components(table(spark, sf_dir, "documents"), near_dup.Rule(shingle=3, percent=85))
+    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base rule and compression bands of all documents."""
     configure(spark)
@@ -60,6 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_token_files": op2_token_files,
         "op3_toxicity": op3_toxicity,
         "op4_bpe": op4_bpe,
+        "op5_near_dup": op5_near_dup,
         "op7_quality_rules": op7_quality_rules,
         "op10_language_id": op10_language_id,
     }
