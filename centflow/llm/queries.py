@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from centflow.llm import bpe, language_id, near_dup, quality_rules, token_output, toxicity
+from centflow.llm import bpe, hash_ring, language_id, near_dup, quality_rules, token_output, toxicity
 from centflow.llm.batches import table
 from centflow.session import configure, scratch_path, written
 
@@ -48,6 +48,17 @@ def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents on a ring of eight shards whose row counts are at most one apart."""
+    configure(spark)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    found = hash_ring.assign(docs, "doc_id", ["size", "text_crc32"], shards=8)
+    return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                        F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base rule and compression bands of all documents."""
     configure(spark)
@@ -68,6 +79,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_toxicity": op3_toxicity,
         "op4_bpe": op4_bpe,
         "op5_near_dup": op5_near_dup,
+        "op6_sharding": op6_sharding,
         "op7_quality_rules": op7_quality_rules,
         "op10_language_id": op10_language_id,
     }
