@@ -5,7 +5,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from centflow.llm import bpe, hash_ring, language_id, near_dup, quality_rules, token_output, toxicity
+from centflow.llm import (
+    bpe, decontaminate, hash_ring, html_template, language_id, license_scan, near_dup, quality_rules, token_output, toxicity,
+)
 from centflow.llm.batches import table
 from centflow.session import configure, scratch_path, written
 
@@ -18,6 +20,12 @@ def held_out(id_column: str = "doc_id") -> Column:
     return F.crc32(F.col(id_column).cast("string")) % FOLDS == HELD_OUT
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licenses found in documents."""
+    configure(spark)
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as token files, read back."""
     configure(spark)
@@ -65,6 +73,18 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.measure(table(spark, sf_dir, "documents"))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in documents."""
+    configure(spark)
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    configure(spark)
+    return html_template.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages of all documents, learned from those that are not held out."""
     configure(spark)
@@ -75,12 +95,15 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_license_scan": op1_license_scan,
         "op2_token_files": op2_token_files,
         "op3_toxicity": op3_toxicity,
         "op4_bpe": op4_bpe,
         "op5_near_dup": op5_near_dup,
         "op6_sharding": op6_sharding,
         "op7_quality_rules": op7_quality_rules,
+        "op8_decontaminate": op8_decontaminate,
+        "op9_main_text": op9_main_text,
         "op10_language_id": op10_language_id,
     }
 
