@@ -15,9 +15,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from centflow.llm.batches import PieceCache, as_lists, filled, slices
+from centflow.llm.batches import PieceCache, as_lists, filled, slices, with_columns
 from centflow.llm.prefix_bpe import PrefixBpe
 
 #: Fixed value: how byte-level tokenizers of this kind split a text.
@@ -148,7 +148,7 @@ def with_ids(df: DataFrame, path: str, text_column: str = "text", to: str = "tok
             lists = as_lists(*model.encode(batch.column(text_column)), pa.int32())
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, to])
 
-    return df.mapInArrow(encode, df.schema.add(to, "array<int>"))
+    return df.mapInArrow(encode, with_columns(df.schema, **{to: T.ArrayType(T.IntegerType())}))
 
 
 def digests(documents: DataFrame) -> DataFrame:

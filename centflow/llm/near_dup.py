@@ -28,7 +28,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from centflow.llm.batches import as_lists, slices, words
 from centflow.llm.components import connected
@@ -337,3 +337,24 @@ def _named(rows: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
     return (rows.select("id", "n", "d1", "d2").join(sets, ["d1", "d2"], "left")
             .select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"),
                     F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id")))
+
+
+def keep(df: DataFrame, rule: Rule, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows, with all their columns, that stay when one document of each component does.
+
+    Of a component the document with the smallest id stays, and of rows with equal id and text one. Documents
+    without words are linked with nothing and all stay, so do rows with a null id, which cannot be told apart.
+    """
+    found = components(df, rule, id_column, text_column)
+    gone = found.where("doc_id <> component_id and n_shingles > 0").select(F.col("doc_id").alias("_gone")).distinct()
+    kept = df.join(gone, F.col(id_column) == F.col("_gone"), "left_anti")
+    repeated = found.where("doc_id = component_id and n_shingles > 0").groupBy("doc_id").count().where("count > 1")
+    return _one_of_each(kept, repeated.select(F.col("doc_id").alias("_again")), id_column, text_column)
+
+
+def _one_of_each(rows: DataFrame, repeated: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """All rows, but of those whose id is in ``repeated`` (one column) one only for each id and text."""
+    again = F.col(id_column) == F.col("_again")
+    ranked = (rows.join(repeated, again, "left_semi")
+              .withColumn("_rank", F.row_number().over(Window.partitionBy(id_column, text_column).orderBy(id_column))))
+    return rows.join(repeated, again, "left_anti").unionByName(ranked.where("_rank = 1").drop("_rank"))
