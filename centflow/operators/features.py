@@ -54,7 +54,7 @@ def tx_velocity(
     def counts(part: Part) -> DataFrame:
         return _trailing(part, sizes).select(*df.columns, *sizes)
 
-    return in_order(_with_exits(df, sizes, key, ts, tie), [key], ["_at", tie], counts, hot_from=df)
+    return in_order(_with_exits(df, sizes, key, ts, tie), [key], ["_at", tie], counts)
 
 
 def _running_z(value: str, min_n: int) -> Column:
@@ -73,7 +73,7 @@ def zscore_running(
     return in_order(df, [key], [ts, tie], z)
 
 
-def velocity_and_zscore(df: DataFrame, hot_from: DataFrame | None = None) -> DataFrame:
+def velocity_and_zscore(df: DataFrame) -> DataFrame:
     """``tx_velocity`` and ``zscore_running`` on one ordering of the merchants' events."""
     key, ts, tie, value = "merchant_id", "received_at", "event_id", "amount_cents"
 
@@ -82,7 +82,7 @@ def velocity_and_zscore(df: DataFrame, hot_from: DataFrame | None = None) -> Dat
         return rows.withColumn("amount_zscore", _running_z(value, 3)).select(*df.columns, *VELOCITIES, "amount_zscore")
 
     steps = _with_exits(df, VELOCITIES, key, ts, tie)
-    return in_order(steps, [key], ["_at", tie], both, hot_from=df if hot_from is None else hot_from)
+    return in_order(steps, [key], ["_at", tie], both)
 
 
 def key_stats(df: DataFrame, key: str, value: str) -> DataFrame:
@@ -128,11 +128,11 @@ def device_switch(
 
 
 def with_merchant_risk(
-    df: DataFrame, risk: DataFrame, default: float = sc.DEFAULT_MERCHANT_RISK, hot_from: DataFrame | None = None
+    df: DataFrame, risk: DataFrame, default: float = sc.DEFAULT_MERCHANT_RISK
 ) -> DataFrame:
     """Add ``merchant_risk_score``; merchants without a score get the default."""
     scores = risk.select("merchant_id", F.col("score").alias("merchant_risk_score"))
-    joined = spread_join(df, scores, ["merchant_id"], "left", hot_from=hot_from)
+    joined = spread_join(df, scores, ["merchant_id"], "left")
     return joined.withColumn("merchant_risk_score", F.coalesce("merchant_risk_score", F.lit(default)))
 
 
@@ -143,8 +143,8 @@ def live_features(events: DataFrame, risk: DataFrame) -> DataFrame:
     evaluates the input of the second ordering twice, so that input should be the cheap one.
     """
     df = events.select("event_id", "merchant_id", "stripe_customer_id", "amount_cents", "received_at")
-    df = velocity_and_zscore(device_switch(df), hot_from=events)
-    df = enrich(with_merchant_risk(df, risk, hot_from=events))
+    df = velocity_and_zscore(device_switch(df))
+    df = enrich(with_merchant_risk(df, risk))
     numbers = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in sc.FEATURE_ORDER]
     return df.select("event_id", "merchant_id", "received_at", *numbers)
 
@@ -182,8 +182,8 @@ def reconstruct_features(
         )
 
     steps = _with_exits(history, VELOCITIES, "merchant_id", "created_at", "event_id")
-    df = in_order(steps, ["merchant_id"], ["_at", "event_id"], both, hot_from=state_log)
-    df = enrich(with_merchant_risk(df, risk, hot_from=state_log), ts="created_at")
+    df = in_order(steps, ["merchant_id"], ["_at", "event_id"], both)
+    df = enrich(with_merchant_risk(df, risk), ts="created_at")
     return df.withColumn("device_switch_flag", F.lit(0)).select(
         "transaction_id", "merchant_id", "event_id", "settled_at",
         *[F.col(c).cast("double").alias(c) for c in sc.FEATURE_ORDER],

@@ -50,9 +50,9 @@ def dim_users(state_log: DataFrame) -> DataFrame:
     return state_log.where(F.col("event_id").isNotNull()).select("event_id").distinct()
 
 
-def fact_transactions(stg: DataFrame, merchants: DataFrame, hot_from: DataFrame | None = None) -> DataFrame:
+def fact_transactions(stg: DataFrame, merchants: DataFrame) -> DataFrame:
     """Transactions of known merchants. The dimension is distinct, so the inner join is a semi join."""
-    return spread_join(stg, merchants, ["merchant_id"], "left_semi", hot_from=hot_from)
+    return spread_join(stg, merchants, ["merchant_id"], "left_semi")
 
 
 def fact_ledger_balanced(stg_ledger: DataFrame) -> DataFrame:

@@ -1,11 +1,11 @@
 """Running values along an order inside each key, without ever holding a hot key in one task.
 
-Rows of ordinary keys take a plain window: one shuffle by key. Rows of hot keys, if there are any,
-are range-partitioned by (key, order) and stored with the number of their block. A block is one
-contiguous stretch of about equal size, so a hot key spans many blocks. Each running value is then a
-window inside (key, block) plus the carry of the key's earlier blocks. Only the first key of a block
-can have started in an earlier one, so there is at most one carry row per block: its size is bounded
-by the number of partitions, which makes the broadcast safe.
+Rows are range-partitioned by (key, order) and stored with the number of their block. A block is one
+contiguous stretch of about equal size: it holds many ordinary keys, and a hot key spans many blocks.
+Each running value is a window inside (key, block) plus the carry of the key's earlier blocks. Only the
+first key of a block can have started in an earlier one, so there is at most one carry row per block:
+its size is bounded by the number of partitions (a few hundred bytes each), which makes the broadcast
+safe. There is no other path for small tables or keys.
 """
 
 from collections.abc import Callable
@@ -13,7 +13,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from centflow.operators.skew import find_hot
 from centflow.session import written
 
 BLOCK = "_block"
@@ -21,23 +20,20 @@ BLOCK = "_block"
 
 @dataclass
 class Part:
-    """Rows with their keys and order; ``spans`` if they are stored blocks that keys run across."""
+    """Stored blocks (see ``ordered_blocks``) with the keys and the order they were made by."""
 
     rows: DataFrame
     keys: list[str]
     order: list[str]
-    spans: bool = False
 
     def placed(self) -> DataFrame:
         """One task per block, whatever the hashes of the block numbers; windows inside need no other shuffle."""
-        if not self.spans:
-            return self.rows
         partitions = int(self.rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         return self.rows.repartitionById(partitions, F.col(BLOCK))
 
     def inside(self, order: list[str] | None = None):
-        """The window over a key, or over the stretch of a key in a block."""
-        return Window.partitionBy(*self.keys, *([BLOCK] if self.spans else [])).orderBy(*(order or self.order))
+        """The window over the stretch of a key in a block."""
+        return Window.partitionBy(*self.keys, BLOCK).orderBy(*(order or self.order))
 
 
 def ordered_blocks(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -51,18 +47,10 @@ def ordered_blocks(df: DataFrame, keys: list[str], order: list[str]) -> DataFram
 
 
 def in_order(
-    df: DataFrame, keys: list[str], order: list[str], compute: Callable[[Part], DataFrame],
-    hot_from: DataFrame | None = None,
+    df: DataFrame, keys: list[str], order: list[str], compute: Callable[[Part], DataFrame]
 ) -> DataFrame:
-    """Apply ``compute`` to the rows of ordinary keys and to the blocks of hot keys.
-
-    ``hot_from`` names a cheaper frame with the same keys to look for hot keys in.
-    """
-    hot = find_hot(df if hot_from is None else hot_from, keys)
-    if not hot:
-        return compute(Part(df, keys, order))
-    blocks = ordered_blocks(df.where(hot.rows()), keys, order)
-    return compute(Part(df.where(~hot.rows()), keys, order)).unionByName(compute(Part(blocks, keys, order, True)))
+    """Apply ``compute`` to the rows as ordered blocks."""
+    return compute(Part(ordered_blocks(df, keys, order), keys, order))
 
 
 def _earlier(keys: list[str]):
@@ -89,8 +77,6 @@ def running_sum(part: Part, values: dict[str, Column]) -> DataFrame:
     zero = F.lit(0)
     upto = part.inside().rowsBetween(Window.unboundedPreceding, 0)
     here = {o: F.coalesce(F.sum(v).over(upto), zero) for o, v in values.items()}
-    if not part.spans:
-        return part.rows.withColumns(here)
     totals = part.rows.groupBy(*part.keys, BLOCK).agg(*[F.sum(v).alias(f"_t_{o}") for o, v in values.items()])
     carry = {f"_b_{o}": F.sum(f"_t_{o}").over(_earlier(part.keys)) for o in values}
     return (
@@ -112,8 +98,6 @@ def running_sum_with_peers(
     zero = F.lit(0)
     upto = part.inside([at]).rangeBetween(Window.unboundedPreceding, 0)
     here = {o: F.coalesce(F.sum(v).over(upto), zero) for o, v in values.items()}
-    if not part.spans:
-        return (part.rows if rows is None else rows).withColumns(here)
     keys, blocks = part.keys, part.rows
     sums = {f"_t_{o}": F.sum(v) for o, v in values.items()}
     totals = blocks.groupBy(*keys, BLOCK).agg(
@@ -164,8 +148,6 @@ def running_moments(part: Part, value: str) -> DataFrame:
         "_mean": F.coalesce(F.avg(v).over(upto), zero),
         "_m2": F.coalesce(F.var_pop(v).over(upto), zero) * F.count(v).over(upto),
     }
-    if not part.spans:
-        return part.rows.withColumns(here)
     keys = part.keys
     stats = part.rows.groupBy(*keys, BLOCK).agg(
         F.count(v).alias("bn"), F.avg(v).alias("bmean"), (F.var_pop(v) * F.count(v)).alias("bm2")
@@ -200,32 +182,26 @@ def running_moments(part: Part, value: str) -> DataFrame:
 def key_moments(part: Part, value: str, rows: DataFrame | None = None) -> DataFrame:
     """Mean and sample deviation over all rows of the key: columns ``_mean`` and ``_std``.
 
-    For blocks they come from an aggregate with one row per hot key, whose number is bounded.
+    They come from an aggregate with a map-side part and one row per key, joined back by key.
     """
-    rows = (part.placed() if part.spans else part.rows) if rows is None else rows
-    if not part.spans:
-        whole = Window.partitionBy(*part.keys)
-        return rows.withColumns({"_mean": F.avg(value).over(whole), "_std": F.stddev_samp(value).over(whole)})
     stats = part.rows.groupBy(*[F.col(k).alias(f"_k_{k}") for k in part.keys]).agg(
         F.avg(value).alias("_mean"), F.stddev_samp(value).alias("_std")
     )
     match = F.lit(True)
     for k in part.keys:
         match = match & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    return rows.join(F.broadcast(stats), match, "left").drop(*[f"_k_{k}" for k in part.keys])
+    rows = part.placed() if rows is None else rows
+    return rows.join(stats, match, "left").drop(*[f"_k_{k}" for k in part.keys])
 
 
 def previous(part: Part, columns: dict[str, str]) -> DataFrame:
     """Values of the row just before this one in its key: ``columns`` maps source to output name."""
     values = F.struct(*[F.col(c) for c in columns])
     before = F.lag(values).over(part.inside())
-    if part.spans:
-        last = part.rows.groupBy(*part.keys, BLOCK).agg(
-            F.max_by(values, F.struct(*[F.col(o) for o in part.order])).alias("_last")
-        )
-        carry = {"_before": F.lag("_last").over(Window.partitionBy(*part.keys).orderBy(BLOCK))}
-        rows = _with_carry(part.placed(), last, part.keys, carry)
-        found = rows.withColumn("_prev", F.coalesce(before, F.col("_before"))).drop("_before")
-    else:
-        found = part.rows.withColumn("_prev", before)
+    last = part.rows.groupBy(*part.keys, BLOCK).agg(
+        F.max_by(values, F.struct(*[F.col(o) for o in part.order])).alias("_last")
+    )
+    carry = {"_before": F.lag("_last").over(Window.partitionBy(*part.keys).orderBy(BLOCK))}
+    rows = _with_carry(part.placed(), last, part.keys, carry)
+    found = rows.withColumn("_prev", F.coalesce(before, F.col("_before"))).drop("_before")
     return found.withColumns({out: F.col("_prev")[c] for c, out in columns.items()}).drop("_prev")

@@ -34,10 +34,10 @@ def latency_quantiles(
     counted = known.groupBy("window_start", "latency").agg(F.count("*").alias("_n"))
     ranked = in_order(
         counted, ["window_start"], ["latency"], lambda part: running_sum(part, {"_upto": F.col("_n")}).select(
-            *counted.columns, "_upto"), hot_from=known,
+            *counted.columns, "_upto"),
     )
-    totals = known.groupBy("window_start").agg(F.count("*").alias("_all"))
-    ranked = spread_join(ranked, totals, ["window_start"], hot_from=known)
+    totals = counted.groupBy("window_start").agg(F.sum("_n").alias("_all"))
+    ranked = spread_join(ranked, totals, ["window_start"])
 
     def at(position):
         """The value at a 0-based position of the sorted latencies."""

@@ -1,124 +1,24 @@
-"""Equi-joins that stay balanced when one key holds a large share of the rows."""
+"""Equi-joins with keys of any share of the rows.
 
-from dataclasses import dataclass
-from math import ceil, log2
+Both are plain joins. The session turns on adaptive execution with forced skew splitting (``session.configure``),
+so Spark cuts a partition that a hot key makes large into several tasks; that works on the left side of inner,
+left, semi and anti joins and on both sides of inner joins, and these two functions use no other form.
+"""
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame
 
-# A key is hot if it has more rows than this, than this share, and than one average partition.
-HOT_MIN_ROWS = 500_000
-HOT_SHARE = 1 / 20_000
-HOT_PARTITIONS = 1.0
-_TRACKED = 65_536
 
-
-@dataclass
-class Hot:
-    """Keys that hold an outsized share of the rows, by the number of salts to spread them over."""
-
-    keys: list[str]
-    by_salts: dict[int, list]
-    null_salts: int = 0
-
-    def __bool__(self) -> bool:
-        return bool(self.by_salts) or self.null_salts > 0
-
-    def salts(self) -> Column:
-        """How many salts the row's key is spread over; 1 for all other keys and for null."""
-        out = F
-        for n, values in self.by_salts.items():
-            out = out.when(_probe(self.keys).isin(values), n)
-        return out.otherwise(1) if self.by_salts else F.lit(1)
-
-    def rows(self) -> Column:
-        """True for the rows of hot keys."""
-        return (self.salts() > 1) | (_has_null(self.keys) & F.lit(self.null_salts > 0))
-
-
-def _probe(keys: list[str]) -> Column:
-    """The key itself, or the hash of a composite one; null if a part is null."""
-    if len(keys) == 1:
-        return F.col(keys[0])
-    return F.when(~_has_null(keys), F.xxhash64(*[F.col(k) for k in keys]))
-
-
-def _has_null(keys: list[str]) -> Column:
-    null = F.lit(False)
-    for k in keys:
-        null = null | F.col(k).isNull()
-    return null
-
-
-def find_hot(df: DataFrame, keys: list[str]) -> Hot:
-    """Look for hot keys: at most one per ``HOT_SHARE`` of the rows.
-
-    One pass over the key columns with a mergeable frequent-items sketch: nothing but the sketches
-    is shuffled and the answer has a fixed size. It only steers the spreading of rows, results never
-    depend on it.
-    """
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    most = ceil(1 / HOT_SHARE)
-    row = df.select(_has_null(keys).alias("null"), _probe(keys).alias("k")).agg(
-        F.count("*").alias("n"), F.count_if("null").alias("nulls"),
-        F.expr(f"approx_top_k(k, {most}, {_TRACKED})").alias("top"),
-    ).first()
-    limit = max(HOT_MIN_ROWS, row["n"] * HOT_SHARE, row["n"] * HOT_PARTITIONS / partitions)
-
-    def salts(count: int) -> int:
-        """Twice the key's fair number of partitions, rounded up to a power of two."""
-        return 2 ** max(1, ceil(log2(2 * partitions * count / row["n"])))
-
-    by_salts: dict[int, list] = {}
-    for item in row["top"] or []:
-        if item["item"] is not None and item["count"] >= limit:
-            by_salts.setdefault(salts(item["count"]), []).append(item["item"])
-    return Hot(keys, by_salts, salts(row["nulls"]) if row["nulls"] >= limit else 0)
-
-
-def _salted(many: DataFrame, one: DataFrame, hot: Hot) -> tuple[DataFrame, DataFrame]:
-    """Spread the hot rows of ``many`` over salts and repeat the hot rows of ``one`` once per salt.
-
-    The salt is a hash of the whole row, so a recomputed task puts a row where it was before. All
-    repetitions together are at most a few per partition.
-    """
-    row_hash = F.xxhash64(*[F.col(c) for c in many.columns])
-    spread = F.when(_has_null(hot.keys), F.lit(max(1, hot.null_salts))).otherwise(hot.salts())
-    return (
-        many.withColumn("_salt", F.pmod(row_hash, spread.cast("long"))),
-        one.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), (hot.salts() - 1).cast("long")))),
-    )
-
-
-def spread_join(
-    many: DataFrame,
-    one: DataFrame,
-    keys: list[str],
-    how: str = "inner",
-    hot_from: DataFrame | None = None,
-) -> DataFrame:
-    """Join ``many`` (any number of rows per key) to ``one`` (few rows per key) on ``keys``.
-
-    No task gets a whole hot key. ``how`` is seen from ``many``: inner, left, left_semi or
-    left_anti. ``hot_from`` names a cheaper frame with the same keys to look for hot keys in, e.g.
-    the stored table that ``many`` is derived from.
-    """
-    hot = None if many.isStreaming else find_hot(many if hot_from is None else hot_from, keys)
-    if not hot:
-        return many.join(one, keys, how)
-    many, one = _salted(many, one, hot)
-    return many.join(one, [*keys, "_salt"], how).drop("_salt")
+def spread_join(many: DataFrame, one: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join ``many`` (any number of rows per key) to ``one`` (few rows per key); ``how`` is seen from ``many``."""
+    return many.join(one, keys, how)
 
 
 def fan_out_left(one: DataFrame, many: DataFrame, key: str) -> DataFrame:
     """``one LEFT JOIN many``: each row of ``one`` with every match, or once with nulls.
 
-    A left join cannot be split on its right side. With hot keys the rows of ``one`` are repeated per
-    salt, and the repetitions that find nothing are dropped: a hot key has matches by definition, so
-    its row of ``one`` never needs the null form.
+    The right side of a left join cannot be split, so matches come from an inner join and the rest from an anti
+    join with the distinct keys.
     """
-    hot = find_hot(many.where(F.col(key).isNotNull()), [key])
-    if not hot:
-        return one.join(many, key, "left")
-    salted, repeated = _salted(many.withColumn("_found", F.lit(True)), one, hot)
-    joined = repeated.join(salted, [key, "_salt"], "left")
-    return joined.where((hot.salts() == 1) | F.col("_found").isNotNull()).drop("_salt", "_found")
+    matched = one.join(many, key)
+    alone = one.join(many.select(key).distinct(), key, "left_anti")
+    return matched.unionByName(alone, allowMissingColumns=True)

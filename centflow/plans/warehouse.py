@@ -33,7 +33,7 @@ def build_marts(
     out["dim_users"] = stored("dim_users", marts.dim_users(state_log))
     out["fact_transactions"] = fact = stored(
         "fact_transactions",
-        marts.fact_transactions(out["stg_transactions"], out["dim_merchants"], hot_from=state_log),
+        marts.fact_transactions(out["stg_transactions"], out["dim_merchants"]),
     )
     out["fact_ledger_balanced"] = balanced = stored(
         "fact_ledger_balanced", marts.fact_ledger_balanced(out["stg_ledger_entries"])

@@ -39,7 +39,7 @@ class Views:
     @property
     def fact(self) -> DataFrame:
         merchants = marts.dim_merchants(self.ledger_entries)
-        return marts.fact_transactions(self.stg, merchants, hot_from=self.payment_state_log)
+        return marts.fact_transactions(self.stg, merchants)
 
     @property
     def balanced(self) -> DataFrame:

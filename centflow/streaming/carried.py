@@ -58,8 +58,8 @@ def zscore_sink(state: str, out: str, min_n: int = 3, compact_every: int = 100):
                 raise
             raise RuntimeError(f"the state under {state} is incomplete") from missing
         old = _merged(old)
-        run = running_moments(Part(blocks, [_KEY], _ORDER, True), _VALUE)
-        run = spread_join(run, old, [_KEY], "left", hot_from=blocks)
+        run = running_moments(Part(blocks, [_KEY], _ORDER), _VALUE)
+        run = spread_join(run, old, [_KEY], "left")
         n = F.coalesce("_on", F.lit(0)) + F.col("_n")
         gap = F.col("_mean") - F.coalesce("_omean", F.lit(0.0))
         known = F.col("_on").isNotNull()

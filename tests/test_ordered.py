@@ -27,13 +27,11 @@ def events():
     return rows
 
 
-@pytest.fixture(params=["plain", "mixed", "blocks"])
-def layout(request, monkeypatch):
-    """No hot key, one hot key beside ordinary ones, or only hot keys."""
-    if request.param != "plain":
+@pytest.fixture(params=["one", "many"])
+def layout(request):
+    """All rows in one block, or keys that span blocks."""
+    if request.param == "many":
         request.getfixturevalue("many_blocks")
-    if request.param == "mixed":
-        monkeypatch.setattr(skew, "HOT_MIN_ROWS", 250)
 
 
 COLUMNS = "event_id string, merchant_id string, stripe_customer_id string, amount_cents bigint, received_at timestamp, event_type string"
@@ -126,37 +124,39 @@ def test_rate_limit(df, events, layout):
 def test_running_sum_of_nulls(spark, many_blocks):
     df = spark.createDataFrame([("a", 1, None), ("a", 2, 5), ("a", 3, None)], "k string, o int, v int")
     blocks = ordered.ordered_blocks(df, ["k"], ["o"])
-    for part in ordered.Part(df, ["k"], ["o"]), ordered.Part(blocks, ["k"], ["o"], True):
-        got = ordered.running_sum(part, {"s": F.col("v")}).orderBy("o").collect()
-        assert [r.s for r in got] == [0, 5, 5]
+    got = ordered.running_sum(ordered.Part(blocks, ["k"], ["o"]), {"s": F.col("v")}).orderBy("o").collect()
+    assert [r.s for r in got] == [0, 5, 5]
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_spread_join_equals_plain_join(spark, all_hot, how):
+def test_spread_join_equals_plain_join(spark, how):
     many = spark.range(400).selectExpr("id", "CASE WHEN id % 7 = 0 THEN NULL WHEN id % 3 = 0 THEN 'hot' ELSE concat('k', id % 50) END k")
     one = spark.createDataFrame([("hot", 1), ("k4", 2), ("k5", 3), ("none", 4)], "k string, v int")
-    hot = skew.find_hot(many, ["k"])
-    assert "hot" in [v for values in hot.by_salts.values() for v in values] and hot.null_salts
     got = skew.spread_join(many, one, ["k"], how)
     want = many.join(one, "k", how)
     assert sorted(map(tuple, got.select(want.columns).collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
 
 
-def test_spread_join_spreads_the_hot_key(spark, all_hot):
-    many = spark.range(2000).selectExpr("id", "'hot' AS k")
-    one = spark.createDataFrame([("hot", 1)], "k string, v int")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
+def test_spread_join_splits_the_hot_key(spark):
+    """Adaptive execution cuts the partition of a hot key into several tasks."""
+    many = spark.range(200_000).selectExpr("id", "CASE WHEN id % 10 < 7 THEN 'hot' ELSE concat('k', id % 999) END AS k")
+    one = spark.range(999).selectExpr("concat('k', id) AS k", "id AS v").union(spark.sql("SELECT 'hot', 1L"))
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5"}
+    many = many.repartition(8)
+    for k, v in conf.items():
+        spark.conf.set(k, v)
     try:
-        joined = skew.spread_join(many, one, ["k"])
-        parts = joined.groupBy(F.spark_partition_id().alias("p")).count().collect()
+        joined = skew.spread_join(many, one, ["k"], "left")
+        placed = joined.groupBy("k", F.spark_partition_id().alias("p")).count().collect()
     finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-        spark.conf.set("spark.sql.adaptive.enabled", "true")
-    assert len(parts) > 1 and sum(r["count"] for r in parts) == 2000
+        for k in conf:
+            spark.conf.unset(k)
+    parts = [r["count"] for r in placed if r["k"] == "hot"]
+    assert len(parts) > 1 and sum(parts) == 140_000
 
 
-def test_fan_out_left_equals_plain_join(spark, all_hot):
+def test_fan_out_left_equals_plain_join(spark):
     one = spark.createDataFrame([("hot",), ("k1",), ("alone",), (None,)], "k string")
     many = spark.range(300).selectExpr("CASE WHEN id < 200 THEN 'hot' ELSE concat('k', id % 3) END k", "id v")
     got, want = skew.fan_out_left(one, many, "k"), one.join(many, "k", "left")
