@@ -9,14 +9,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 #: Bytes of text that one step of a task works on; a longer single text is a step of its own.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
+#: Bytes and rows of an Arrow batch between Spark and a Python worker.
+BATCH_BYTES, BATCH_ROWS = 8 << 20, 2_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A test table by its folder."""
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bound_batches(spark: SparkSession) -> SparkSession:
+    """Bound what one Arrow batch of texts or sets takes in an executor and its Python workers."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return spark
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most ``limit`` bytes of text, or of one row."""
     for batch in batches:
@@ -27,6 +37,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BY
             stop = max(start + 1, int(np.searchsorted(ends, done + limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+        pa.default_memory_pool().release_unused()
 
 
 def text_bytes(texts: pa.Array) -> np.ndarray:

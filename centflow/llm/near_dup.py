@@ -212,10 +212,6 @@ def _linked(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(decide, "a long, b long")
 
 
-def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
-
-
 def _apart(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
     """Pairs that no links connect so far."""
     if labels is None:
@@ -237,18 +233,19 @@ def components(df: DataFrame, rule: Rule, id_column: str = "doc_id", text_column
     pivots = banded.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot < last")
     buckets = written(banded.join(pivots.select("key", "pivot"), "key"), "buckets")
 
+    sets = _sets(buckets, nodes, docs, rule)
     labels, found = None, []
     for propose in (_first_pivots, _pivots):
         pairs = _apart(propose(buckets, labels), labels)
         likely = written(_likely(pairs, nodes, rule), "likely")
-        found.append(written(_linked(likely, _sets(_ends(likely), nodes, docs, rule), rule), "found"))
+        found.append(written(_linked(likely, sets, rule), "found"))
         labels = written(connected(reduce(DataFrame.union, found)), "labels")
     rest = written(_mixed(buckets, labels), "unconnected")
     stars = rest.join(rest.groupBy("key").agg(F.min("node").alias("least")), "key")
     families = written(connected(stars.select(F.col("node").alias("a"), F.col("least").alias("b"))), "families")
     members = (rest.select("node", "label").distinct()
                .join(families.select("node", F.col("label").alias("family")), "node")
-               .join(_sets(rest, nodes, docs, rule), "node").join(nodes.select("node", "signature"), "node"))
+               .join(sets, "node").join(nodes.select("node", "signature"), "node"))
     found.append(written(_compared(members, rule), "found"))
     labels = written(connected(reduce(DataFrame.union, found)), "labels")
     return _named(rows, nodes, labels)

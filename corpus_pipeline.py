@@ -17,7 +17,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from centflow.llm import bpe, decontaminate, near_dup, quality_rules, toxicity
-from centflow.llm.batches import table
+from centflow.llm.batches import bound_batches, table
 from centflow.llm.queries import held_out
 from centflow.session import configure, scratch_path
 
@@ -30,12 +30,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rule and lie in the compression bands."""
+    bound_batches(spark)
     return quality_rules.keep(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
-    configure(spark)
+    bound_batches(configure(spark))
     return near_dup.keep(docs, near_dup.Rule(shingle=5, percent=80))
 
 
@@ -46,6 +47,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All columns and the ids of every text."""
+    bound_batches(spark)
     return bpe.with_ids(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
