@@ -281,16 +281,48 @@ _MODELS = {
     "merchant_performance": "SELECT DISTINCT merchant_id FROM (" + _FACT + ") f", "reconciliation_summary": _SUMMARY,
 }
 
+_FEATURES = ", ".join(("tx_velocity_1m tx_velocity_5m amount_zscore merchant_risk_score device_switch_flag hour_of_day weekend_flag "
+                       "amount_cents_log").split())
+
+
+_LIFECYCLE = f"""WITH once AS (SELECT *, failure_reason IS NULL AS valid, amount_cents % 100 >= 70 AS risky FROM ({_CHECKED}) c WHERE seq = 0),
+rows_of AS (
+  SELECT 'payment_state_log' AS table_name, 'INITIATED' AS kind FROM once
+  UNION ALL SELECT 'payment_state_log', CASE WHEN valid THEN 'VALIDATED' ELSE 'FAILED' END FROM once
+  UNION ALL SELECT 'payment_state_log', 'SCORING' FROM once WHERE valid
+  UNION ALL SELECT 'payment_state_log', CASE WHEN risky THEN 'FLAGGED' ELSE 'AUTHORIZED' END FROM once WHERE valid
+  UNION ALL SELECT 'payment_state_log', 'SETTLED' FROM once WHERE valid AND NOT risky AND amount_cents > 0
+  UNION ALL SELECT 'ledger_entries', e.kind FROM once, (VALUES ('DEBIT'), ('CREDIT')) AS e(kind) WHERE valid AND NOT risky AND amount_cents > 0
+  UNION ALL SELECT 'dlq', 'SCHEMA_INVALID' FROM once WHERE NOT valid
+  UNION ALL SELECT 'dlq', 'LEDGER_WRITE_FAIL' FROM once WHERE valid AND NOT risky AND amount_cents <= 0
+  UNION ALL SELECT 'manual_review_queue', 'PENDING' FROM once WHERE valid AND risky
+  UNION ALL SELECT 'alerts', 'payment.alert.triggered' FROM once WHERE valid AND risky)
+SELECT table_name, kind, count(*) AS row_count FROM rows_of GROUP BY 1, 2"""
+
+
 _SQL = {
     "stream_source": "SELECT * FROM {payment_events}",
     "state_log_scan": "SELECT * FROM {payment_state_log} WHERE created_at >= TIMESTAMP '1996-01-01' AND created_at <= TIMESTAMP '1999-06-30'",
     "feature_store_write": _reconstructed(_HISTORY),
     "velocity_upsert": """SELECT merchant_id, CAST(floor(epoch(received_at) / 60) AS BIGINT) AS epoch_minute, count(*) AS "count"
 FROM {payment_events} GROUP BY 1, 2""",
-    "feature_upsert": f"""
-SELECT event_id, 0.0::DOUBLE AS tx_velocity_1m, 0.0::DOUBLE AS tx_velocity_5m, 0.0::DOUBLE AS amount_zscore, 0.0::DOUBLE AS merchant_risk_score,
-  0.0::DOUBLE AS device_switch_flag, CAST(hour_of_day AS DOUBLE) AS hour_of_day, CAST(weekend_flag AS DOUBLE) AS weekend_flag, amount_cents_log
-FROM ({_ENRICHED}) e""",
+    "feature_upsert": f"SELECT event_id, {_FEATURES} FROM ({_LIVE}) l",
+    "feature_service": f"""
+SELECT 'features' AS store, count(*) AS entries, sum(tx_velocity_5m) AS total FROM ({_LIVE}) l
+UNION ALL SELECT 'velocity_1m', count(*), sum(count)::DOUBLE FROM ({_TUMBLING}) t
+UNION ALL SELECT 'velocity_5m', count(*), sum(count)::DOUBLE FROM ({_SLIDING}) s""",
+    "csv_seed": "SELECT event_id, merchant_id, amount_cents FROM {payment_events}",
+    "webhook_envelope": """
+SELECT event_id AS stripe_event_id, event_type, received_at,
+  length(concat('{{"id":"', event_id, '","type":"', event_type, '","amount_cents":', amount_cents, '}}'))::INTEGER AS payload_chars
+FROM {payment_events}""",
+    "train_risk_model": """
+SELECT event_id, CASE WHEN substr(md5(concat('42:', event_id)), 1, 2) < 'cd' THEN 'training' ELSE 'held out' END AS part FROM {payment_events}""",
+    "score_auc": """
+WITH s AS (SELECT amount_cents % 100 AS score, (event_type = 'payment_intent.payment_failed')::INT AS label FROM {payment_events}),
+c AS (SELECT score, sum(label) AS ones, sum(1 - label) AS zeros FROM s GROUP BY score),
+r AS (SELECT *, sum(zeros) OVER (ORDER BY score) AS upto FROM c)
+SELECT round(sum(ones * (upto - zeros / 2)) / (sum(ones) * sum(zeros)), 6) AS auc FROM r""",
     "topic_payload": f"""
 SELECT 'payment.ledger.entry' AS topic, event_id AS "key", concat('{{{{"event_id":"', event_id, '","event_type":"', event_type,
   '","amount_cents":', CAST(amount_cents AS VARCHAR), ',"currency":"', currency, '","merchant_id":"', merchant_id, '","source_event_id":"',
@@ -345,6 +377,7 @@ FROM ({_MESSAGE}) m, (VALUES ('DEBIT'), ('CREDIT')) AS e(entry_type)""",
     "dashboard_filter": f"SELECT metric_date, current_state, transaction_count, unique_merchants, total_amount_cents FROM ({_fraud(_STG)}) m WHERE current_state = 'FLAGGED'",
     "dashboard_choices": "SELECT DISTINCT merchant_id FROM {payment_state_log}",
     "settled_history": _HISTORY + _RANGE,
+    "settled_history_all": _HISTORY,
     "stg_transactions": _STG,
     "fact_transactions": _FACT,
     "recon_compare": _COMPARE,
@@ -418,20 +451,13 @@ FROM {ledger_entries} GROUP BY transaction_id HAVING balance_cents <> 0""",
     "stream_zscore_carried": f"SELECT event_id, round(z, 4) AS amount_zscore FROM ({_RUNNING_Z}) r",
     "stream_device_switch": _DEVICE,
     "stream_dedup": "SELECT DISTINCT stripe_event_id, event_type FROM {webhook_received}",
+    "stream_dedup_late": "SELECT DISTINCT stripe_event_id, event_type FROM {webhook_received}",
     "stream_rate_limit": _rate_limit(2, "day", "event_id, position, limited"),
-    "stream_lifecycle": f"""WITH once AS (SELECT *, failure_reason IS NULL AS valid, amount_cents % 100 >= 70 AS risky FROM ({_CHECKED}) c WHERE seq = 0),
-rows_of AS (
-  SELECT 'payment_state_log' AS table_name, 'INITIATED' AS kind FROM once
-  UNION ALL SELECT 'payment_state_log', CASE WHEN valid THEN 'VALIDATED' ELSE 'FAILED' END FROM once
-  UNION ALL SELECT 'payment_state_log', 'SCORING' FROM once WHERE valid
-  UNION ALL SELECT 'payment_state_log', CASE WHEN risky THEN 'FLAGGED' ELSE 'AUTHORIZED' END FROM once WHERE valid
-  UNION ALL SELECT 'payment_state_log', 'SETTLED' FROM once WHERE valid AND NOT risky AND amount_cents > 0
-  UNION ALL SELECT 'ledger_entries', e.kind FROM once, (VALUES ('DEBIT'), ('CREDIT')) AS e(kind) WHERE valid AND NOT risky AND amount_cents > 0
-  UNION ALL SELECT 'dlq', 'SCHEMA_INVALID' FROM once WHERE NOT valid
-  UNION ALL SELECT 'dlq', 'LEDGER_WRITE_FAIL' FROM once WHERE valid AND NOT risky AND amount_cents <= 0
-  UNION ALL SELECT 'manual_review_queue', 'PENDING' FROM once WHERE valid AND risky
-  UNION ALL SELECT 'alerts', 'payment.alert.triggered' FROM once WHERE valid AND risky)
-SELECT table_name, kind, count(*) AS row_count FROM rows_of GROUP BY 1, 2""",
+    "stream_rate_limit_late": f"""
+SELECT merchant_id, date_trunc('day', received_at)::TIMESTAMP AS bucket, count(*) AS events, count(position) AS counted,
+  count(*) FILTER (WHERE limited) AS limited_events FROM ({_rate_limit(2, "day")}) x GROUP BY 1, 2""",
+    "stream_lifecycle": _LIFECYCLE,
+    "stream_lifecycle_late": _LIFECYCLE,
     "score_fallback": f"SELECT event_id, risk_score, is_high_risk, manual_review FROM ({_SCORED}) s",
     "reconstruct_features": _reconstructed(_HISTORY),
     "reconstruct_features_range": _reconstructed(_HISTORY + _RANGE),

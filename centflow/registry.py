@@ -13,10 +13,10 @@ from centflow.functions.scalar import date_range, enrich, utc_day
 from centflow.operators import features, intake, lifecycle, marts, model, quality, recon, reports, service_metrics
 from centflow.operators import validate as rules
 from centflow.plans import reconciliation, scoring, warehouse
-from centflow.session import configure, scratch_path
+from centflow.session import configure, scratch_path, written
 from centflow.sources import tables, topics
 from centflow.sources.testviews import VIEWS, needs, view
-from centflow.streaming import carried, lifecycle as stream_lifecycle, stateful, windows
+from centflow.streaming import carried, features as stream_features, lifecycle as stream_lifecycle, stateful, windows
 
 DAY = date(1997, 2, 13)
 FROM, TO = date(1996, 1, 1), date(1999, 6, 30)
@@ -60,6 +60,16 @@ class Views:
     def scored(self) -> DataFrame:
         return lifecycle.apply_fallback(lifecycle.flag_scores(self.scored_input))
 
+    def late_stream(self, name: str, slices: int = 3) -> DataFrame:
+        """A view over the events as a stream of micro-batches that each span all times, so most rows come late."""
+        events, path = self.spark.read.parquet(f"{self.sf_dir}/events.parquet"), scratch_path(self.spark, "slices")
+        slot = F.pmod(F.xxhash64(*events.columns), F.lit(slices))
+        for i in range(slices):
+            events.where(slot == i).write.mode("append").parquet(path)
+        files = len(self.spark.read.parquet(path).inputFiles())
+        stream = self.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", -(-files // slices)).parquet(path)
+        return stream_view(self.spark, stream, name)
+
     def stream(self, name: str) -> DataFrame:
         """A view over the events as a stream of the events file."""
         raw = self.spark.read.parquet(f"{self.sf_dir}/events.parquet").schema
@@ -142,7 +152,38 @@ def _labelled(v: Views) -> DataFrame:
     label = v.payment_events.select(
         "event_id", (F.col("event_type") == "payment_intent.payment_failed").cast("double").alias("label")
     )
-    return features.live_features(v.payment_events, v.merchant_risk).join(label, "event_id")
+    return written(features.live_features(v.payment_events, v.merchant_risk).join(label, "event_id"), "labelled")
+
+
+def _train_risk_model(v: Views) -> DataFrame:
+    """Which events train the model; it is fitted on them, saved, and loaded to score the others."""
+    labelled = _labelled(v)
+    train, held_out = model.split(labelled)
+    path = scratch_path(v.spark, "risk-model")
+    model.save(model.train(train), path)
+    scored = model.score(model.load(path), held_out).select("event_id", "risk_score")
+    sane = F.when(F.col("risk_score").between(0, 1), "held out").otherwise("bad score").alias("part")
+    return train.select("event_id", F.lit("training").alias("part")).union(scored.select("event_id", sane))
+
+
+def _score_auc(v: Views) -> DataFrame:
+    label = (F.col("event_type") == "payment_intent.payment_failed").cast("int").alias("label")
+    scored = v.payment_events.select((F.col("amount_cents") % 100).alias("score"), label)
+    return rounded(model.rank_auc(scored, "score", "label"), "auc")
+
+
+def _webhook_envelope(v: Views) -> DataFrame:
+    body = F.to_json(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("type"), "amount_cents"))
+    raw = v.payment_events.select(body.alias("body"), F.col("received_at").alias("at"))
+    found = rules.envelope(raw, F.col("at"))
+    return found.select("stripe_event_id", "event_type", "received_at", F.length("payload").alias("payload_chars"))
+
+
+def _csv_seed(v: Views) -> DataFrame:
+    """A view written as CSV files and read back with its types."""
+    df, path = v.payment_events.select("event_id", "merchant_id", "amount_cents"), scratch_path(v.spark, "seed")
+    df.write.option("header", True).csv(path)
+    return tables.read_seed(v.spark, path, df.schema)
 
 
 def _risk_score(v: Views) -> DataFrame:
@@ -205,12 +246,32 @@ def _velocity_upsert(v: Views) -> DataFrame:
     return tables.read_velocity(v.spark, path, fixed).select("merchant_id", "epoch_minute", "count")
 
 
+def _stored_features(v: Views, folder: str, now) -> DataFrame:
+    found = tables.read_features(v.spark, f"{folder}/features", now).select("event_id", *sc.FEATURE_ORDER)
+    return rounded(found, "amount_cents_log").withColumn("amount_zscore", F.round("amount_zscore", 4))
+
+
 def _feature_upsert(v: Views) -> DataFrame:
-    path, checkpoint = scratch_path(v.spark, "features"), scratch_path(v.spark, "features-checkpoint")
+    folder, checkpoint = scratch_path(v.spark, "features"), scratch_path(v.spark, "features-checkpoint")
     fixed = F.lit("2024-02-01 00:00:00").cast("timestamp")
-    job = {"features": (enrich(v.stream("payment_events")), "append", tables.feature_sink(path, now=fixed))}
-    _run(v.spark, job, checkpoint)
-    return rounded(tables.read_features(v.spark, path, fixed).select("event_id", *sc.FEATURE_ORDER), "amount_cents_log")
+    jobs = stream_features.feature_service(v.stream("payment_events"), v.merchant_risk, folder, fixed)
+    _run(v.spark, {"features": jobs["features"]}, checkpoint)
+    return _stored_features(v, folder, fixed)
+
+
+def _feature_service(v: Views) -> DataFrame:
+    """What the three jobs of the service leave in their stores."""
+    folder, checkpoint = scratch_path(v.spark, "service"), scratch_path(v.spark, "service-checkpoint")
+    fixed = F.lit("2024-02-01 00:00:00").cast("timestamp")
+    _run(v.spark, stream_features.feature_service(v.stream("payment_events"), v.merchant_risk, folder, fixed), checkpoint)
+    counts = [
+        tables.read_velocity(v.spark, f"{folder}/{name}", fixed).agg(
+            F.lit(name).alias("store"), F.count("*").alias("entries"), F.sum("count").cast("double").alias("total"))
+        for name in ("velocity_1m", "velocity_5m")
+    ]
+    found = _stored_features(v, folder, fixed).agg(
+        F.lit("features").alias("store"), F.count("*").alias("entries"), F.sum("tx_velocity_5m").alias("total"))
+    return reduce(DataFrame.unionByName, counts, found)
 
 
 def _stream_source(v: Views) -> DataFrame:
@@ -267,8 +328,8 @@ def _stream_device(v: Views) -> DataFrame:
     return drained(stateful.stream_device_switch(v.stream("payment_events"))).select("event_id", "device_switch_flag")
 
 
-def _stream_dedup(v: Views) -> DataFrame:
-    df = drained(windows.stream_dedup(v.stream("webhook_received"), ["stripe_event_id", "event_type"]))
+def _stream_dedup(v: Views, received: DataFrame) -> DataFrame:
+    df = drained(windows.stream_dedup(received, ["stripe_event_id", "event_type"]))
     return df.select("stripe_event_id", "event_type")
 
 
@@ -277,11 +338,20 @@ def _stream_rate_limit(v: Views) -> DataFrame:
     return df.select("event_id", "position", "limited")
 
 
-def _stream_lifecycle(v: Views) -> DataFrame:
+def _stream_rate_limit_late(v: Views) -> DataFrame:
+    """Per merchant and day, which do not depend on the order of arrival: events, counted and limited ones."""
+    df = drained(stateful.stream_rate_limit(v.late_stream("payment_events"), 2, 86_400))
+    day = F.date_trunc("day", "received_at").alias("bucket")
+    return df.groupBy("merchant_id", day).agg(
+        F.count("*").alias("events"), F.count("position").alias("counted"), F.count_if("limited").alias("limited_events")
+    )
+
+
+def _stream_lifecycle(v: Views, webhooks: DataFrame) -> DataFrame:
     """Rows per state, entry type and failure in the tables that the stream leaves."""
     folder, checkpoint = scratch_path(v.spark, "lifecycle"), scratch_path(v.spark, "lifecycle-checkpoint")
     cents = scoring.by_expression(F.col("amount_cents") % 100 / 100)
-    received = v.stream("webhook_received").select(*sc.WEBHOOK_RECEIVED.fieldNames())
+    received = webhooks.select(*sc.WEBHOOK_RECEIVED.fieldNames())
     with state_per_core(v.spark):
         query = stream_lifecycle.start_lifecycle(received, cents, folder, checkpoint, once=True)
     query.awaitTermination()
@@ -322,6 +392,9 @@ _QUERIES: dict[str, Callable[[Views], DataFrame]] = {
     "feature_store_write": _feature_store_write,
     "velocity_upsert": _velocity_upsert,
     "feature_upsert": _feature_upsert,
+    "feature_service": _feature_service,
+    "csv_seed": _csv_seed,
+    "webhook_envelope": _webhook_envelope,
     "topic_payload": lambda v: _messages(topics.to_topic(
         lifecycle.ledger_message(v.scored), sc.TOPIC_LEDGER, "event_id")),
     "publish_batch": lambda v: _messages(reconciliation.messages(reconciliation.reconcile(*_recon_args(v)))),
@@ -349,6 +422,7 @@ _QUERIES: dict[str, Callable[[Views], DataFrame]] = {
         v.payment_state_log, v.ledger_entries), "merchant_id"),
     # joins
     "settled_history": lambda v: features.settled_history(v.payment_state_log, v.ledger_entries, FROM, TO),
+    "settled_history_all": lambda v: features.settled_history(v.payment_state_log, v.ledger_entries),
     "stg_transactions": lambda v: v.stg,
     "fact_transactions": lambda v: v.fact,
     "recon_compare": lambda v: recon.recon_compare(*_recon_args(v)),
@@ -423,11 +497,16 @@ _QUERIES: dict[str, Callable[[Views], DataFrame]] = {
     "stream_zscore": _stream_zscore,
     "stream_zscore_carried": _stream_zscore_carried,
     "stream_device_switch": _stream_device,
-    "stream_dedup": _stream_dedup,
+    "stream_dedup": lambda v: _stream_dedup(v, v.stream("webhook_received")),
+    "stream_dedup_late": lambda v: _stream_dedup(v, v.late_stream("webhook_received")),
     "stream_rate_limit": _stream_rate_limit,
-    "stream_lifecycle": _stream_lifecycle,
+    "stream_rate_limit_late": _stream_rate_limit_late,
+    "stream_lifecycle": lambda v: _stream_lifecycle(v, v.stream("webhook_received")),
+    "stream_lifecycle_late": lambda v: _stream_lifecycle(v, v.late_stream("webhook_received")),
     # model data
     "feature_vector": _feature_vector,
+    "train_risk_model": _train_risk_model,
+    "score_auc": _score_auc,
     "model_auc": _model_auc,
     "risk_score": _risk_score,
     "score_fallback": lambda v: v.scored.select("event_id", "risk_score", "is_high_risk", "manual_review"),

@@ -12,7 +12,7 @@ from centflow.plans.scoring import Scorer, score_events
 from centflow.sources.tables import read_features
 from centflow.sources.topics import as_json, to_topic
 from centflow.streaming.stateful import stream_rate_limit
-from centflow.streaming.windows import stream_dedup, trigger
+from centflow.streaming.windows import by_arrival, stream_dedup, trigger
 
 
 def _store(df: DataFrame, tables: str, name: str, batch_id: int, *partition_by: str) -> DataFrame:
@@ -98,11 +98,11 @@ def process_batch(batch: DataFrame, batch_id: int, score: Scorer, tables: str, f
 
 def checked_deliveries(received: DataFrame, limit: int = sc.RATE_LIMIT_PER_MINUTE) -> DataFrame:
     """Drop repeated deliveries, apply the rules and count each merchant's quota, all as one stream."""
-    once = stream_dedup(received, ["stripe_event_id", "event_type"])
+    once = stream_dedup(by_arrival(received), ["stripe_event_id", "event_type"])
     ruled = rules.validate(once)
     renamed = ruled.withColumnRenamed("stripe_event_id", "event_id")
-    limited = stream_rate_limit(renamed, limit, delay=None)
-    return limited.withColumnRenamed("event_id", "stripe_event_id").drop("position")
+    limited = stream_rate_limit(renamed, limit)
+    return limited.withColumnRenamed("event_id", "stripe_event_id").drop("position", "_arrived")
 
 
 def start_lifecycle(

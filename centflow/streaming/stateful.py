@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Row, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from centflow import schemas as sc
+from centflow.streaming.windows import by_arrival
 
 # Python workers get the processors with the query and need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -75,20 +76,25 @@ class DeviceSwitch(StatefulProcessor):
 
 
 class RateLimit(StatefulProcessor):
-    """State per (merchant, bucket): events counted so far; dropped when the watermark passes the bucket."""
+    """State per (merchant, bucket): events counted so far; it expires ``ttl_seconds`` after the first one arrived.
 
-    def __init__(self, limit: int, bucket_seconds: int, types: tuple[str, ...]) -> None:
-        self._limit, self._size, self._types = limit, bucket_seconds * 1000, types
+    Time is that of arrival (``windows.by_arrival``), so a late event is counted like any other.
+    """
+
+    def __init__(self, limit: int, types: tuple[str, ...], ttl_seconds: int) -> None:
+        self._limit, self._types, self._ttl = limit, types, ttl_seconds * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
         self._count = handle.getValueState("count", "n long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        n = self._count.get()[0] if self._count.exists() else 0
-        if n == 0:
-            self._handle.registerTimer((key[1] + 1) * self._size)
+        known = self._count.exists()
+        n = self._count.get()[0] if known else 0
         for r in _in_order(rows):
+            if not known:
+                self._handle.registerTimer(_micros(r["_arrived"]) // 1000 + self._ttl)
+                known = True
             counted = r.event_type in self._types
             n += counted
             out = r.asDict()
@@ -128,15 +134,14 @@ def stream_device_switch(events: DataFrame, ttl_seconds: int = sc.DEVICE_TTL_SEC
 
 def stream_rate_limit(
     events: DataFrame, limit: int = sc.RATE_LIMIT_PER_MINUTE, bucket_seconds: int = 60,
-    types: tuple[str, ...] = (sc.SUCCEEDED,), delay: str | None = "2 minutes",
+    types: tuple[str, ...] = (sc.SUCCEEDED,), ttl_seconds: int = 86_400,
 ) -> DataFrame:
-    """Add ``position`` and ``limited``; ``delay=None`` keeps a watermark the stream already has."""
-    if delay:
-        events = events.withWatermark("received_at", delay)
-    out = _with(events, ("position", T.LongType()), ("limited", T.BooleanType()))
-    keyed = events.withColumn("_bucket", F.floor(F.unix_seconds("received_at") / bucket_seconds))
-    return keyed.groupBy("merchant_id", "_bucket").transformWithState(
-        statefulProcessor=RateLimit(limit, bucket_seconds, types),
-        outputStructType=out, outputMode="Append", timeMode="EventTime",
-        eventTimeColumnName="received_at",
+    """Add ``position``, in the order of arrival by micro-batch and then of time, and ``limited``; no row is lost."""
+    arrived = by_arrival(events)
+    out = _with(arrived, ("position", T.LongType()), ("limited", T.BooleanType()))
+    keyed = arrived.withColumn("_bucket", F.floor(F.unix_seconds("received_at") / bucket_seconds))
+    counted = keyed.groupBy("merchant_id", "_bucket").transformWithState(
+        statefulProcessor=RateLimit(limit, types, ttl_seconds),
+        outputStructType=out, outputMode="Append", timeMode="EventTime", eventTimeColumnName="_arrived",
     )
+    return counted.select(*events.columns, "position", "limited")

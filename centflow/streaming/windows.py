@@ -26,9 +26,19 @@ def velocity_5m(events: DataFrame) -> DataFrame:
     return velocity_windows(events, "5 minutes", "1 minute", watermark="10 minutes")
 
 
-def stream_dedup(df: DataFrame, keys: list[str], ts: str = "received_at", delay: str = "24 hours") -> DataFrame:
-    """Drop copies that arrive within ``delay`` of the first one, by the event-time watermark."""
-    return df.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
+def by_arrival(df: DataFrame, delay: str = "24 hours") -> DataFrame:
+    """Put the watermark on the time of arrival, that of the micro-batch, in a column ``_arrived``.
+
+    State expires by it, but no row is ever behind it: a delivery of any age is seen.
+    """
+    if "_arrived" in df.columns:
+        return df
+    return df.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", delay)
+
+
+def stream_dedup(df: DataFrame, keys: list[str], delay: str = "24 hours") -> DataFrame:
+    """Drop copies that arrive within ``delay`` of the first one."""
+    return by_arrival(df, delay).dropDuplicatesWithinWatermark(keys).select(*df.columns)
 
 
 def stream_feature_lookup(
