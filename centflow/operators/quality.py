@@ -49,20 +49,23 @@ def unaccepted(df: DataFrame, column: str, values: list[str]) -> DataFrame:
     return df.where(~F.col(column).isin(values)).groupBy(column).agg(F.count("*").alias("row_count"))
 
 
-def check(tables: dict[str, DataFrame]) -> DataFrame:
-    """One row per declared rule with its number of failures, for the tables given."""
+RULES = ("not_null", "unique", "accepted_values")
+
+
+def check(tables: dict[str, DataFrame], rules: tuple[str, ...] = RULES) -> DataFrame:
+    """One row per declared rule with its number of failures, for the tables and kinds of rule given."""
     results = []
     for name, df in tables.items():
-        if name in NOT_NULL:
+        if name in NOT_NULL and "not_null" in rules:
             results.append(
                 null_counts(df, name, NOT_NULL[name]).select(
                     "table_name", "column_name", F.lit("not_null").alias("rule"), "failures"
                 )
             )
         found = {}
-        if name in UNIQUE:
+        if name in UNIQUE and "unique" in rules:
             found["unique"] = UNIQUE[name], duplicate_keys(df, UNIQUE[name])
-        if name in ACCEPTED:
+        if name in ACCEPTED and "accepted_values" in rules:
             column, values = ACCEPTED[name]
             found["accepted_values"] = column, unaccepted(df, column, values)
         for rule, (column, rows) in found.items():

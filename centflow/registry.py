@@ -303,7 +303,7 @@ def _dq_tables(v: Views) -> dict[str, DataFrame]:
 
 
 def _dq(v: Views, rule: str) -> DataFrame:
-    return quality.check(_dq_tables(v)).where(F.col("rule") == rule).drop("rule")
+    return quality.check(_dq_tables(v), (rule,)).drop("rule")
 
 
 def _dq_not_null(v: Views) -> DataFrame:
