@@ -330,8 +330,11 @@ def test_marts_build_in_order(spark, folder):
 def test_model(spark):
     df = spark.range(600).selectExpr(
         *[f"CAST(id % {7 + i} AS DOUBLE) {c}" for i, c in enumerate(sc.FEATURE_ORDER)], "CAST(id % 7 > 4 AS DOUBLE) label",
-        "id % 2 = 0 features_available")
+        "id % 2 = 0 features_available", "CAST(id AS STRING) event_id")
     train, held_out = model.split(df)
+    ids = {r.event_id for r in held_out.collect()}
+    assert ids == {r.event_id for r in model.split(df.repartition(7))[1].collect()} and 60 < len(ids) < 180
+    assert train.count() == 600 - len(ids)
     fitted = model.train(train)
     assert model.auc(fitted, held_out) > 0.99
     for r in model.score(fitted, held_out).collect():
