@@ -8,7 +8,7 @@ import re
 import corpus_pipeline
 import pytest
 
-from centflow.llm import components, hash_ring, html_template, license_scan, near_dup, queries
+from centflow.llm import components, hash_ring, html_page, html_template, license_scan, near_dup, queries
 from centflow.llm.batches import table
 
 SF, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.1"
@@ -186,6 +186,13 @@ def test_regions_that_are_no_article(spark):
     assert html_template.extract(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_all_names_of_an_element_decide():
+    long = " ".join(f"utility-{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
+    page = f'<body><p>Out</p><div class="{long}" role="main"><p>Body</p><div class="{long}" id="comments">First!</div></div></body>'
+    assert html_template.main_text(page, frozenset()) == "Body"
+    assert len({html_page.element_key("div", f' class="{long}" id="{i}"') for i in ("a", "b")}) == 2
+
+
 def test_pipeline_stages(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "quality_rules", "near_dup", "decontaminate", "bpe_encode"]
     docs = table(spark, SF, "documents")
