@@ -193,6 +193,16 @@ def test_all_names_of_an_element_decide():
     assert len({html_page.element_key("div", f' class="{long}" id="{i}"') for i in ("a", "b")}) == 2
 
 
+@pytest.mark.parametrize("outer", ["layout has-sidebar", "no-sidebar", "page-with-header", "sticky-header", "sidebar", "site header"])
+@pytest.mark.parametrize("inner", ["category-legal", "tag-social", "search-results"])
+def test_articles_are_not_dropped(outer, inner):
+    page = (f'<body><div class="{outer}"><article class="{inner}"><p>Body</p><div class="comment-list">First!</div></article></div>'
+            '<div id="cookie-notice">We</div><div class="sidebar"><article>Teaser</article></div><p class="site-footer">Foot</p></body>')
+    assert html_template.main_text(page, frozenset()) == ("Body" if outer not in ("sidebar", "site header") else "Body Teaser")
+    assert html_template.main_text(f'<body><div class="{outer}"><article>Body</article></div></body>', frozenset()) == "Body"
+    assert html_template.main_text('<body><div class="has-sidebar"><p>Body</p></div></body>', frozenset()) == "Body"
+
+
 def test_pipeline_stages(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "quality_rules", "near_dup", "decontaminate", "bpe_encode"]
     docs = table(spark, SF, "documents")
