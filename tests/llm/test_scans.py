@@ -203,6 +203,26 @@ def test_articles_are_not_dropped(outer, inner):
     assert html_template.main_text('<body><div class="has-sidebar"><p>Body</p></div></body>', frozenset()) == "Body"
 
 
+def test_articles_of_broken_and_varied_pages(spark):
+    """One page leaves its article open, names differ from page to page, one article is of a rare layout."""
+    page = ('<html><body><nav>Menu</nav><div>Before</div><article class="post category-{0} tag-{0}"><header><h1>Title {0}</h1></header>'
+            '<p>Body {0}</p></article><div>After</div></body></html>')
+    names = "abcdefgh"
+    rows = [(i, f"https://a.example/{i}", page.format(c)) for i, c in enumerate(names)]
+    rows += [(20, "https://a.example/20", page.format("x").replace("</article>", ""))]
+    rows += [(21, "https://a.example/21", page.format("z").replace("article", "main").replace('class="post ', 'class="rare '))]
+    many = "".join(f'<i class="{chr(97 + i % 26)}{chr(97 + i // 26)}"></i>' for i in range(600))
+    rows += [(i, f"https://b.example/{i}", page.format(c).replace("<nav>", f"{many}<nav>")) for i, c in enumerate(names, 30)]
+    schema = "page_id long, url string, html string"
+    found = {r["page_id"]: r["text"] for r in html_template.extract(spark.createDataFrame(rows, schema)).collect()}
+    assert [found[i] for i in range(8)] == [found[i] for i in range(30, 38)] == [f"Title {c} Body {c}" for c in names]
+    assert found[21] == "Title z Body z"
+    templates = {r["host"]: set(r["template"]) for r in html_template.deduce(spark.createDataFrame(
+        [("a.example", h) for _, u, h in rows if "a.example" in u], "host string, html string")).collect()}
+    post, = html_template.name_tokens("article class=post")
+    assert post in templates["a.example"] and not html_template.name_tokens("article class=category-a") <= templates["a.example"]
+
+
 def test_pipeline_stages(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "quality_rules", "near_dup", "decontaminate", "bpe_encode"]
     docs = table(spark, SF, "documents")
