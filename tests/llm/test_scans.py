@@ -218,11 +218,25 @@ def test_articles_of_broken_and_varied_pages(spark):
     assert [found[i] for i in range(8)] == [found[i] for i in range(30, 38)] == [f"Title {c} Body {c}" for c in names]
     assert found[21] == "Title z Body z"
     templates = {r["host"]: set(r["template"]) for r in html_template.deduce(spark.createDataFrame(
-        [("a.example", h) for _, u, h in rows if "a.example" in u], "host string, html string")).collect()}
+        [("a.example", u, h) for _, u, h in rows if "a.example" in u], "host string, url string, html string")).collect()}
     post, = html_template.name_tokens("article class=post")
     assert post in templates["a.example"] and not html_template.name_tokens("article class=category-a") <= templates["a.example"]
 
 
+def test_texts_of_the_template_go(spark):
+    """Boilerplate without telling names goes; what only some pages share, or what is all of a page, stays."""
+    page = ('<body><div class="x3f">A tagline</div><div class="k{0}"><h1>Title {1}</h1><p>Body {1}</p>{2}</div>'
+            '<div class="q">Read more</div><div class="q">Read more</div></body>')
+    rows = [(i, f"https://a.example/{i}", page.format(i, c, "<p>Quoted</p>" if i < 5 else "")) for i, c in enumerate("abcdefgh")]
+    rows += [(i, f"https://b.example/{i}", "<body><div><p>The same</p></div></body>") for i in range(20, 25)]
+    rows += [(i, f"https://c.example/{i}", "<body><main><p>Two {0}</p><p>alike</p></main></body>".format(i)) for i in (30, 31)]
+    schema = "page_id long, url string, html string"
+    found = {r["page_id"]: r["text"] for r in html_template.extract(spark.createDataFrame(rows, schema)).collect()}
+    assert [found[i] for i in range(8)] == [f"Title {c} Body {c}" + " Quoted" * (i < 5) for i, c in enumerate("abcdefgh")]
+    assert {found[i] for i in range(20, 25)} == {"The same"}
+    assert found[30] == "Two 30 alike"
+
+
 def test_pipeline_stages(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "quality_rules", "near_dup", "decontaminate", "bpe_encode"]
     docs = table(spark, SF, "documents")
