@@ -1,5 +1,6 @@
 """Quality rules, toxicity, language identification and decontamination."""
 
+import base64
 import collections
 import random
 import re
@@ -59,6 +60,20 @@ def test_compression_bands():
     assert kept.tolist() == [True, False, False]
 
 
+def test_every_chunk_is_checked():
+    """Repeats and encoded files within a text of any length, and prose that stays."""
+    random.seed(6)
+    known = ["".join(random.choices("etaoinshrdlu", k=random.randint(2, 8))) for _ in range(800)]
+    prose = lambda size: " ".join(random.choices(known, k=size))[:size]
+    encoded = lambda size: base64.encodebytes(random.randbytes(size)).decode()[:size]
+    same = ("buy this very cheap new item now " * 200)[:3400]
+    texts = [same + prose(4700), prose(4700) + same, prose(60_000) + encoded(40_000), encoded(7000),
+             prose(8100), prose(5000), prose(4097), prose(100_000), prose(3000)]
+    found = quality_rules.measures(pa.array(texts))
+    assert not found["base_failed"].any()
+    assert found["kept"].tolist() == [False] * 4 + [True] * 5
+
+
 def test_quality_edge_cases(edge, frame):
     found = quality_rules.measure(edge)
     assert found.count() == edge.count() and found.where("kept is null or n_words is null").count() == 0
