@@ -28,7 +28,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from centflow.llm.batches import as_lists, slices, words
 from centflow.llm.components import connected
@@ -126,9 +126,18 @@ def signatures(shingles: np.ndarray, sizes: np.ndarray, factors: np.ndarray) ->
     return out
 
 
+_ROW_KEY = ("id", "k1", "k2")
+
+
+def _row_key(id_column: str, text_column: str) -> list[Column]:
+    """What tells rows apart: id and 128 bits of the text."""
+    text = F.col(text_column).cast("string")
+    return [F.col(id_column).cast("long").alias("id"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2")]
+
+
 def describe(df: DataFrame, rule: Rule, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, n, d1, d2, bands, signature) of every row: set size, digest of the set, band keys, signature."""
-    rows = df.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
+    """(id, k1, k2, n, d1, d2, bands, signature) of every row: keys of the text, set size, digest of the set, band keys, signature."""
+    rows = df.select(*_row_key(id_column, text_column), F.col(text_column).cast("string").alias("text"))
     factors = rule.factors()
     salts = np.random.default_rng(11).integers(0, 1 << 63, (rule.bands, rule.rows), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -148,11 +157,11 @@ def describe(df: DataFrame, rule: Rule, id_column: str = "doc_id", text_column:
                 row += size > 0
             both = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_pydict({
-                "id": batch.column("id"), "n": pa.array(sizes, pa.int64()), "d1": pa.array(both[:, 0]),
+                **{c: batch.column(c) for c in _ROW_KEY}, "n": pa.array(sizes, pa.int64()), "d1": pa.array(both[:, 0]),
                 "d2": pa.array(both[:, 1]), "bands": pa.array(bands, pa.list_(pa.int64())),
                 "signature": pa.array(signed, pa.binary())})
 
-    return rows.mapInArrow(run, "id long, n long, d1 long, d2 long, bands array<long>, signature binary")
+    return rows.mapInArrow(run, "id long, k1 long, k2 long, n long, d1 long, d2 long, bands array<long>, signature binary")
 
 
 def _likely(pairs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
@@ -223,6 +232,11 @@ def _apart(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 def components(df: DataFrame, rule: Rule, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; ``component_id`` is the smallest id of its component."""
+    return _named(*_connected(df, rule, id_column, text_column))
+
+
+def _connected(df: DataFrame, rule: Rule, id_column: str, text_column: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The described rows, the nodes and the (node, label) of those that links connect."""
     docs = df.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
     rows = written(describe(docs, rule, "id"), "signatures")
     nodes = written(
@@ -247,8 +261,7 @@ def components(df: DataFrame, rule: Rule, id_column: str = "doc_id", text_column
                .join(families.select("node", F.col("label").alias("family")), "node")
                .join(sets, "node").join(nodes.select("node", "signature"), "node"))
     found.append(written(_compared(members, rule), "found"))
-    labels = written(connected(reduce(DataFrame.union, found)), "labels")
-    return _named(rows, nodes, labels)
+    return rows, nodes, written(connected(reduce(DataFrame.union, found)), "labels")
 
 
 def _first_pivots(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -337,21 +350,27 @@ def _named(rows: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep(df: DataFrame, rule: Rule, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows, with all their columns, that stay when one document of each component does.
+    """The rows, with all their columns, that stay when exactly one row of each component does.
 
-    Of a component the document with the smallest id stays, and of rows with equal id and text one. Documents
-    without words are linked with nothing and all stay, so do rows with a null id, which cannot be told apart.
+    Of a component a row with the smallest id stays (a null id only if all are null), of several the one with the
+    least key of its text, and of rows with equal id and text any one. An id names nothing else: its other rows are
+    decided by their own components. Documents without words are linked with nothing and all stay.
     """
-    found = components(df, rule, id_column, text_column)
-    gone = found.where("doc_id <> component_id and n_shingles > 0").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = df.join(gone, F.col(id_column) == F.col("_gone"), "left_anti")
-    repeated = found.where("doc_id = component_id and n_shingles > 0").groupBy("doc_id").count().where("count > 1")
-    return _one_of_each(kept, repeated.select(F.col("doc_id").alias("_again")), id_column, text_column)
-
-
-def _one_of_each(rows: DataFrame, repeated: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """All rows, but of those whose id is in ``repeated`` (one column) one only for each id and text."""
-    again = F.col(id_column) == F.col("_again")
-    ranked = (rows.join(repeated, again, "left_semi")
-              .withColumn("_rank", F.row_number().over(Window.partitionBy(id_column, text_column).orderBy(id_column))))
-    return rows.join(repeated, again, "left_anti").unionByName(ranked.where("_rank = 1").drop("_rank"))
+    rows, nodes, labels = _connected(df, rule, id_column, text_column)
+    own = nodes.select("node", "d1", "d2").join(labels, "node", "left").select("d1", "d2", F.coalesce("label", "node").alias("component"))
+    members = rows.where("n > 0").select(*_ROW_KEY, "d1", "d2").join(own, ["d1", "d2"]).select("component", *_ROW_KEY)
+    order = F.struct(F.col("id").isNull().alias("unnamed"), *_ROW_KEY)
+    chosen = members.groupBy("component").agg(F.min(order).alias("best"), F.count("*").alias("size")).where("size > 1")
+    decided = written(members.join(chosen, "component").groupBy(*_ROW_KEY)
+                      .agg(F.count("*").alias("times"), F.bool_or(order == F.col("best")).alias("stays")), "decided")
+    keyed = df.select("*", F.struct(*_row_key(id_column, text_column)).alias("_key"))
+    gone, again = decided.where("not stays or times > 1"), decided.where("stays and times > 1")
+    # an aggregate with a map-side part, as one text may have any number of copies
+    firsts = (keyed.join(again, _same_key(again), "left_semi").groupBy("_key")
+              .agg(F.first(F.struct(*(keyed[f"`{c}`"] for c in df.columns))).alias("_row")).select("_row.*"))
+    return keyed.join(gone, _same_key(gone), "left_anti").drop("_key").unionByName(firsts)
+
+
+def _same_key(rows: DataFrame) -> Column:
+    """Whether a row's ``_key`` is that of the given rows."""
+    return reduce(Column.__and__, (F.col(f"_key.{c}").eqNullSafe(rows[c]) for c in _ROW_KEY))

@@ -3,7 +3,7 @@
 1. toxicity: documents that the clause grammar, learned from the labels, scores as toxic go.
 2. quality rules: documents that fail the base rule or lie outside the compression bands go.
 3. near-duplicates: of documents linked by five-word shingles (similarity 0.8 or more) the one with the smallest
-   id stays; rows that repeat an id are copies if their texts are.
+   id stays; every row is decided by its own text, whatever its id.
 4. decontamination: documents that hold a benchmark item go.
 5. BPE: every text gets its token ids.
 

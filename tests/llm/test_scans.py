@@ -112,6 +112,21 @@ def test_near_duplicate_edge_cases(edge, frame):
     assert near_dup.components(frame([]), near_dup.Rule()).count() == 0
 
 
+def test_rows_are_kept_by_their_own_texts(frame):
+    """Ids that repeat with other texts, near copies that share an id, copies without an id."""
+    texts = {k: " ".join(f"{k}{i}" for i in range(60)) for k in "abcdef"}
+    near = {k: t + " end" for k, t in texts.items()}
+    rows = [(1, texts["a"]), (7, near["a"]), (7, texts["b"]), (8, texts["c"]), (8, near["c"]), (None, texts["d"]),
+            (None, texts["d"]), (None, near["d"]), (None, texts["e"]), (9, near["e"]), (5, texts["f"]), (5, texts["f"]),
+            (5, ""), (5, ""), (None, None)]
+    kept = near_dup.keep(frame(rows), near_dup.Rule(3, 85))
+    found = collections.Counter((r["doc_id"], r["text"]) for r in kept.collect())
+    assert kept.columns == frame(rows).columns
+    assert found[5, ""] == 2 and found[None, None] == 1
+    full = collections.Counter((i, t[0]) for i, t in found.elements() if t)
+    assert full == {(1, "a"): 1, (7, "b"): 1, (8, "c"): 1, (None, "d"): 1, (9, "e"): 1, (5, "f"): 1}
+
+
 def test_bands_and_tests_miss_little():
     rule = near_dup.Rule(3, 85)
     assert (1 - 0.85 ** rule.rows) ** rule.bands <= rule.miss
