@@ -3,7 +3,8 @@
 Words are runs of a-z and 0-9 of the lower-cased text, shingles three words that follow each other. For templates
 of n words the text is cut into overlapping windows of n + stride - 1 words every stride = max(1, n / 4) words, so
 an occurrence lies whole in some window, and a window with ``CONTAINED`` of a template's shingles is at least 0.6
-similar to it. ``BANDS`` bands of ``ROWS`` MinHash values miss such a window with a probability of
+similar to it. It must also hold the template's ``TELLING`` shingles, which tell it from licenses of like words.
+``BANDS`` bands of ``ROWS`` MinHash values miss such a window with a probability of
 (1 - 0.6 ** ROWS) ** BANDS, about 2e-5. Windows and templates of one length that share a band are candidates, and
 stay if the window holds at least ``CONTAINED`` of the template's shingles, and no window within ``NEAR`` words holds
 more of a template of that length (versions of a license differ in a word).
@@ -33,6 +34,9 @@ TEMPLATES = [
     ("GPL-3.0", "gnu general public license as published by the free software foundation either version 3 of the license"),
     ("GPL-2.0", "this work is licensed under the gnu general public license version 2"),
     ("GPL-2.0", "gnu general public license as published by the free software foundation either version 2 of the license"),
+    ("GPL-1.0", "gnu general public license as published by the free software foundation either version 1 of the license"),
+    ("LGPL-2.0", "gnu library general public license as published by the free software foundation either version 2 of the license"),
+    ("LGPL-2.1", "gnu lesser general public license as published by the free software foundation either version 2 1 of the license"),
     ("LGPL-3.0", "gnu lesser general public license as published by the free software foundation either version 3 of the license"),
     ("AGPL-3.0", "gnu affero general public license as published by the free software foundation either version 3 of the license"),
     ("BSD", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
@@ -49,6 +53,13 @@ TEMPLATES = [
     ("All-Rights-Reserved", "all rights reserved"),
 ]
 
+#: Shingles that a notice cannot do without, where it has them: family, kind and version.
+TELLING = frozenset((
+    "gnu general public", "gnu lesser general", "gnu library general", "gnu affero general", "either version 1", "version 1 of",
+    "either version 2", "version 2 of", "version 2 1", "2 1 of", "either version 3", "version 3 of", "license version 2",
+    "license version 3", "commons attribution 4", "attribution noncommercial 4", "attribution 4 0", "noncommercial 4 0", "license v 2",
+))
+
 
 def stride(n: int) -> int:
     return max(1, n // 4)
@@ -79,11 +90,15 @@ def bands(shingles: Column) -> Column:
 
 
 def templates(spark: SparkSession) -> DataFrame:
-    """(number, license, n, shingles, bands) of the templates."""
-    rows = [(i, name, len(text.split()), text) for i, (name, text) in enumerate(TEMPLATES)]
+    """(number, license, n, shingles, telling, bands) of the templates; ``telling`` are shingles it cannot do without."""
+    def telling(ws: list[str]) -> list[list[str]]:
+        return [ws[i:i + SHINGLE] for i in range(len(ws) - SHINGLE + 1) if " ".join(ws[i:i + SHINGLE]) in TELLING]
+
+    rows = [(i, name, len(text.split()), text, telling(text.split())) for i, (name, text) in enumerate(TEMPLATES)]
     listed = F.split("notice", " ")
-    own = spark.createDataFrame(rows, "number int, license string, n int, notice string").select(
-        "number", "license", "n", F.array_distinct(F.transform(positions(listed), lambda i: shingle(i, listed))).alias("shingles"))
+    own = spark.createDataFrame(rows, "number int, license string, n int, notice string, telling array<array<string>>").select(
+        "number", "license", "n", F.array_distinct(F.transform(positions(listed), lambda i: shingle(i, listed))).alias("shingles"),
+        F.transform("telling", lambda ws: shingle(F.lit(0), ws)).alias("telling"))
     return own.withColumn("bands", bands(F.col("shingles")))
 
 
@@ -122,7 +137,8 @@ def scan(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") ->
     windows = windows.withColumn("held", F.array_distinct(F.transform(positions(listed), lambda i: shingle(i, listed))))
     windows = windows.withColumn("keys", bands(F.col("held"))).drop("words")
     # as many rows as TEMPLATES
-    met = windows.join(F.broadcast(known), "n").where(F.arrays_overlap("keys", "bands"))
+    met = windows.join(F.broadcast(known), "n").where(
+        F.arrays_overlap("keys", "bands") & (F.size(F.array_except("telling", "held")) == 0))
     met = met.withColumn("containment", F.size(F.array_intersect("held", "shingles")) / F.size("shingles"))
     most = F.max("containment").over(Window.partitionBy("doc_id", "n").orderBy("start").rangeBetween(-NEAR, NEAR))
     met = met.where(F.col("containment") >= CONTAINED).withColumn("most", most).where("containment = most")

@@ -52,6 +52,18 @@ def test_license_scan_is_native_and_takes_edge_cases(edge, frame):
         (1, "All-Rights-Reserved", 1), (None, "All-Rights-Reserved", 1)}
 
 
+def test_licenses_of_like_words(frame):
+    notice = "the GNU {} Public License as published by the Free Software Foundation; either version {} of the License, or later"
+    cases = {"GPL-1.0": ("General", "1"), "GPL-2.0": ("General", "2"), "GPL-3.0": ("General", "3"), "LGPL-2.0": ("Library General", "2"),
+             "LGPL-2.1": ("Lesser General", "2.1"), "LGPL-3.0": ("Lesser General", "3"), "AGPL-3.0": ("Affero General", "3")}
+    texts = {name: "Foo " * i + notice.format(*words) for i, (name, words) in enumerate(cases.items())}
+    cc = "This work is licensed under a Creative Commons Attribution{} 4.0 International License"
+    texts |= {"CC-BY-4.0": cc.format(""), "CC-BY-NC-4.0": cc.format("-NonCommercial")}
+    names = list(texts)
+    found = license_scan.scan(frame([(i, texts[name]) for i, name in enumerate(names)])).collect()
+    assert {(names[r["doc_id"]], r["license"]) for r in found} == {(name, name) for name in names} and len(found) == len(names)
+
+
 def shingles(text, k):
     words = WORD.findall((text or "").translate(UPPER))
     return frozenset(tuple(words[i:i + k]) for i in range(len(words) - k + 1)) if len(words) >= k else frozenset([tuple(words)] if words else [])
