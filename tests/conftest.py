@@ -9,8 +9,6 @@ from pyspark.sql import SparkSession
 
 from centflow.session import configure
 
-SF = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark():

@@ -3,8 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
-from compare import connect, difference
-from conftest import SF
+from compare import SF, connect, difference
 
 ORACLE = entry.oracle_sql()
 QUERIES = entry.queries()
