@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from centflow.llm import (
-    bpe, decontaminate, hash_ring, html_template, language_id, license_scan, near_dup, quality_rules, token_output, toxicity,
+    bpe, decontaminate, hash_ring, html_template, language_id, license_scan, merkle, near_dup, quality_rules, token_output,
+    toxicity, twins,
 )
 from centflow.llm.batches import table
 from centflow.session import configure, scratch_path, written
@@ -93,6 +94,13 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs of all documents in the manifest of their table, one in five with a changed text."""
+    configure(spark)
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    return merkle.audit(table(spark, sf_dir, "documents"), tampered)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scan": op1_license_scan,
@@ -105,9 +113,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontaminate": op8_decontaminate,
         "op9_main_text": op9_main_text,
         "op10_language_id": op10_language_id,
+        "op11_merkle_manifest": op11_merkle_manifest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL twins where SQL can express the operator."""
-    return {}
+    return {"op11_merkle_manifest": twins.OP11}
