@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from centflow.llm import (
-    bpe, decontaminate, hash_ring, html_template, language_id, license_scan, merkle, near_dup, quality_rules, token_output,
-    toxicity, twins,
+    bpe, decontaminate, hash_ring, html_template, language_id, license_scan, merkle, near_dup, packing, quality_rules,
+    token_output, toxicity, twins,
 )
 from centflow.llm.batches import table
 from centflow.session import configure, scratch_path, written
@@ -101,6 +101,19 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audit(table(spark, sf_dir, "documents"), tampered)
 
 
+#: Tokens of a packed sequence, and the id that ends a document.
+CAPACITY, END_ID = 1_024, 2
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 1024 tokens."""
+    configure(spark)
+    pieces = packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), CAPACITY, END_ID)
+    pieces = written(pieces.withColumns({"ids_crc32": F.crc32("ids"), "row": F.monotonically_increasing_id()}), "pieces")
+    packed = packing.pack(pieces.drop("ids"), ["doc_id", "piece", "row"], CAPACITY)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scan": op1_license_scan,
@@ -114,6 +127,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_main_text": op9_main_text,
         "op10_language_id": op10_language_id,
         "op11_merkle_manifest": op11_merkle_manifest,
+        "op12_packing": op12_packing,
     }
 
 
