@@ -155,9 +155,9 @@ def prove(manifest: Manifest, requests: DataFrame) -> DataFrame:
     paths_wanted = written(requests.select("tree", F.expr(f"rank div {FANOUT}").alias("pos")).distinct(), "wanted")
     asked = manifest.trees.join(paths_wanted.select("tree").distinct(), "tree")
     places = asked.select(F.lit("").alias("tree"), F.col("place").alias("pos"))
-    paths = requests.sparkSession.range(1).select(
-        F.lit("").alias("tree"), F.lit(0).cast("long").alias("pos"), F.lit(manifest.top_height).alias("height"),
-        F.lit(manifest.root).alias("digest"), none.alias("segments"))
+    paths = requests.sparkSession.createDataFrame(
+        [("", 0, manifest.top_height, manifest.root, [])],
+        "tree string, pos long, height int, digest string, segments array<struct<left:string,right:string>>")
     for left in range(manifest.top_height - 1, -1, -1):
         paths = _descend(paths, manifest.records, _prefixes(places, left))
     starts = written(asked.drop("subroot").join(paths.select(F.col("pos").alias("place"), "digest", "segments"), "place")

@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from centflow.llm import (
-    bpe, decontaminate, hash_ring, html_template, language_id, license_scan, merkle, near_dup, packing, quality_rules,
-    token_output, toxicity, twins,
+    bpe, conversation_repair, decontaminate, hash_ring, html_template, language_id, license_scan, merkle, near_dup,
+    packing, quality_rules, token_output, toxicity, twins,
 )
 from centflow.llm.batches import table
 from centflow.session import configure, scratch_path, written
@@ -114,6 +114,12 @@ def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every damaged conversation."""
+    configure(spark)
+    return conversation_repair.audit(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scan": op1_license_scan,
@@ -128,9 +134,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_language_id": op10_language_id,
         "op11_merkle_manifest": op11_merkle_manifest,
         "op12_packing": op12_packing,
+        "op13_conversation_repair": op13_conversation_repair,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL twins where SQL can express the operator."""
-    return {"op11_merkle_manifest": twins.OP11}
+    return {"op11_merkle_manifest": twins.OP11, "op13_conversation_repair": twins.OP13}
