@@ -18,6 +18,7 @@ of an empty text; an empty table gives no rows. Only the four named columns are
 import hashlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -81,7 +82,7 @@ def _in_order(rows: DataFrame) -> DataFrame:
             .select("conv", "turn", "role", "text", "gone", "blank", "cut", "digest"))
 
 
-def repair(rows: DataFrame) -> DataFrame:
+def repair(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """(conv and the fields of ``Repair``) of every conversation of rows (conv, turn, role, text, gone, copy, row)."""
     ordered = _in_order(rows)
     # rows of results have none of the columns of rows, and the other way round
@@ -89,7 +90,7 @@ def repair(rows: DataFrame) -> DataFrame:
     raw += [T.StructField("pos", T.LongType()), T.StructField("chunk", T.LongType())]
     result = T.StructType.fromDDL(_RESULT)
     out = T.StructType([*raw, *(T.StructField(f"r_{f.name}", f.dataType) for f in result.fields)])
-    stored = written(ordered.mapInArrow(_blocks, out), "conversations")
+    stored = written(ordered.mapInArrow(partial(_blocks, chunk=chunk), out), "conversations")
     whole = stored.where("chunk is null").select("conv", *(F.col(f"r_{n}").alias(n) for n in _NAMES))
     return whole.unionByName(_long(stored.where("chunk is not null").select(*(f.name for f in raw))))
 
@@ -139,7 +140,8 @@ def solve(turns: list[int | None], roles: list[str], texts: list[str], blank: li
 class _Block:
     """One task's stream of sorted rows: whole conversations are repaired, others leave as chunks."""
 
-    def __init__(self) -> None:
+    def __init__(self, limit: int) -> None:
+        self.limit = limit
         block = TaskContext.get().partitionId()
         self.pos, self.chunk = block << _ROW_BITS, block << _CHUNK_BITS
         self.pending: list[pa.RecordBatch] = []
@@ -152,7 +154,7 @@ class _Block:
         self.pending.append(part)
         self.rows += part.num_rows
         self.bytes += sum(part.column(c).nbytes for c in ("role", "text"))
-        if self.rows >= CHUNK or self.bytes >= CHUNK_BYTES:
+        if self.rows >= self.limit or self.bytes >= CHUNK_BYTES:
             self.long = True
             yield from self.flush()
 
@@ -194,18 +196,18 @@ def _result_table(done: list[tuple[object, Repair]]) -> pa.Table:
     return pa.table({"conv": pa.array([c for c, _ in done]), **columns})
 
 
-def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+def _parts(batch: pa.RecordBatch, chunk: int) -> Iterator[pa.RecordBatch]:
     """A sorted batch by conversation, and no part above a chunk's rows."""
     codes = batch.column("conv").dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
     starts = [0, *(i for i in range(1, len(codes)) if codes[i] != codes[i - 1]), len(codes)]
     for a, b in zip(starts, starts[1:]):
-        for i in range(a, b, CHUNK):
-            yield batch.slice(i, min(CHUNK, b - i))
+        for i in range(a, b, chunk):
+            yield batch.slice(i, min(chunk, b - i))
 
 
-def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _blocks(batches: Iterable[pa.RecordBatch], chunk: int) -> Iterator[pa.RecordBatch]:
     """Stored rows of a block: results of whole conversations, rows and chunk numbers of others."""
-    block, schema = _Block(), None
+    block, schema = _Block(chunk), None
     start = now = object()
 
     def shaped(rows: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -216,7 +218,7 @@ def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         schema = schema or batch.schema
-        for part in _parts(batch) if batch.num_rows else ():
+        for part in _parts(batch, chunk) if batch.num_rows else ():
             conv = part.column("conv")[0].as_py()
             if conv != now:
                 for rows in block.close(last=False) if now is not start else ():
@@ -327,7 +329,7 @@ def _digests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield result()
 
 
-def audit(df: DataFrame) -> DataFrame:
+def audit(df: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """The repair of every conversation of ``df`` after ``damage``."""
-    found = repair(damage(df))
+    found = repair(damage(df), chunk)
     return found.select(F.col("conv").alias("conv_id"), *_NAMES)
