@@ -336,6 +336,8 @@ SELECT 'payment.reconciliation.queue' AS topic, transaction_id AS "key", concat(
   '","stripe_created_at":', coalesce(strftime(stripe_created_at, '"%Y-%m-%dT%H:%M:%S.%fZ"'), 'null'),
   ',"run_date":"', CAST(run_date AS VARCHAR), '"}}}}') AS "value" FROM ({_ALL}) x""",
     "append_rows": "SELECT * FROM {ledger_entries}",
+    "append_history": """SELECT year(created_at)::INTEGER AS year, count(*) AS row_count, sum(amount_cents)::BIGINT AS amount_cents
+FROM {ledger_entries} GROUP BY 1""",
     "warehouse_export": f"SELECT transaction_id, discrepancy_type, diff_cents, merchant_id, run_date FROM ({_ALL}) x WHERE run_date = DATE '1997-02-13'",
     "processor_window": """SELECT id, amount, currency, created, merchant_id FROM {processor_intents}
 WHERE status = 'succeeded' AND created >= TIMESTAMP '1997-02-13 00:00:00' AND created <= TIMESTAMP '1997-02-13 23:59:59.999999'""",
@@ -441,6 +443,13 @@ FROM {ledger_entries} GROUP BY transaction_id HAVING balance_cents <> 0""",
     "merchant_rate_limit_2d": _rate_limit(2, "day"),
     "ingest_dedup": _dedup("'24' HOUR"),
     "ingest_dedup_30m": _dedup("'30' MINUTE"),
+    "ingest_dedup_hot": """WITH RECURSIVE accepted AS (
+  SELECT event_type, min(received_at) AS at FROM {webhook_received} GROUP BY 1
+  UNION ALL
+  SELECT a.event_type, min(w.received_at) AS at
+  FROM accepted a JOIN {webhook_received} w ON w.event_type = a.event_type AND w.received_at >= a.at + INTERVAL '3' HOUR GROUP BY 1)
+SELECT w.event_type, min(w.seq) AS seq, w.received_at
+FROM accepted a JOIN {webhook_received} w ON w.event_type = a.event_type AND w.received_at = a.at GROUP BY w.event_type, w.received_at""",
     "velocity_1m_windows": _TUMBLING,
     "velocity_5m_windows": _SLIDING,
     "stream_velocity_1m": _TUMBLING,

@@ -14,7 +14,7 @@ from centflow.operators import features, intake, lifecycle, marts, model, qualit
 from centflow.operators import validate as rules
 from centflow.plans import reconciliation, scoring, warehouse
 from centflow.session import configure, scratch_path, written
-from centflow.sources import tables, topics
+from centflow.sources import key_index, tables, topics
 from centflow.sources.testviews import VIEWS, needs, view
 from centflow.streaming import carried, features as stream_features, lifecycle as stream_lifecycle, stateful, windows
 
@@ -234,10 +234,22 @@ def _warehouse_export(v: Views) -> DataFrame:
 def _append_rows(v: Views) -> DataFrame:
     path = scratch_path(v.spark, "ledger")
     tables.append(v.ledger_loaded, path)
-    tables.idempotent_append(v.ledger_entries, path, ["transaction_id", "entry_type", "id"])
+    key_index.idempotent_append(v.ledger_entries, path, ["transaction_id", "entry_type", "id"])
     return v.spark.read.schema(sc.LEDGER_ENTRIES).parquet(path)
 
 
+def _append_history(v: Views) -> DataFrame:
+    """Rows per year of a ledger that was loaded year by year, each year twice, from the last one on."""
+    path, keys = scratch_path(v.spark, "history"), ["transaction_id", "entry_type", "id"]
+    entries = written(v.ledger_entries, "ledger")
+    for year in [r[0] for r in entries.select(F.year("created_at")).distinct().orderBy(F.year("created_at").desc()).collect()]:
+        for _ in range(2):
+            key_index.idempotent_append(entries.where(F.year("created_at") == year), path, keys)
+    stored = v.spark.read.schema(sc.LEDGER_ENTRIES).parquet(path)
+    return stored.groupBy(F.year("created_at").alias("year")).agg(
+        F.count("*").alias("row_count"), F.sum("amount_cents").alias("amount_cents"))
+
+
 def _velocity_upsert(v: Views) -> DataFrame:
     path, checkpoint = scratch_path(v.spark, "velocity"), scratch_path(v.spark, "velocity-checkpoint")
     fixed = F.lit("2024-02-01 00:00:00").cast("timestamp")
@@ -399,6 +411,7 @@ _QUERIES: dict[str, Callable[[Views], DataFrame]] = {
         lifecycle.ledger_message(v.scored), sc.TOPIC_LEDGER, "event_id")),
     "publish_batch": lambda v: _messages(reconciliation.messages(reconciliation.reconcile(*_recon_args(v)))),
     "append_rows": _append_rows,
+    "append_history": _append_history,
     "warehouse_export": _warehouse_export,
     "processor_window": lambda v: tables.succeeded_intents(v.processor_intents, DAY),
     "materialize": _materialize,
@@ -487,6 +500,8 @@ _QUERIES: dict[str, Callable[[Views], DataFrame]] = {
     "merchant_rate_limit_2d": lambda v: _rate_limit(v, 2, "day"),
     "ingest_dedup": lambda v: _dedup(v, 86_400),
     "ingest_dedup_30m": lambda v: _dedup(v, 1_800),
+    "ingest_dedup_hot": lambda v: intake.dedup_ttl(
+        v.webhook_received.select("event_type", "seq", "received_at"), ["event_type"], "received_at", "seq", 3 * 3_600),
     # streaming
     "velocity_1m_windows": lambda v: _windows(v, "1 minute"),
     "velocity_5m_windows": lambda v: _windows(v, "5 minutes", "1 minute"),

@@ -89,5 +89,6 @@ FEATURE_DEFAULTS = {
 DEFAULT_MERCHANT_RISK = 0.5
 HIGH_RISK, REVIEW_RISK = 0.7, 0.85
 DEVICE_TTL_SECONDS, FEATURE_TTL_SECONDS, VELOCITY_TTL_SECONDS = 300, 3600, 300
+SCORED_TTL_SECONDS = 7 * 86_400
 RATE_LIMIT_PER_MINUTE = 100
 DEFAULT_MERCHANT = "unknown_merchant"

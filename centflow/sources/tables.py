@@ -2,12 +2,11 @@
 
 from datetime import date
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from centflow import schemas as sc
 from centflow.functions.scalar import date_range, utc_day
-from centflow.operators.lifecycle import idempotent_rows
+from centflow.sources.expiring_store import ExpiringStore
 
 
 def read_table(
@@ -33,16 +32,6 @@ def append(df: DataFrame, path: str, partition_by: list[str] | None = None) -> N
     df.write.mode("append").partitionBy(*(partition_by or [])).parquet(path)
 
 
-def idempotent_append(df: DataFrame, path: str, keys: list[str]) -> None:
-    """Append the rows whose natural key is not in the table yet; a first load writes all."""
-    try:
-        df = idempotent_rows(df, df.sparkSession.read.parquet(path), keys)
-    except AnalysisException as missing:
-        if "PATH_NOT_FOUND" not in str(missing):
-            raise
-    append(df, path)
-
-
 def write_feature_store(df: DataFrame, folder: str, run_date: date) -> str:
     """Write the feature table of a run date and return its path."""
     path = f"{folder}/features_{run_date:%Y%m%d}.parquet"
@@ -76,56 +65,43 @@ def read_seed(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame
     return spark.read.schema(schema).option("header", True).csv(path)
 
 
-def _now(now: Column | None) -> Column:
-    return F.current_timestamp() if now is None else now
-
-
-def _write_expiring(batch: DataFrame, batch_id: int, path: str, ttl_seconds: int, now: Column | None) -> None:
-    """Store a micro-batch with its expiry; writing the same batch again replaces it."""
-    expires = F.timestamp_micros(F.unix_micros(_now(now)) + F.lit(ttl_seconds * 1_000_000))
-    rows = batch.withColumn("expires_at", expires).withColumn(
-        "expires_hour", F.date_format(F.col("expires_at"), "yyyyMMddHH").cast("int")
-    )
-    rows.write.mode("overwrite").partitionBy("expires_hour").parquet(f"{path}/batch_id={batch_id}")
+def velocity_store(path: str, ttl_seconds: int = sc.VELOCITY_TTL_SECONDS, now: Column | None = None) -> ExpiringStore:
+    """Window counts under (merchant, epoch minute)."""
+    return ExpiringStore(path, {"merchant_id": "string", "epoch_minute": "long"}, {"count": "long"}, ttl_seconds, now)
 
 
-def _read_expiring(spark: SparkSession, path: str, keys: list[str], values: list[str], now: Column | None) -> DataFrame:
-    """Latest unexpired values per key; the hour partition skips folders that expired long ago."""
-    rows = spark.read.parquet(path)
-    rows = rows.where(F.col("expires_hour") >= F.date_format(_now(now), "yyyyMMddHH").cast("int"))
-    latest = rows.groupBy(*keys).agg(
-        F.max_by(F.struct(*values, "expires_at"), "batch_id").alias("v")
-    )
-    return latest.select(*keys, "v.*").where(F.col("expires_at") > _now(now))
+def feature_store(path: str, ttl_seconds: int = sc.FEATURE_TTL_SECONDS, now: Column | None = None) -> ExpiringStore:
+    """The eight features under the event."""
+    return ExpiringStore(path, {"event_id": "string"}, dict.fromkeys(sc.FEATURE_ORDER, "double"), ttl_seconds, now)
 
 
 def velocity_sink(path: str, ttl_seconds: int = sc.VELOCITY_TTL_SECONDS, now: Column | None = None):
     """A foreachBatch function that upserts window counts under (merchant, epoch minute)."""
+    store = velocity_store(path, ttl_seconds, now)
+
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.select(
-            "merchant_id", F.floor(F.unix_seconds("window.start") / 60).alias("epoch_minute"), "count"
-        )
-        _write_expiring(rows, batch_id, path, ttl_seconds, now)
+        minute = F.floor(F.unix_seconds("window.start") / 60)
+        store.upsert(batch.select("merchant_id", minute.alias("epoch_minute"), "count"), batch_id)
     return upsert
 
 
 def read_velocity(spark: SparkSession, path: str, now: Column | None = None) -> DataFrame:
-    return _read_expiring(spark, path, ["merchant_id", "epoch_minute"], ["count"], now)
+    return velocity_store(path, now=now).read(spark)
 
 
 def feature_sink(path: str, ttl_seconds: int = sc.FEATURE_TTL_SECONDS, now: Column | None = None):
     """A foreachBatch function that upserts the eight features of each event; nulls become 0."""
+    store = feature_store(path, ttl_seconds, now)
+
     def upsert(batch: DataFrame, batch_id: int) -> None:
         present = set(batch.columns)
         values = [
             F.coalesce(F.col(c).cast("double") if c in present else F.lit(None), F.lit(0.0)).alias(c)
             for c in sc.FEATURE_ORDER
         ]
-        _write_expiring(batch.select("event_id", *values), batch_id, path, ttl_seconds, now)
+        store.upsert(batch.select("event_id", *values), batch_id)
     return upsert
 
 
 def read_features(spark: SparkSession, path: str, now: Column | None = None) -> DataFrame:
-    return _read_expiring(spark, path, ["event_id"], sc.FEATURE_ORDER, now)
-
-
+    return feature_store(path, now=now).read(spark)

@@ -2,16 +2,15 @@
 
 from functools import partial
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from centflow import schemas as sc
-from centflow.operators import intake, lifecycle, validate as rules
+from centflow.operators import lifecycle, validate as rules
 from centflow.plans.scoring import Scorer, score_events
 from centflow.sources.tables import read_features
 from centflow.sources.topics import as_json, to_topic
-from centflow.streaming.stateful import stream_rate_limit
+from centflow.streaming.stateful import stream_first, stream_rate_limit
 from centflow.streaming.windows import by_arrival, stream_dedup, trigger
 
 
@@ -22,20 +21,11 @@ def _store(df: DataFrame, tables: str, name: str, batch_id: int, *partition_by:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def stored_before(spark: SparkSession, tables: str, name: str, batch_id: int) -> DataFrame | None:
-    """What earlier micro-batches wrote to a table, or None."""
-    try:
-        return spark.read.parquet(f"{tables}/{name}").where(F.col("batch_id") < batch_id)
-    except AnalysisException as missing:
-        if "PATH_NOT_FOUND" in str(missing) or "UNABLE_TO_INFER_SCHEMA" in str(missing):
-            return None
-        raise
-
-
 def process_batch(batch: DataFrame, batch_id: int, score: Scorer, tables: str, features: str | None) -> None:
     """Validate, score, route and book one micro-batch of deduplicated, rate-checked deliveries.
 
-    Every table is derived from the stored form of the one before, so a step is computed once and a
+    What it reads does not grow with the batches before: ``first`` tells which event is to be scored, from the keyed
+    state of the stream, and the stored features drop what has expired. Every table is derived from the stored form of the one before, so a step is computed once and a
     rerun of the batch after a failure writes the same files again.
     """
     spark = batch.sparkSession
@@ -45,13 +35,8 @@ def process_batch(batch: DataFrame, batch_id: int, score: Scorer, tables: str, f
     )
     if checked.isEmpty():
         return
-    valid, dead = rules.split_valid(checked.where("NOT limited"), F.current_timestamp())
-    first = intake.dedup_first(valid, ["event_id"], "received_at", "event_type")
-    before = stored_before(spark, tables, "payment_state_log", batch_id)
-    if before is not None:
-        # only this batch's ids leave the scan of the log, which reads one column of one partition value
-        ids = checked.select(F.col("stripe_event_id").alias("event_id"))
-        first = lifecycle.skip_done(first, before.join(ids, "event_id", "left_semi"), sc.SCORING)
+    dead = rules.split_valid(checked.where("NOT limited"), F.current_timestamp())[1]
+    first = rules.split_valid(checked.where("first"), F.current_timestamp())[0]
     if features is None:
         known = spark.createDataFrame([], "event_id string, " + ", ".join(f"{c} double" for c in sc.FEATURE_ORDER))
     else:
@@ -96,13 +81,17 @@ def process_batch(batch: DataFrame, batch_id: int, score: Scorer, tables: str, f
     _store(log.select(*sc.STATE_LOG.fieldNames()), tables, "payment_state_log", batch_id, "to_state")
 
 
-def checked_deliveries(received: DataFrame, limit: int = sc.RATE_LIMIT_PER_MINUTE) -> DataFrame:
-    """Drop repeated deliveries, apply the rules and count each merchant's quota, all as one stream."""
+def checked_deliveries(received: DataFrame, limit: int = sc.RATE_LIMIT_PER_MINUTE,
+                       once_seconds: int = sc.SCORED_TTL_SECONDS) -> DataFrame:
+    """Drop repeated deliveries, apply the rules, count each merchant's quota and mark the delivery by which an
+    event is scored, once in ``once_seconds``, all as one stream.
+    """
     once = stream_dedup(by_arrival(received), ["stripe_event_id", "event_type"])
     ruled = rules.validate(once)
     renamed = ruled.withColumnRenamed("stripe_event_id", "event_id")
     limited = stream_rate_limit(renamed, limit)
-    return limited.withColumnRenamed("event_id", "stripe_event_id").drop("position", "_arrived")
+    marked = stream_first(limited, F.col("failure_reason").isNull() & ~F.col("limited"), once_seconds)
+    return marked.withColumnRenamed("event_id", "stripe_event_id").drop("position", "_arrived")
 
 
 def start_lifecycle(

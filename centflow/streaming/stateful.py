@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from math import sqrt
 
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Row, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Row, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from centflow import schemas as sc
@@ -110,6 +110,44 @@ class RateLimit(StatefulProcessor):
         pass
 
 
+class FirstOnly(StatefulProcessor):
+    """State per key: that a row of it was taken; it expires ``ttl_seconds`` after that row arrived."""
+
+    def __init__(self, ttl_seconds: int) -> None:
+        self._ttl = ttl_seconds * 1000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._taken = handle.getValueState("taken", "at long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        best, others = None, []
+        for r in rows:
+            if not r["_counts"]:
+                others.append(r)
+            elif best is None or (r.received_at, r.event_type) < (best.received_at, best.event_type):
+                others += [best] if best is not None else []
+                best = r
+            else:
+                others.append(r)
+        takes = best is not None and not self._taken.exists()
+        if takes:
+            at = _micros(best["_arrived"]) // 1000
+            self._taken.update((at,))
+            self._handle.registerTimer(at + self._ttl)
+        for r in others if best is None else [best, *others]:
+            out = r.asDict()
+            del out["_counts"]
+            yield Row(**out, first=takes and r is best)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self._taken.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
 def _with(df: DataFrame, *fields: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([*df.schema.fields, *[T.StructField(n, t) for n, t in fields]])
 
@@ -145,3 +183,16 @@ def stream_rate_limit(
         outputStructType=out, outputMode="Append", timeMode="EventTime", eventTimeColumnName="_arrived",
     )
     return counted.select(*events.columns, "position", "limited")
+
+
+def stream_first(events: DataFrame, counts: Column, ttl_seconds: int) -> DataFrame:
+    """Add ``first``: of the rows of an event id for which ``counts`` holds, the first one that came in the TTL.
+
+    Of one micro-batch that is the one with the least (received_at, event_type). No row is lost.
+    """
+    arrived = by_arrival(events)
+    taken = arrived.withColumn("_counts", F.coalesce(counts, F.lit(False))).groupBy("event_id").transformWithState(
+        statefulProcessor=FirstOnly(ttl_seconds), outputStructType=_with(arrived, ("first", T.BooleanType())),
+        outputMode="Append", timeMode="EventTime", eventTimeColumnName="_arrived",
+    )
+    return taken.select(*events.columns, "first")

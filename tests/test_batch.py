@@ -1,5 +1,6 @@
 """Exact cases of the batch operators."""
 
+import random
 from datetime import date, datetime, timedelta
 
 import pytest
@@ -10,7 +11,8 @@ from centflow.functions.scalar import date_range, enrich, usd, utc_day
 from centflow.operators import features, intake, lifecycle, marts, model, quality, recon, reports, service_metrics
 from centflow.operators import validate as rules
 from centflow.plans import reconciliation, warehouse
-from centflow.sources import tables, topics
+from centflow.session import written
+from centflow.sources import key_index, tables, topics
 
 T0 = datetime(2026, 3, 23)
 
@@ -222,6 +224,25 @@ def test_dedup_ttl(spark):
     assert kept(0, 0, 0) == [0]
 
 
+@pytest.mark.parametrize("ttl", [30, 86_400])
+def test_dedup_ttl_of_a_hot_key(spark, many_blocks, monkeypatch, ttl):
+    """A hot key, a null one and ordinary ones against a plain loop; rounds are logarithmic."""
+    rng = random.Random(ttl)
+    rows = [(None if n % 50 == 0 else "hot" if n % 10 else f"k{n % 7}", n, T0 + timedelta(seconds=rng.randrange(ttl * 60))) for n in range(1500)]
+    rows += [("tied", n, T0 + timedelta(seconds=ttl * (n // 4))) for n in range(40)]
+    want, until = [], {}
+    for key, seq, at in sorted(rows, key=lambda r: (r[2], r[1])):
+        if key not in until or at >= until[key]:
+            want.append(seq if key != "tied" else -seq)
+            until[key] = at + timedelta(seconds=ttl)
+    stored = []
+    monkeypatch.setattr(intake, "written", lambda df, name: stored.append(name) or written(df, name))
+    df = spark.createDataFrame(rows, "key string, seq int, at timestamp")
+    got = intake.dedup_ttl(df, ["key"], "at", "seq", ttl).collect()
+    assert sorted(r.seq if r.key != "tied" else -r.seq for r in got) == sorted(want)
+    assert len([k for k in want]) > 60 and stored.count("reached") <= 8
+
+
 def test_quality(spark):
     log = log_rows(spark, ("t1", "m", ["INITIATED", "VALIDATED", "SCORING", "AUTHORIZED", "SETTLED"]),
                    ("t2", "m", ["INITIATED", "SCORING"]))
@@ -266,8 +287,8 @@ def test_sources_and_sinks(spark, folder):
     assert path.endswith("features_20260301.parquet") and spark.read.parquet(path).count() == 1
 
     ledger = ledger_rows(spark, ("t1", "DEBIT", 5, "m", T0), ("t1", "CREDIT", 5, "m", T0 + timedelta(days=2)))
-    tables.idempotent_append(ledger, f"{folder}/ledger", ["source_event_id", "entry_type"])
-    tables.idempotent_append(ledger, f"{folder}/ledger", ["source_event_id", "entry_type"])
+    key_index.idempotent_append(ledger, f"{folder}/ledger", ["source_event_id", "entry_type"])
+    key_index.idempotent_append(ledger, f"{folder}/ledger", ["source_event_id", "entry_type"])
     assert tables.read_table(spark, f"{folder}/ledger").count() == 2
     assert tables.read_table(spark, f"{folder}/ledger", sc.LEDGER_ENTRIES, end=T0.date()).count() == 1
 

@@ -10,7 +10,8 @@ from centflow import schemas as sc
 from centflow.functions.scalar import enrich
 from centflow.operators import features as batch, intake, model as ml
 from centflow.registry import drained
-from centflow.plans.scoring import by_model
+from centflow.operators import validate as rules
+from centflow.plans.scoring import by_expression, by_model
 from centflow.session import scratch_path
 from centflow.sources.tables import feature_sink
 from centflow.streaming import carried, lifecycle, stateful, windows
@@ -172,3 +173,34 @@ def test_lifecycle(spark, feed, fitted, folder):
     stored = spark.createDataFrame(again.collect(), again.schema)
     lifecycle.process_batch(stored, 0, by_model(fitted), tables, f"{folder}/features")
     assert {n: table(n).count() for n in before} == before
+
+
+def test_lifecycle_batches_do_not_read_what_came_before(spark, folder, monkeypatch):
+    """Thirty batches: no batch reads a table of another one, and an event is scored once."""
+    from pyspark.sql.readwriter import DataFrameReader
+
+    read = []
+    plain = DataFrameReader.parquet
+    monkeypatch.setattr(DataFrameReader, "parquet", lambda self, *paths, **more: read.append(paths) or plain(self, *paths, **more))
+    schema = "stripe_event_id string, event_type string, payload string, received_at timestamp"
+    received = spark.createDataFrame([delivery(n, merchant="m") for n in range(2)], schema)
+    batch = rules.validate(received).withColumns({"limited": F.lit(False), "first": F.col("stripe_event_id") == "e0"})
+    for n in range(30):
+        lifecycle.process_batch(batch, n, by_expression(F.lit(0.1)), f"{folder}/tables", None)
+        if n == 0:
+            per_batch = len(read)
+    assert len(read) == 30 * per_batch
+    assert all(f"/batch_id={i // per_batch}" in path for i, paths in enumerate(read) for path in paths)
+    states = spark.read.parquet(f"{folder}/tables/payment_state_log").groupBy("event_id").agg(F.count_if(F.col("to_state") == "SCORING").alias("n"))
+    assert {r.event_id: r.n for r in states.collect()} == {"e0": 30, "e1": 0}
+
+
+def test_first_of_an_event_id(feed):
+    """Rows that do not count take nothing; of those that do one is first, in all batches."""
+    rows = [event(1), event(2), event(1, seconds=5), event(3)], [event(1, seconds=9), event(3, seconds=1)], [event(3, seconds=2), event(2, seconds=1)]
+    stream = feed(*rows).withColumn("good", ~((F.col("event_id") == "e003") & (F.col("received_at") <= F.lit(T0))))
+    marked = stateful.stream_first(stream, F.col("good"), 3600)
+    got = sorted((r.event_id, r.received_at, r["first"]) for r in drained(marked).collect())
+    assert [(i, (t - T0).seconds, f) for i, t, f in got] == [
+        ("e001", 0, True), ("e001", 5, False), ("e001", 9, False), ("e002", 0, True), ("e002", 1, False),
+        ("e003", 0, False), ("e003", 1, True), ("e003", 2, False)]
