@@ -1,5 +1,6 @@
 """Helpers for Arrow batches of texts inside tasks: bounded slices, words, units and a bounded cache."""
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -8,10 +9,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+#: The C library of this process.
+_C = ctypes.CDLL(None)
 #: Bytes of text that one step of a task works on; a longer single text is a step of its own.
 SLICE_BYTES = 4 << 20
 #: Bytes and rows of an Arrow batch between Spark and a Python worker.
 BATCH_BYTES, BATCH_ROWS = 8 << 20, 2_000
+#: About what a cached piece takes besides its characters and ids: a string, its place in the table, two numbers.
+PIECE_BYTES = 170
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +43,14 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BY
             yield batch.slice(start, stop - start)
             start = stop
         pa.default_memory_pool().release_unused()
+    _trim()
+
+
+def _trim() -> None:
+    """Give freed memory back at the end of a task: the worker lives on and the next stage may need it elsewhere."""
+    trim = getattr(_C, "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def text_bytes(texts: pa.Array) -> np.ndarray:
@@ -49,6 +62,11 @@ def filled(texts: pa.Array) -> pa.Array:
     return pc.fill_null(texts.cast(pa.string()), "")
 
 
+def strings(values: pa.Array) -> list[str]:
+    """Python strings of an array without nulls, faster than by scalars."""
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
 def words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of all texts: code of each word, the distinct words, words per text."""
     texts = filled(texts)
@@ -73,9 +91,12 @@ def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 class PieceCache:
-    """Token ids of pieces of text seen before in this Python worker, at most ``limit`` pieces."""
+    """Token ids of pieces of text seen before in this Python worker, at most about ``limit`` bytes of them.
+
+    A call that finds it full starts anew, and the pieces of one call may exceed the limit.
+    """
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 400_000) -> None:
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 96 << 20) -> None:
         self.encode, self.limit = encode, limit
         self._clear()
 
@@ -83,7 +104,7 @@ class PieceCache:
         self.at: dict[str, int] = {}
         self.ids, self.lengths = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64)
         self.starts = np.zeros(1 << 16, np.int64)
-        self.used = 0
+        self.used = self.bytes = 0
 
     def _add(self, pieces: list[str]) -> None:
         ids, lengths = self.encode(pieces)
@@ -96,11 +117,12 @@ class PieceCache:
         self.lengths[n:n + len(pieces)] = lengths
         self.starts[n:n + len(pieces)] = self.used + np.cumsum(lengths) - lengths
         self.used += len(ids)
+        self.bytes += PIECE_BYTES * len(pieces) + sum(map(len, pieces)) + 4 * len(ids)
         self.at.update(zip(pieces, range(n, n + len(pieces))))
 
     def look_up(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Start and length of each (distinct) piece in ``ids``; valid until the next call."""
-        if len(self.at) > self.limit:
+        if self.bytes > self.limit:
             self._clear()
         if missing := [p for p in pieces if p not in self.at]:
             self._add(missing)

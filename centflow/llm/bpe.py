@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from centflow.llm.batches import PieceCache, as_lists, filled, slices, with_columns
+from centflow.llm.batches import PieceCache, as_lists, filled, slices, strings, with_columns
 from centflow.llm.prefix_bpe import PrefixBpe
 
 #: Fixed value: how byte-level tokenizers of this kind split a text.
@@ -75,7 +75,7 @@ class Encoder:
 
     def __init__(self, path: str) -> None:
         self.bpe = PrefixBpe(path)
-        self.cache = PieceCache(self._encode_pieces, limit=600_000)
+        self.cache = PieceCache(self._encode_pieces)
         names = sorted(self.bpe.special, key=len, reverse=True)
         self.special = "|".join(map(regex.escape, names))
 
@@ -110,7 +110,7 @@ class Encoder:
         bounds = np.append(np.flatnonzero(begins), len(data))
         pieces = pa.StringArray.from_buffers(len(bounds) - 1, pa.py_buffer(bounds.astype(np.int32)),
                                              pa.py_buffer(data)).dictionary_encode()
-        return self.cache.expand(pieces.indices.to_numpy().astype(np.int64), pieces.dictionary.to_pylist(),
+        return self.cache.expand(pieces.indices.to_numpy().astype(np.int64), strings(pieces.dictionary),
                                  np.diff(np.searchsorted(bounds, offsets)))
 
 

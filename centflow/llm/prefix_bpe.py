@@ -5,7 +5,7 @@ So for every prefix the only thing to store is its last token: of the vocabulary
 that is compatible with the last token of the prefix before it. Back-pointers give the ids. Two tokens are
 compatible if no merge across their border comes before the merges that made them.
 
-All pieces advance by one byte per step: a suffix automaton of the vocabulary gives each piece's longest token
+All pieces advance by one byte per step: an Aho-Corasick automaton of the vocabulary (its states' suffix links fail over) gives each piece's longest token
 that ends at the byte, suffix links the shorter ones, and compatibility is tested for all pieces together.
 """
 
@@ -14,6 +14,7 @@ import json
 import numpy as np
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+_HALF = 16
 
 
 def byte_symbols() -> dict[str, int]:
@@ -102,24 +103,43 @@ class PrefixBpe:
                 state = following
             ends[state] = i
         parents, bytes_, depths, own = (np.array(x, np.int64) for x in (parent, byte, depth_of, ends))
-        self.step = np.zeros((len(parents), 256), np.int32)
+        # states by byte are looked up in two steps, by half a byte each; a state shares the blocks of 16 next states
+        # that it does not change with the state it falls back to
+        self.block = np.zeros((len(parents), _HALF), np.int32)
+        self.next = np.zeros((1, _HALF), np.int32)
         fail = np.zeros(len(parents), np.int64)
         self.longest = np.full(len(parents), -1, np.int64)
         self.shorter = np.full(self.size, -1, np.int64)
-        first = np.flatnonzero(depths == 1)
-        self.step[0, bytes_[first]] = first
+        by_depth = np.argsort(depths, kind="stable")
+        bounds = np.searchsorted(depths[by_depth], np.arange(int(depths.max()) + 2))
+        self._add_children(np.zeros(bounds[2] - bounds[1], np.int64), bytes_, by_depth[bounds[1]:bounds[2]])
         for depth in range(1, int(depths.max()) + 1):
-            states = np.flatnonzero(depths == depth)
+            states = by_depth[bounds[depth]:bounds[depth + 1]]
             if depth > 1:
-                fail[states] = self.step[fail[parents[states]], bytes_[states]]
-            # a child's entry replaces the one its parent inherits, so parents come first
-            self.step[states] = self.step[fail[states]]
-            below = np.flatnonzero(depths == depth + 1)
-            self.step[parents[below], bytes_[below]] = below
+                fail[states] = self.following(fail[parents[states]], bytes_[states])
+            self.block[states] = self.block[fail[states]]
             inherited = self.longest[fail[states]]
             named = own[states] >= 0
             self.shorter[own[states[named]]] = inherited[named]
             self.longest[states] = np.where(named, own[states], inherited)
+            if depth + 2 < len(bounds):
+                # a child's entry replaces the one its parent inherits, so parents come first
+                below = by_depth[bounds[depth + 1]:bounds[depth + 2]]
+                self._add_children(parents[below], bytes_, below)
+
+    def _add_children(self, parents: np.ndarray, bytes_: np.ndarray, states: np.ndarray) -> None:
+        """Blocks of their own for the parents' entries of these states."""
+        high, low = bytes_[states] // _HALF, bytes_[states] % _HALF
+        changed, of = np.unique(parents * _HALF + high, return_inverse=True)
+        blocks = self.next[self.block[changed // _HALF, changed % _HALF]]
+        blocks[of, low] = states
+        self.block[changed // _HALF, changed % _HALF] = len(self.next) + np.arange(len(changed))
+        self.next = np.concatenate([self.next, blocks])
+
+    def following(self, states: np.ndarray, bytes_: np.ndarray) -> np.ndarray:
+        """The next state of each state by a byte."""
+        block = self.block.ravel().take(states * _HALF + (bytes_ >> 4))
+        return self.next.ravel().take(block * _HALF + (bytes_ & 15))
 
     def compatible(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Whether BPE encodes the bytes of each pair as that pair.
@@ -157,7 +177,7 @@ class PrefixBpe:
         for p in range(longest):
             rows = order[:active[p]]
             at = starts[rows] + p
-            state[rows] = self.step[state[rows], data[at]]
+            state[rows] = self.following(state[rows], data[at])
             token = self.longest[state[rows]]
             while len(rows):
                 before = p - self.lengths[token]
