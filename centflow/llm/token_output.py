@@ -10,6 +10,7 @@ named columns are read, so further columns do not matter. A task that runs again
 files of finished tasks are in the manifest.
 """
 
+import json
 import os
 import uuid
 import zlib
@@ -21,12 +22,16 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from centflow.llm.batches import PieceCache, as_lists, slices, words
+from centflow.llm.batches import PieceCache, as_lists, gather, slices, strings, words
 from centflow.llm.token_files import Reader, Writer
 
 END_ID = 2
 #: A word of its own in any text; it separates pieces that are encoded in one call.
 _SEPARATOR = "\x01"
+#: Marks that begin none of the tokenizer's contractions, so that they are a word after letters.
+_MARKS = frozenset(".,;:!?")
+#: Fixed value: the words of such tokenizers.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _caches: dict[str, PieceCache] = {}
 
 
@@ -41,28 +46,96 @@ def word_cache(path: str) -> PieceCache:
         tokenizer.no_padding()
         mark = tokenizer.encode(_SEPARATOR, add_special_tokens=False).ids
         special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        words_only, ends_word = _for_words(tokenizer), _word_ends(tokenizer)
+
+        def ids_of(texts: list[str], by: Tokenizer = tokenizer) -> np.ndarray:
+            found = by.encode_batch_fast(texts, add_special_tokens=False)
+            return np.concatenate([np.zeros(0, np.int32), *(np.array(e.ids, np.int32) for e in found)])
 
         def plain(piece: str) -> bool:
             return _SEPARATOR not in piece and not any(s in piece for s in special)
 
-        def encode(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        def any_pieces(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
             if len(mark) != 1 or not all(map(plain, pieces)):
                 each = [e.ids for e in tokenizer.encode_batch(pieces, add_special_tokens=False)]
                 return np.array([i for ids in each for i in ids], np.int32), np.array([len(i) for i in each], np.int64)
-            joined = [f" {_SEPARATOR} ".join(pieces[i:i + 256]) + f" {_SEPARATOR}" for i in range(0, len(pieces), 256)]
-            ids = np.concatenate([np.array(e.ids, np.int32) for e in
-                                  tokenizer.encode_batch_fast(joined, add_special_tokens=False)])
+            ids = ids_of([f" {_SEPARATOR} ".join(pieces[i:i + 256]) + f" {_SEPARATOR}" for i in range(0, len(pieces), 256)])
             ends = np.flatnonzero(ids == mark[0])
             return np.delete(ids, ends), np.diff(ends, prepend=-1) - 1
 
+        def encode(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            """Pieces of plain words are told apart by the tokens that end words."""
+            if words_only is None:
+                return any_pieces(pieces)
+            split = list(map(_plain_words, pieces))
+            simple = [s for s in split if s]
+            words_in = np.array([0 if not s else 2 if " " in s else 1 for s in split], np.int64)
+            counted = np.flatnonzero(words_in)
+            ids = ids_of([" ".join(simple[i:i + 512]) for i in range(0, len(simple), 512)], words_only)
+            ends = np.flatnonzero(ends_word[ids])
+            last = np.cumsum(words_in[counted])
+            if len(ends) != (last[-1] if len(last) else 0):
+                return any_pieces(pieces)
+            lengths = np.zeros(len(pieces), np.int64)
+            lengths[counted] = np.diff(ends[last - 1], prepend=-1)
+            if len(simple) == len(pieces):
+                return ids, lengths
+            rest = np.flatnonzero(words_in == 0)
+            more, lengths[rest] = any_pieces([pieces[i] for i in rest])
+            order = np.empty(lengths.sum(), np.int32)
+            starts = np.cumsum(lengths) - lengths
+            order[gather(starts[counted], lengths[counted])] = ids
+            order[gather(starts[rest], lengths[rest])] = more
+            return order, lengths
+
         _caches[path] = PieceCache(encode)
     return _caches[path]
 
 
+def _word_ends(tokenizer) -> np.ndarray:
+    """Of each id, whether its token ends a word."""
+    suffix = json.loads(tokenizer.to_str())["model"].get("end_of_word_suffix")
+    vocabulary = tokenizer.get_vocab()
+    ends = np.zeros(1 + max(vocabulary.values()), bool)
+    if suffix:
+        ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+    return ends
+
+
+def _for_words(tokenizer):
+    """The same model for plain words in lower case, without the steps that would not change these; None if the
+    tokenizer's steps are not the known ones.
+    """
+    from tokenizers import Tokenizer
+
+    spec = json.loads(tokenizer.to_str())
+    normal = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+    steps = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+    if (normal != ["NFC", "Replace", "Lowercase"] or [s["type"] for s in steps] != ["Split", "ByteLevel"]
+            or steps[0]["pattern"] != {"Regex": _PATTERN} or spec["model"].get("end_of_word_suffix") is None):
+        return None
+    spec |= {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, steps[1]]}}
+    return Tokenizer.from_str(json.dumps(spec))
+
+
+def _plain_words(piece: str) -> str:
+    """A piece of letters, or of letters and one mark, in lower case as words with a space between; else nothing.
+
+    The letters are those up to U+017F, which have no other composed form.
+    """
+    if piece.isalpha():
+        lower = piece.lower()
+        return lower if piece.isascii() or max(piece) <= "\u017f" and lower.isalpha() else ""
+    start = piece[:-1]
+    if piece[-1:] in _MARKS and start.isalpha() and (word := _plain_words(start)):
+        return f"{word} {piece[-1]}"
+    return ""
+
+
 def encoded(texts: pa.Array, path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts in one array, each text followed by the end id, and ids per text."""
     codes, distinct, per_text = words(texts)
-    ids, lengths = word_cache(path).expand(codes, distinct.to_pylist(), per_text)
+    ids, lengths = word_cache(path).expand(codes, strings(distinct), per_text)
     return np.insert(ids, np.cumsum(lengths), end_id), lengths + 1
 
 
