@@ -9,6 +9,7 @@ carries and in which frame: plain, negated (a negation shortly before) or report
 import math
 import re
 from collections import defaultdict
+from collections.abc import Iterable
 
 #: Closed word classes of the grammar, in the languages of the corpus and plain English.
 THREATS = "kill murder stab strangle shoot hang burn hurt destroy".split()
@@ -25,7 +26,8 @@ _AT = {c: i for i, c in enumerate(CLASSES)}
 #: Weights before anything is learned: a frame weakens what it holds, a target strengthens it.
 PRIOR = [{"insult": 1.0, "threat": 0.7}[k] * (1.3 if t else 1.0) * {"plain": 1.0, "negated": 0.3, "reported": 0.3}[f]
          for k, t, f in CLASSES]
-_CLAUSE_ENDS = re.compile(r"[.!?;:\n|]")
+CLAUSE_ENDS = ".!?;:\n|"
+_CLAUSE_ENDS = re.compile(f"[{CLAUSE_ENDS}]")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -44,37 +46,38 @@ class Grammar:
         """Weight of the heaviest stem that the word begins with, 0 without one."""
         return max((self.stems.get(word[:n], 0.0) for n in self.lengths if n <= len(word)), default=0.0)
 
-    def clause(self, words: list[str], out: dict[int, float]) -> None:
-        """Run the automaton over a clause and add what it carries to ``out``, by class."""
-        found, reach, targeted, reported = [], 0, False, False
+    def clause(self, words: Iterable[str], out: dict[int, float]) -> None:
+        """Run the automaton over a clause of any length and add what it carries to ``out``, by class."""
+        reach, targeted, reported = 0, False, False
+        found: dict[tuple[str, bool], float] = defaultdict(float)
         for word in words:
             reach = max(0, reach - 1)
             mark = self.marks.get(word)
             weight = self.weight(word)
             if weight or mark == "T":
-                found.append(("insult" if weight else "threat", weight or 1.0, reach > 0))
+                found["insult" if weight else "threat", reach > 0] += weight or 1.0
             elif mark == "G":
                 targeted = True
             elif mark == "N":
                 reach = REACH + 1
             elif mark == "R":
                 reported = True
-        for kind, weight, negated in found:
+        for (kind, negated), weight in found.items():
             frame = "reported" if reported else "negated" if negated else "plain"
             out[_AT[kind, targeted, frame]] += weight
 
     def features(self, text: str) -> list[float]:
-        """Per class, the logarithm of one plus what the text's (lower-cased) clauses carry."""
+        """Per class, the logarithm of one plus what the text's (lower-cased) clauses carry.
+
+        Clauses are read from end mark to end mark, wherever these are; each is read once.
+        """
         out: dict[int, float] = defaultdict(float)
         at, size = 0, len(text)
         for hit in self._hits.finditer(text):
             if hit.start() < at:
                 continue
-            start = max((m.end() for m in _CLAUSE_ENDS.finditer(text, max(at, hit.start() - 400), hit.start())),
-                        default=max(at, hit.start() - 400))
-            end = _CLAUSE_ENDS.search(text, hit.start(), min(size, hit.start() + 400))
-            at = end.end() if end else min(size, hit.start() + 400)
-            while not end and at < size and text[at].isalpha():
-                at += 1
-            self.clause(_WORD.findall(text, start, at), out)
+            start = max(at, 1 + max(text.rfind(mark, at, hit.start()) for mark in CLAUSE_ENDS))
+            end = _CLAUSE_ENDS.search(text, hit.start())
+            at = end.end() if end else size
+            self.clause((m[0] for m in _WORD.finditer(text, start, at)), out)
         return [math.log1p(out.get(i, 0.0)) for i in range(len(CLASSES))]

@@ -90,13 +90,12 @@ class Index:
         at, item, place = np.repeat(at, times), self.item[entry], self.place[entry]
         # stretches at least as long as any passage, so that a passage lies in two that follow each other
         stretch = max(STRETCH, int((self.sizes + self.edits).max()))
-        n_items, n_stretch = len(self.ids), len(points) // stretch + 2
-        counts = np.bincount(at // stretch * n_items + item, minlength=n_stretch * n_items).reshape(n_stretch, n_items)
-        pair = np.zeros_like(counts)
-        pair[:-1] = counts[:-1] + counts[1:]
-        rich = pair >= self.least
-        rich[1:] |= rich[:-1].copy()
-        good = rich[at // stretch, item]
+        # only stretches and items that share a gram are counted, so long texts take no more than their hits
+        n_items = len(self.ids)
+        keys, key, counts = np.unique(at // stretch * n_items + item, return_inverse=True, return_counts=True)
+        with_next = counts + self._counts_at(keys, counts, keys + n_items)
+        with_last = counts + self._counts_at(keys, counts, keys - n_items)
+        good = (np.maximum(with_next, with_last) >= self.least[keys % n_items])[key]
         at, item, place = at[good], item[good], place[good]
         if not len(at):
             return []
@@ -121,6 +120,12 @@ class Index:
                 best[t, i] = min(best.get((t, i), found), found)
         return [(t, i, start, stop, edits) for (t, i), (edits, start, stop) in sorted(best.items())]
 
+    @staticmethod
+    def _counts_at(keys: np.ndarray, counts: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        """The counts of some of the sorted keys, 0 where there is none."""
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        return np.where(keys[at] == wanted, counts[at], 0)
+
     def _align(self, i: int, region: str, budget: int) -> tuple[int, int, int] | None:
         """(edits, start, stop) of the region's passage nearest to the item, if it is within the budget.
 

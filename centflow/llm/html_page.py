@@ -2,13 +2,16 @@
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 _TOKEN = re.compile(
-    r"""[^<]+|<!--.*?(?:-->|\Z)|<(script|style|textarea|title|template|iframe|noscript|svg)\b[^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*>"""
-    r""".*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)([^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*)>|<""", re.S | re.I)
+    r"""[^<]+|<!--.*?(?:-->|\Z)|<(script|style|textarea|title|template|iframe|noscript|svg)\b[^>"']*+(?:(?:"[^"]*+"|'[^']*+')[^>"']*+)*+>"""
+    r""".*?(?:</\1\s*>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][\w:-]*)([^>"']*+(?:(?:"[^"]*+"|'[^']*+')[^>"']*+)*+)>|<""", re.S | re.I)
+#: What decides where a tag ends.
+_MARKS = re.compile("[>\"']")
 ATTRIBUTES = frozenset(("class", "id", "role", "itemprop"))
 _NAMED = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _DIGITS = re.compile(r"\d+")
@@ -55,25 +58,57 @@ def element_key(tag: str, attributes: str) -> str:
 def tokens(page: str) -> Iterator[tuple[str, str, str]]:
     """(kind, name, rest) of every tag ('open', 'close') and piece of text ('text')."""
     for m in _TOKEN.finditer(page):
-        if m[3]:
-            yield ("close" if m[2] else "open", m[3].lower(), m[4])
-        elif not m[1] and not m[0].startswith(("<!", "<?")):
-            yield "text", m[0], ""
+        yield from _token(m)
+        if m[0] == "<" and m.end() < len(page) and (page[m.end()].isalpha() or page[m.end()] in "/!?"):
+            # a tag that does not end; others like it would each be read to the end of the page
+            yield from _tokens_of_broken(page, m.end())
+            return
+
+
+def _token(m: re.Match) -> Iterator[tuple[str, str, str]]:
+    if m[3]:
+        yield ("close" if m[2] else "open", m[3].lower(), m[4])
+    elif not m[1] and not m[0].startswith(("<!", "<?")):
+        yield "text", m[0], ""
+
+
+def _tokens_of_broken(page: str, at: int) -> Iterator[tuple[str, str, str]]:
+    """The same from ``at`` on in linear time: where a tag could end is known before it is read."""
+    marks = [m.start() for m in _MARKS.finditer(page, at)]
+    ends, after = [False] * (len(marks) + 1), {}
+    for i in range(len(marks) - 1, -1, -1):
+        mark = page[marks[i]]
+        ends[i] = mark == ">" or (mark in after and ends[after[mark] + 1])
+        after[mark] = i
+    last, next_mark = page.rfind(">"), 0
+    while at < len(page):
+        if page[at] == "<":
+            while next_mark < len(marks) and marks[next_mark] < at:
+                next_mark += 1
+            special = page.startswith("<!", at) or page.startswith("<?", at)
+            if not (ends[next_mark] or page.startswith("<!--", at) or (special and last > at)):
+                yield "text", "<", ""
+                at += 1
+                continue
+        m = _TOKEN.match(page, at)
+        yield from _token(m)
+        at = m.end()
 
 
 def elements(parts: list[tuple[str, str, str]]) -> list[Element]:
     """All elements; a closing tag ends the last open element of its name, those opened after that stay open."""
     found, stack = [], []
+    opened: Counter[str] = Counter()
     for at, (kind, name, rest) in enumerate(parts):
         if kind == "open" and name not in VOID and not rest.endswith("/"):
             stack.append(Element(element_key(name, rest), name, at))
             found.append(stack[-1])
-        elif kind == "close":
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i].tag == name:
-                    stack[i].stop = at
-                    del stack[i:]
-                    break
+            opened[name] += 1
+        elif kind == "close" and opened[name]:
+            while (last := stack.pop()).tag != name:
+                opened[last.tag] -= 1
+            opened[name] -= 1
+            last.stop = at
     return found
 
 

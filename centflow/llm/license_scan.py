@@ -119,7 +119,9 @@ def scan(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") ->
     # words are bound by a lambda and rows chosen by explode, so that the optimizer cannot repeat the split
     text = F.array(words(F.col(text_column).cast("string")))
     some = F.filter(F.transform(text, found), lambda x: F.size(x["hits"]) > 0)
-    rows = df.select(F.col(id_column).alias("doc_id"), F.explode(some).alias("found")).select("doc_id", "found.*")
+    # positions are those of one text: rows of one id (or of none) are told apart by what they hold
+    own = F.xxhash64(F.col(text_column).cast("string")).alias("own")
+    rows = df.select(F.col(id_column).alias("doc_id"), own, F.explode(some).alias("found")).select("doc_id", "own", "found.*")
     listed = F.col("words")
 
     def starts(hit: Column) -> Column:
@@ -131,16 +133,18 @@ def scan(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") ->
                                lambda j: F.struct(n.alias("n"), (j * step).alias("start")))
         return F.flatten(F.transform(F.element_at(lengths, shingle(hit, listed)), of_length))
 
-    windows = rows.select("doc_id", "words", F.explode(F.array_distinct(F.flatten(F.transform("hits", starts)))).alias("window"))
+    windows = rows.select("doc_id", "own", "words", F.explode(F.array_distinct(F.flatten(F.transform("hits", starts)))).alias("window"))
     cut = F.slice("words", F.col("window.start") + 1, F.col("window.n") + F.element_at(steps, F.col("window.n")) - 1)
-    windows = windows.select("doc_id", F.col("window.n").alias("n"), F.col("window.start").alias("start"), cut.alias("words"))
+    windows = windows.select("doc_id", "own", F.col("window.n").alias("n"), F.col("window.start").alias("start"), cut.alias("words"))
     windows = windows.withColumn("held", F.array_distinct(F.transform(positions(listed), lambda i: shingle(i, listed))))
     windows = windows.withColumn("keys", bands(F.col("held"))).drop("words")
     # as many rows as TEMPLATES
     met = windows.join(F.broadcast(known), "n").where(
         F.arrays_overlap("keys", "bands") & (F.size(F.array_except("telling", "held")) == 0))
     met = met.withColumn("containment", F.size(F.array_intersect("held", "shingles")) / F.size("shingles"))
-    most = F.max("containment").over(Window.partitionBy("doc_id", "n").orderBy("start").rangeBetween(-NEAR, NEAR))
+    # equal rows find the same and count once
+    met = met.select("doc_id", "own", "license", "number", "n", "start", "containment").distinct()
+    most = F.max("containment").over(Window.partitionBy("doc_id", "own", "n").orderBy("start").rangeBetween(-NEAR, NEAR))
     met = met.where(F.col("containment") >= CONTAINED).withColumn("most", most).where("containment = most")
     best = F.max(F.struct("containment", (-F.col("start")).alias("back")))
     return (met.groupBy("doc_id", "license")

@@ -363,14 +363,17 @@ def keep(df: DataFrame, rule: Rule, id_column: str = "doc_id", text_column: str
     chosen = members.groupBy("component").agg(F.min(order).alias("best"), F.count("*").alias("size")).where("size > 1")
     decided = written(members.join(chosen, "component").groupBy(*_ROW_KEY)
                       .agg(F.count("*").alias("times"), F.bool_or(order == F.col("best")).alias("stays")), "decided")
-    keyed = df.select("*", F.struct(*_row_key(id_column, text_column)).alias("_key"))
+    key = "_key"
+    while key in df.columns:
+        key += "_"
+    keyed = df.select("*", F.struct(*_row_key(id_column, text_column)).alias(key))
     gone, again = decided.where("not stays or times > 1"), decided.where("stays and times > 1")
     # an aggregate with a map-side part, as one text may have any number of copies
-    firsts = (keyed.join(again, _same_key(again), "left_semi").groupBy("_key")
+    firsts = (keyed.join(again, _same_key(again, key), "left_semi").groupBy(key)
               .agg(F.first(F.struct(*(keyed[f"`{c}`"] for c in df.columns))).alias("_row")).select("_row.*"))
-    return keyed.join(gone, _same_key(gone), "left_anti").drop("_key").unionByName(firsts)
+    return keyed.join(gone, _same_key(gone, key), "left_anti").drop(key).unionByName(firsts)
 
 
-def _same_key(rows: DataFrame) -> Column:
-    """Whether a row's ``_key`` is that of the given rows."""
-    return reduce(Column.__and__, (F.col(f"_key.{c}").eqNullSafe(rows[c]) for c in _ROW_KEY))
+def _same_key(rows: DataFrame, key: str) -> Column:
+    """Whether the key in a row's column ``key`` is that of the given rows."""
+    return reduce(Column.__and__, (F.col(f"{key}.{c}").eqNullSafe(rows[c]) for c in _ROW_KEY))

@@ -93,6 +93,18 @@ def test_grammar_frames():
     assert not any(grammar.features("skill and videos"))
 
 
+def test_clauses_are_read_to_their_ends():
+    """However far target, negation or report are from the insult."""
+    grammar = Grammar({"idiot": 1.0})
+    for gap in (0, 100, 5_000):
+        far = "word " * gap
+        for text, cls in ((f"{far}idiot", ("insult", False, "plain")), (f"you {far}idiot", ("insult", True, "plain")),
+                          (f"idiot {far}you", ("insult", True, "plain")), (f"she wrote {far}idiot", ("insult", True, "reported")),
+                          (f"idiot {far}reported", ("insult", False, "reported")), (f"you. {far}idiot", ("insult", False, "plain"))):
+            found = grammar.features(text)
+            assert [c for c, v in zip(CLASSES, found) if v] == [cls]
+
+
 def test_toxicity_held_out(spark):
     found = queries.op3_toxicity(spark, LARGER).join(table(spark, LARGER, "labels"), "doc_id").where("held_out").collect()
     hits = sum(r["toxic"] == r["predicted"] for r in found)

@@ -4,6 +4,7 @@ import collections
 import html
 import random
 import re
+import time
 
 import corpus_pipeline
 import pytest
@@ -52,6 +53,18 @@ def test_license_scan_is_native_and_takes_edge_cases(edge, frame):
         (1, "All-Rights-Reserved", 1), (None, "All-Rights-Reserved", 1)}
 
 
+def test_licenses_of_rows_with_one_id(frame):
+    """Positions of different texts are not compared, whatever their ids; equal rows are one."""
+    notice = {n: t for n, t in license_scan.TEMPLATES}
+    gpl3, gpl2 = notice["GPL-3.0"], notice["GPL-2.0"].replace(" as ", " ", 1)
+    apart = {(r.doc_id, r.license) for r in license_scan.scan(frame([(1, gpl3), (2, gpl2)])).collect()}
+    assert {name for _, name in apart} == {"GPL-3.0", "GPL-2.0"}
+    for i in (7, None):
+        found = license_scan.scan(frame([(i, gpl3), (i, gpl2)] + [(i, gpl3)] * 30)).collect()
+        assert {(r.doc_id, r.license) for r in found} == {(i, name) for _, name in apart}
+        assert all(r.n_windows == n for r in found for n in [x.n_windows for x in license_scan.scan(frame([(1, notice[r.license] if r.license == "GPL-3.0" else gpl2)])).collect() if x.license == r.license])
+
+
 def test_licenses_of_like_words(frame):
     notice = "the GNU {} Public License as published by the Free Software Foundation; either version {} of the License, or later"
     cases = {"GPL-1.0": ("General", "1"), "GPL-2.0": ("General", "2"), "GPL-3.0": ("General", "3"), "LGPL-2.0": ("Library General", "2"),
@@ -139,6 +152,13 @@ def test_rows_are_kept_by_their_own_texts(frame):
     assert full == {(1, "a"): 1, (7, "b"): 1, (8, "c"): 1, (None, "d"): 1, (9, "e"): 1, (5, "f"): 1}
 
 
+def test_kept_rows_may_have_a_column_named_like_the_key(frame):
+    docs = frame([(1, "one two three four five six"), (2, "one two three four five six"), (3, "other words")])
+    named = docs.withColumnsRenamed({"label": "_key", "words": "_key_"})
+    kept = near_dup.keep(named, near_dup.Rule(shingle=5, percent=80))
+    assert kept.columns == named.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3]
+
+
 def test_bands_and_tests_miss_little():
     rule = near_dup.Rule(3, 85)
     assert (1 - 0.85 ** rule.rows) ** rule.bands <= rule.miss
@@ -287,3 +307,30 @@ def test_pipeline_takes_edge_cases(spark, edge):
         docs = stage(spark, docs, SF)
         assert set(docs.columns) == set(edge.columns)
     assert {r["doc_id"] for r in docs.collect()} <= {6}
+
+
+@pytest.mark.parametrize("bit", ["<a t=\"'", "<!", "<script \"", "<a '", "<![", "<p class='x\">"])
+def test_broken_pages_are_read_in_linear_time(bit):
+    """A megabyte of tags that never end: no part is read again and again, and no character is lost."""
+    page = "<article><p>Body.</p></article>" + bit * (1_000_000 // len(bit))
+    start = time.perf_counter()
+    parts = list(html_page.tokens(page))
+    html_page.elements(parts)
+    assert time.perf_counter() - start < 20
+    assert parts[:6] == list(html_page.tokens("<article><p>Body.</p></article>"))[:6]
+
+
+def test_broken_tokens_equal_the_pattern():
+    """The linear form finds the tokens that the pattern finds place by place."""
+    rng = random.Random(4)
+    bits = ['<a t="', '"', "'", ">", "<", "text ", "<!", "<!-- x", "-->", "<script>", "</script>", '<p class="x">', "</p>", " b=", "<?", "/"]
+    for _ in range(3000):
+        page = "".join(rng.choice(bits) for _ in range(rng.randint(1, 14)))
+        plain = [t for m in html_page._TOKEN.finditer(page) for t in html_page._token(m)]
+        assert list(html_page.tokens(page)) == plain
+
+
+def test_a_page_of_many_open_elements(spark):
+    page = "<article>" + "<a>" * 50_000 + "</b>" * 50_000 + "text</article>"
+    rows = spark.createDataFrame([(1, "http://h/1", page), (2, None, '<p t="' * 30_000)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_template.extract(rows).collect()}[1] == "text"
