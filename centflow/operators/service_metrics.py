@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 from centflow.operators.ordered import in_order, running_sum
 from centflow.operators.skew import spread_join
 
+#: Values that a level of a latency sketch keeps.
+SKETCH_K = 1_024
+
 
 def error_rate(log: DataFrame, size: str = "5 minutes", threshold: float = 0.01) -> DataFrame:
     rate = F.avg(F.col("is_error").cast("int"))
@@ -57,6 +60,33 @@ def latency_quantiles(
     )
 
 
+def latency_sketches(log: DataFrame, size: str = "1 minute", k: int = SKETCH_K) -> DataFrame:
+    """One mergeable sketch of the latencies per window: (window_start, requests, sketch binary).
+
+    A KLL sketch keeps a few thousand values at most, whatever it has seen: the rank of a quantile it gives is off by
+    less than 1 % of the rows with the default ``k``, and by nothing up to ``k`` rows. Sketches of short windows are kept
+    and rolled up to any longer one without the log.
+    """
+    known = log.where(F.col("latency").isNotNull())
+    return known.groupBy(F.window("ts", size)["start"].alias("window_start")).agg(
+        F.count("*").alias("requests"), F.kll_sketch_agg_double(F.col("latency").cast("double"), k).alias("sketch"))
+
+
+def rolled_up(sketches: DataFrame, size: str) -> DataFrame:
+    """The sketches of longer windows, which the shorter ones must divide."""
+    return sketches.groupBy(F.window("window_start", size)["start"].alias("window_start")).agg(
+        F.sum("requests").alias("requests"), F.kll_merge_agg_double("sketch").alias("sketch"))
+
+
+def sketch_quantiles(sketches: DataFrame, quantiles: dict[str, float] | None = None, threshold: float = 0.2) -> DataFrame:
+    """A value of the log near each quantile, and whether the highest is above the threshold."""
+    quantiles = quantiles or {"p50": 0.5, "p99": 0.99}
+    highest = max(quantiles, key=quantiles.get)
+    return sketches.select(
+        "window_start", "requests", *(F.kll_sketch_get_quantile_double("sketch", F.lit(q)).alias(n) for n, q in quantiles.items())
+    ).withColumn("breach", F.col(highest) > threshold)
+
+
 def request_rate(log: DataFrame, size_seconds: int = 60) -> DataFrame:
     """Requests per second in each tumbling window."""
     w = F.window("ts", f"{size_seconds} seconds")

@@ -300,6 +300,9 @@ rows_of AS (
 SELECT table_name, kind, count(*) AS row_count FROM rows_of GROUP BY 1, 2"""
 
 
+_PERFORMANCE = _merchants(
+    f"SELECT f.*, b.debit_amount_cents, b.credit_amount_cents FROM ({_FACT}) f LEFT JOIN ({_BALANCED}) b ON f.transaction_id = b.transaction_id", "amount_cents")
+
 _SQL = {
     "stream_source": "SELECT * FROM {payment_events}",
     "state_log_scan": "SELECT * FROM {payment_state_log} WHERE created_at >= TIMESTAMP '1996-01-01' AND created_at <= TIMESTAMP '1999-06-30'",
@@ -341,6 +344,7 @@ FROM {ledger_entries} GROUP BY 1""",
     "warehouse_export": f"SELECT transaction_id, discrepancy_type, diff_cents, merchant_id, run_date FROM ({_ALL}) x WHERE run_date = DATE '1997-02-13'",
     "processor_window": """SELECT id, amount, currency, created, merchant_id FROM {processor_intents}
 WHERE status = 'succeeded' AND created >= TIMESTAMP '1997-02-13 00:00:00' AND created <= TIMESTAMP '1997-02-13 23:59:59.999999'""",
+    "marts_incremental": _PERFORMANCE,
     "materialize": " UNION ALL ".join(f"SELECT '{n}' AS model, count(*) AS row_count FROM ({q}) x" for n, q in _MODELS.items()),
     "extract_nested": f"SELECT stripe_event_id, seq, amount_cents, currency, stripe_customer_id, merchant_id FROM ({_EXTRACT}) e",
     "validate_events": f"SELECT stripe_event_id, seq, failure_reason, failure_detail FROM ({_CHECKED}) c",
@@ -397,8 +401,7 @@ FROM {payment_events} p LEFT JOIN {stored_features} f ON p.event_id = f.event_id
   SELECT 1 FROM {ledger_loaded} t WHERE t.transaction_id = n.transaction_id AND t.entry_type = n.entry_type)""",
     "fraud_metrics": _fraud(_FACT),
     "hourly_payment_volume": _volume(_FACT),
-    "merchant_performance": _merchants(
-        f"SELECT f.*, b.debit_amount_cents, b.credit_amount_cents FROM ({_FACT}) f LEFT JOIN ({_BALANCED}) b ON f.transaction_id = b.transaction_id", "amount_cents"),
+    "merchant_performance": _PERFORMANCE,
     "reconciliation_summary": _SUMMARY,
     "fact_ledger_balanced": _BALANCED,
     "recon_duplicates": _DUPLICATES,
@@ -492,6 +495,9 @@ WHERE debits <> 1 OR credits <> 1""",
     "error_rate_5m": _error_rate(_FIVE, 0.01),
     "latency_quantiles_5m": _quantiles(_FIVE),
     "latency_quantiles_1d": _quantiles("date_trunc('day', ts)::TIMESTAMP"),
+    "latency_sketch_5m": f"""
+SELECT {_FIVE} AS window_start, count(latency) AS requests, round(quantile_disc(latency, 0.5), 6) AS p50, round(quantile_disc(latency, 0.99), 6) AS p99,
+  quantile_disc(latency, 0.99) > 0.2 AS breach FROM {{request_log}} WHERE latency IS NOT NULL GROUP BY 1""",
     "request_rate_1m": "SELECT date_trunc('minute', ts)::TIMESTAMP AS window_start, round(count(*) / 60, 6) AS requests_per_second FROM {request_log} GROUP BY 1",
     "request_total": """SELECT minute, requests, sum(requests) OVER (ORDER BY minute)::BIGINT AS total_requests
 FROM (SELECT date_trunc('minute', ts)::TIMESTAMP AS minute, count(*) AS requests FROM {request_log} GROUP BY 1) m""",

@@ -12,7 +12,7 @@ from centflow import schemas as sc
 from centflow.functions.scalar import date_range, enrich, utc_day
 from centflow.operators import features, intake, lifecycle, marts, model, quality, recon, reports, service_metrics
 from centflow.operators import validate as rules
-from centflow.plans import reconciliation, scoring, warehouse
+from centflow.plans import incremental, reconciliation, scoring, warehouse
 from centflow.session import configure, scratch_path, written
 from centflow.sources import key_index, tables, topics
 from centflow.sources.testviews import VIEWS, needs, view
@@ -304,6 +304,16 @@ def _materialize(v: Views) -> DataFrame:
     return reduce(DataFrame.unionByName, counts)
 
 
+def _marts_incremental(v: Views) -> DataFrame:
+    """Merchant performance after three refreshes, each with a third of the log and ledger rows of all times."""
+    folder = scratch_path(v.spark, "incremental")
+    log, ledger = written(v.payment_state_log, "log"), written(v.ledger_entries, "ledger")
+    for third in range(3):
+        rows = [df.where(F.pmod(F.xxhash64("id", "created_at"), F.lit(3)) == third) for df in (log, ledger)]
+        incremental.refresh(v.spark, folder, *rows, buckets=8)
+    return rounded(incremental.read_marts(v.spark, folder)["merchant_performance"], "avg_transaction_amount_cents")
+
+
 def _dq_tables(v: Views) -> dict[str, DataFrame]:
     return {
         "payment_state_log": v.payment_state_log, "ledger_entries": v.ledger_tampered,
@@ -415,6 +425,7 @@ _QUERIES: dict[str, Callable[[Views], DataFrame]] = {
     "warehouse_export": _warehouse_export,
     "processor_window": lambda v: tables.succeeded_intents(v.processor_intents, DAY),
     "materialize": _materialize,
+    "marts_incremental": _marts_incremental,
     # projections, filters, validation
     "extract_nested": lambda v: rules.extract_payment(v.webhook_received).select(
         "stripe_event_id", "seq", "amount_cents", "currency", "stripe_customer_id", "merchant_id"),
@@ -544,6 +555,8 @@ _QUERIES: dict[str, Callable[[Views], DataFrame]] = {
     "error_rate_5m": lambda v: rounded(service_metrics.error_rate(v.request_log), "error_rate"),
     "latency_quantiles_5m": lambda v: rounded(service_metrics.latency_quantiles(v.request_log), "p50", "p99"),
     "latency_quantiles_1d": lambda v: rounded(service_metrics.latency_quantiles(v.request_log, "1 day"), "p50", "p99"),
+    "latency_sketch_5m": lambda v: rounded(service_metrics.sketch_quantiles(service_metrics.rolled_up(
+        service_metrics.latency_sketches(v.request_log), "5 minutes")), "p50", "p99"),
     "request_rate_1m": lambda v: rounded(service_metrics.request_rate(v.request_log), "requests_per_second"),
     "request_total": lambda v: service_metrics.request_total(v.request_log),
     "alert_state": lambda v: service_metrics.alert_state(service_metrics.error_rate(v.request_log, "1 hour", 0.15), 3600),
