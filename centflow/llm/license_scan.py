@@ -142,8 +142,6 @@ def scan(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") ->
     met = windows.join(F.broadcast(known), "n").where(
         F.arrays_overlap("keys", "bands") & (F.size(F.array_except("telling", "held")) == 0))
     met = met.withColumn("containment", F.size(F.array_intersect("held", "shingles")) / F.size("shingles"))
-    # equal rows find the same and count once
-    met = met.select("doc_id", "own", "license", "number", "n", "start", "containment").distinct()
     most = F.max("containment").over(Window.partitionBy("doc_id", "own", "n").orderBy("start").rangeBetween(-NEAR, NEAR))
     met = met.where(F.col("containment") >= CONTAINED).withColumn("most", most).where("containment = most")
     best = F.max(F.struct("containment", (-F.col("start")).alias("back")))
