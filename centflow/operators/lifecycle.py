@@ -1,5 +1,7 @@
 """From validated events to ledger rows: state transitions, scoring, routing and booking."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from centflow import schemas as sc
@@ -108,15 +110,28 @@ def idempotent_rows(new: DataFrame, target: DataFrame, keys: list[str]) -> DataF
     return spread_join(new, target.select(*keys).distinct(), keys, "left_anti")
 
 
-def stage_counters(scored: DataFrame, dead: DataFrame) -> DataFrame:
-    """One row with the counts the services report: scored, flagged, booked, queued, misses, dead letters."""
+def scored_counts() -> dict[str, Column]:
+    """What the scoring service reports of scored events, as aggregates."""
     flagged = F.col("risk_score") >= sc.HIGH_RISK
-    marks = scored.select(
-        F.lit(True).alias("scored"),
-        F.col("is_high_risk").alias("flagged"),
-        (~flagged).alias("ledger_published"),
-        (flagged & F.col("manual_review")).alias("review_queued"),
-        (~F.col("features_available")).alias("feature_misses"),
-    )
-    both = marks.unionByName(dead.select(F.lit(True).alias("dead_letters")), allowMissingColumns=True)
-    return both.agg(*[F.count_if(F.col(c)).alias(c) for c in both.columns])
+    return {
+        "scored": F.count("*"), "flagged": F.count_if(F.col("is_high_risk")), "ledger_published": F.count_if(~flagged),
+        "review_queued": F.count_if(flagged & F.col("manual_review")),
+        "feature_misses": F.count_if(~F.col("features_available")),
+    }
+
+
+def settled_counts() -> dict[str, Column]:
+    """What the ledger service reports of its entries: one DEBIT each makes a payment settled."""
+    return {"settled": F.count_if(F.col("entry_type") == "DEBIT")}
+
+
+def dead_counts() -> dict[str, Column]:
+    return {"dead_letters": F.count("*")}
+
+
+def stage_counters(scored: DataFrame, dead: DataFrame, ledger: DataFrame) -> DataFrame:
+    """One row with the counts the services report: scored, flagged, booked, queued, misses, dead letters, settled."""
+    parts = ((scored, scored_counts()), (dead, dead_counts()), (ledger, settled_counts()))
+    one = [df.agg(*(c.alias(n) for n, c in counts.items())) for df, counts in parts]
+    both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), one)
+    return both.agg(*(F.max(c).alias(c) for c in both.columns))

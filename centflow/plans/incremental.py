@@ -35,9 +35,9 @@ def _with_old(tables: Tables, name: str, parts: set[str], new: DataFrame) -> Dat
     return new if old is None else old.unionByName(new)
 
 
-def _day(column: str = "state_updated_at") -> Column:
+def _day(period: str, column: str = "state_updated_at") -> Column:
     """The partition of a row; rows without a time have one of their own."""
-    return F.coalesce(F.date_format(column, "yyyy-MM-dd"), F.lit("none"))
+    return F.coalesce(F.date_format(column, period), F.lit("none"))
 
 
 def _staged(latest: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -48,10 +48,12 @@ def _staged(latest: DataFrame, ledger: DataFrame) -> DataFrame:
     return staged.join(per_tx, "transaction_id", "left")
 
 
-def refresh(spark: SparkSession, folder: str, log: DataFrame, ledger: DataFrame, buckets: int = 64) -> set[str]:
+def refresh(spark: SparkSession, folder: str, log: DataFrame, ledger: DataFrame, buckets: int = 64,
+            period: str = "yyyy-MM-dd") -> set[str]:
     """Take new rows of the state log and the ledger into the tables; returns the days that were computed again.
 
-    ``buckets`` is fixed by the first refresh of a folder. A refresh that broke off before its end left no trace and is
+    ``buckets`` and ``period``, the format of a day or of a longer partition where days hold little, are fixed by the
+    first refresh of a folder. A refresh that broke off before its end left no trace and is
     done again with the same rows.
     """
     tables = Tables.open(spark, folder)
@@ -76,9 +78,9 @@ def refresh(spark: SparkSession, folder: str, log: DataFrame, ledger: DataFrame,
 
     own, ours = latest.join(touched, "transaction_id", "left_semi"), entries.join(touched, "transaction_id", "left_semi")
     staged = written(_staged(own, ours), "staged")
-    days = _values(own, _day("created_at"))
+    days = _values(own, _day(period, "created_at"))
     if before is not None:
-        days |= _values(before.join(touched, "transaction_id", "left_semi"), _day("created_at"))
+        days |= _values(before.join(touched, "transaction_id", "left_semi"), _day(period, "created_at"))
     stay = tables.read("staged", days)
     if stay is not None:
         staged = stay.join(touched, "transaction_id", "left_anti").unionByName(staged)
@@ -86,23 +88,23 @@ def refresh(spark: SparkSession, folder: str, log: DataFrame, ledger: DataFrame,
     tables.replace("latest", latest, home, homes)
     tables.replace("ledger", entries, home, homes)
     tables.replace("merchants", merchants, F.lit(str(tables.number + 1)), set())
-    tables.replace("staged", staged, _day(), days)
+    tables.replace("staged", staged, _day(period), days)
     counted = days
     present = tables.read("merchants_by_day")
     if known is not None and present is not None:
         counted = days | _values(present.join(merchants, "merchant_id", "left_semi"), F.col("day"))
-    _count(tables, counted)
+    _count(tables, counted, period)
     tables.commit()
     return counted
 
 
-def _count(tables: Tables, days: set[str]) -> None:
+def _count(tables: Tables, days: set[str], period: str) -> None:
     """The partial aggregates of some days."""
     staged = tables.read("staged", days)
     fact = written(marts.fact_transactions(staged, tables.read("merchants")), "fact")
-    day = _day()
+    day = _day(period)
     tables.replace("merchants_by_day", staged.select("merchant_id", day.alias("day")).distinct(), F.col("day"), days)
-    tables.replace("fraud", marts.fraud_metrics(fact), _day("metric_date"), days)
+    tables.replace("fraud", marts.fraud_metrics(fact), _day(period, "metric_date"), days)
     hourly = fact.where((F.col("current_state") == "SETTLED") & F.col("settled_at").isNotNull()).groupBy(
         day.alias("day"), F.date_trunc("hour", "settled_at").alias("payment_hour")).agg(
         F.count("*").alias("n"), F.count("amount_cents").alias("amounts"), F.sum("amount_cents").alias("total"),

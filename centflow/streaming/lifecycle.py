@@ -2,7 +2,7 @@
 
 from functools import partial
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from centflow import schemas as sc
@@ -21,6 +21,12 @@ def _store(df: DataFrame, tables: str, name: str, batch_id: int, *partition_by:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _observed(df: DataFrame, counts: dict[str, Column]) -> tuple[DataFrame, Observation]:
+    """``df`` whose next write also counts, without another pass."""
+    seen = Observation()
+    return df.observe(seen, *(c.alias(n) for n, c in counts.items())), seen
+
+
 def process_batch(batch: DataFrame, batch_id: int, score: Scorer, tables: str, features: str | None) -> None:
     """Validate, score, route and book one micro-batch of deduplicated, rate-checked deliveries.
 
@@ -41,7 +47,8 @@ def process_batch(batch: DataFrame, batch_id: int, score: Scorer, tables: str, f
         known = spark.createDataFrame([], "event_id string, " + ", ".join(f"{c} double" for c in sc.FEATURE_ORDER))
     else:
         known = read_features(spark, features)
-    scored = _store(score_events(first, known, score), tables, "scored_events", batch_id)
+    scoring, scored_seen = _observed(score_events(first, known, score), lifecycle.scored_counts())
+    scored = _store(scoring, tables, "scored_events", batch_id)
     ways = lifecycle.route(scored)
 
     _store(to_topic(ways["alert"], sc.TOPIC_ALERT, "event_id"), tables, "alerts", batch_id)
@@ -52,11 +59,13 @@ def process_batch(batch: DataFrame, batch_id: int, score: Scorer, tables: str, f
     booked = rules.validate_ledger(as_payload)
     good = booked.where(F.col("failure_reason").isNull())
     late = rules.dead_letters(booked, "event_id", sc.TOPIC_LEDGER, F.col("received_at"))
-    _store(dead.unionByName(late), tables, "dlq", batch_id)
+    letters, dead_seen = _observed(dead.unionByName(late), lifecycle.dead_counts())
+    _store(letters, tables, "dlq", batch_id)
     entries = lifecycle.double_entry(good).withColumns({
         "id": F.xxhash64("transaction_id", "entry_type"), "created_at": F.current_timestamp(),
     })
-    ledger = _store(entries.select(*sc.LEDGER_ENTRIES.fieldNames()), tables, "ledger_entries", batch_id)
+    booking, settled_seen = _observed(entries.select(*sc.LEDGER_ENTRIES.fieldNames()), lifecycle.settled_counts())
+    ledger = _store(booking, tables, "ledger_entries", batch_id)
 
     _store(
         ways["review"].select(
@@ -79,6 +88,8 @@ def process_batch(batch: DataFrame, batch_id: int, score: Scorer, tables: str, f
         outcomes.withColumn("outcome", F.coalesce("failed", "final_state", F.lit(sc.VALIDATED)))
     ).withColumn("id", F.xxhash64("event_id", "to_state", "created_at"))
     _store(log.select(*sc.STATE_LOG.fieldNames()), tables, "payment_state_log", batch_id, "to_state")
+    counters = scored_seen.get | dead_seen.get | settled_seen.get
+    _store(spark.createDataFrame([counters], ", ".join(f"{n} long" for n in counters)), tables, "stage_counters", batch_id)
 
 
 def checked_deliveries(received: DataFrame, limit: int = sc.RATE_LIMIT_PER_MINUTE,

@@ -24,25 +24,25 @@ def stored(spark, path):
 
 @pytest.fixture
 def history(spark, many_blocks, folder):
-    """A table of five appends, each of several files."""
+    """A table of three appends, each of several files."""
     path = f"{folder}/table"
-    for n in range(5):
+    for n in range(3):
         ki.idempotent_append(frame(spark, rows_of(1000 * n, 1000 * n + 1000)), path, KEYS)
     return path
 
 
 def test_reads_only_files_that_may_hold_a_key(spark, history):
     files = ki.table_files(spark, history)
-    assert len(files) == 20
-    done = ki.idempotent_append(frame(spark, rows_of(5000, 5010)), history, KEYS)
-    assert done.files == 20 and done.read == []          # later keys: no append's range meets them
+    assert len(files) == 12
+    done = ki.idempotent_append(frame(spark, rows_of(3000, 3010)), history, KEYS)
+    assert done.files == 12 and done.read == []          # later keys: no append's range meets them
     done = ki.idempotent_append(frame(spark, [("t002500", "DEBIT", 1), ("t002500x", "DEBIT", 2)]), history, KEYS)
     assert len(done.read) == 1
-    assert stored(spark, history) == sorted(rows_of(0, 5010) + [("t002500x", "DEBIT", 2)], key=repr)
+    assert stored(spark, history) == sorted(rows_of(0, 3010) + [("t002500x", "DEBIT", 2)], key=repr)
 
 
 def test_the_file_read_is_the_one_that_holds_the_key(spark, history):
-    for n in random.Random(2).sample(range(5000), 6):
+    for n in random.Random(2).sample(range(3000), 3):
         done = ki.idempotent_append(frame(spark, [(f"t{n:06d}", "CREDIT", 7)]), history, KEYS)
         holding = spark.read.parquet(history).where(f"tx = 't{n:06d}' and kind = 'CREDIT'").select("_metadata.file_path").collect()
         assert {ki._plain(r[0]) for r in holding} <= set(done.read) and len(holding) == 1 and len(done.read) <= 2
@@ -52,14 +52,14 @@ def test_replay_and_overlap(spark, history):
     before = stored(spark, history)
     ki.idempotent_append(frame(spark, rows_of(900, 2100)), history, KEYS)
     assert stored(spark, history) == before
-    ki.idempotent_append(frame(spark, rows_of(4990, 5005)), history, KEYS)
-    assert stored(spark, history) == sorted(rows_of(0, 5005), key=repr)
+    ki.idempotent_append(frame(spark, rows_of(2990, 3005)), history, KEYS)
+    assert stored(spark, history) == sorted(rows_of(0, 3005), key=repr)
 
 
 def test_filters_reject_most_other_keys(spark, history):
     """Keys inside all ranges that no file holds."""
     files = ki.table_files(spark, history)
-    others = frame(spark, [(f"t{n:06d}y", "DEBIT", 0) for n in range(0, 5000, 100)])
+    others = frame(spark, [(f"t{n:06d}y", "DEBIT", 0) for n in range(0, 3000, 60)])
     assert len(ki.may_hold(others, history, KEYS, files)) <= 4
 
 
