@@ -317,7 +317,7 @@ def test_broken_pages_are_read_in_linear_time(bit):
     parts = list(html_page.tokens(page))
     html_page.elements(parts)
     assert time.perf_counter() - start < 20
-    assert parts[:6] == list(html_page.tokens("<article><p>Body.</p></article>"))[:6]
+    assert parts[:5] == list(html_page.tokens("<article><p>Body.</p></article>"))
 
 
 def test_broken_tokens_equal_the_pattern():
