@@ -471,10 +471,14 @@ FROM accepted a JOIN {webhook_received} w ON w.event_type = a.event_type AND w.r
     "stream_zscore": f"SELECT event_id, round(z, 4) AS amount_zscore FROM ({_RUNNING_Z}) r",
     "stream_zscore_carried": f"SELECT event_id, round(z, 4) AS amount_zscore FROM ({_RUNNING_Z}) r",
     "stream_device_switch": _DEVICE,
+    "stream_device_switch_carried": _DEVICE,
     "stream_dedup": "SELECT DISTINCT stripe_event_id, event_type FROM {webhook_received}",
     "stream_dedup_late": "SELECT DISTINCT stripe_event_id, event_type FROM {webhook_received}",
     "stream_rate_limit": _rate_limit(2, "day", "event_id, position, limited"),
     "stream_rate_limit_late": f"""
+SELECT merchant_id, date_trunc('day', received_at)::TIMESTAMP AS bucket, count(*) AS events, count(position) AS counted,
+  count(*) FILTER (WHERE limited) AS limited_events FROM ({_rate_limit(2, "day")}) x GROUP BY 1, 2""",
+    "stream_rate_limit_carried": f"""
 SELECT merchant_id, date_trunc('day', received_at)::TIMESTAMP AS bucket, count(*) AS events, count(position) AS counted,
   count(*) FILTER (WHERE limited) AS limited_events FROM ({_rate_limit(2, "day")}) x GROUP BY 1, 2""",
     "stream_lifecycle": _LIFECYCLE,

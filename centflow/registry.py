@@ -338,11 +338,24 @@ def _stream_zscore(v: Views) -> DataFrame:
     return rounded(df.select("event_id", "amount_zscore"), "amount_zscore", digits=4)
 
 
+def _carried(v: Views, sink: Callable, stream: DataFrame | None = None, **options) -> DataFrame:
+    """What a sink with carried state leaves of the events."""
+    state, out, checkpoint = (scratch_path(v.spark, n) for n in ("carried-state", "carried-out", "carried-checkpoint"))
+    stream = v.stream("payment_events") if stream is None else stream
+    _run(v.spark, {"carried": (stream, "append", sink(state, out, **options))}, checkpoint)
+    return v.spark.read.parquet(out)
+
+
 def _stream_zscore_carried(v: Views) -> DataFrame:
-    state, out, checkpoint = (scratch_path(v.spark, n) for n in ("z-state", "z-out", "z-checkpoint"))
-    job = {"carried": (v.stream("payment_events"), "append", carried.zscore_sink(state, out))}
-    _run(v.spark, job, checkpoint)
-    return rounded(v.spark.read.parquet(out).select("event_id", "amount_zscore"), "amount_zscore", digits=4)
+    return rounded(_carried(v, carried.zscore_sink).select("event_id", "amount_zscore"), "amount_zscore", digits=4)
+
+
+def _per_day(df: DataFrame) -> DataFrame:
+    """Per merchant and day, which do not depend on the order of arrival: events, counted and limited ones."""
+    day = F.date_trunc("day", "received_at").alias("bucket")
+    return df.groupBy("merchant_id", day).agg(
+        F.count("*").alias("events"), F.count("position").alias("counted"), F.count_if("limited").alias("limited_events")
+    )
 
 
 def _stream_device(v: Views) -> DataFrame:
@@ -360,12 +373,7 @@ def _stream_rate_limit(v: Views) -> DataFrame:
 
 
 def _stream_rate_limit_late(v: Views) -> DataFrame:
-    """Per merchant and day, which do not depend on the order of arrival: events, counted and limited ones."""
-    df = drained(stateful.stream_rate_limit(v.late_stream("payment_events"), 2, 86_400))
-    day = F.date_trunc("day", "received_at").alias("bucket")
-    return df.groupBy("merchant_id", day).agg(
-        F.count("*").alias("events"), F.count("position").alias("counted"), F.count_if("limited").alias("limited_events")
-    )
+    return _per_day(drained(stateful.stream_rate_limit(v.late_stream("payment_events"), 2, 86_400)))
 
 
 def _stage_counters(v: Views) -> DataFrame:
@@ -557,10 +565,13 @@ _QUERIES: dict[str, Callable[[Views], DataFrame]] = {
     "stream_zscore": _stream_zscore,
     "stream_zscore_carried": _stream_zscore_carried,
     "stream_device_switch": _stream_device,
+    "stream_device_switch_carried": lambda v: _carried(v, carried.device_sink).select("event_id", "device_switch_flag"),
     "stream_dedup": lambda v: _stream_dedup(v, v.stream("webhook_received")),
     "stream_dedup_late": lambda v: _stream_dedup(v, v.late_stream("webhook_received")),
     "stream_rate_limit": _stream_rate_limit,
     "stream_rate_limit_late": _stream_rate_limit_late,
+    "stream_rate_limit_carried": lambda v: _per_day(_carried(
+        v, carried.rate_limit_sink, v.late_stream("payment_events"), limit=2, bucket_seconds=86_400)),
     "stream_lifecycle": lambda v: _stream_lifecycle(v, v.stream("webhook_received")),
     "stream_lifecycle_late": lambda v: _stream_lifecycle(v, v.late_stream("webhook_received")),
     # model data

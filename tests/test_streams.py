@@ -204,3 +204,46 @@ def test_first_of_an_event_id(feed):
     assert [(i, (t - T0).seconds, f) for i, t, f in got] == [
         ("e001", 0, True), ("e001", 5, False), ("e001", 9, False), ("e002", 0, True), ("e002", 1, False),
         ("e003", 0, False), ("e003", 1, True), ("e003", 2, False)]
+
+
+def _carried(spark, stream, sink, **options):
+    state, out, checkpoint = (scratch_path(spark, n) for n in ("state", "out", "checkpoint"))
+    jobs = {"carried": (stream, "append", sink(state, out, **options))}
+    windows.wait_all(spark, windows.start_all(spark, jobs, checkpoint, once=True))
+    return spark.read.parquet(out)
+
+
+@pytest.mark.parametrize("compact_every", [2, 100])
+def test_carried_devices_and_limits_equal_the_batch(spark, feed, many_blocks, compact_every):
+    # a customer and a merchant with most of the rows, an event without a customer, and payments that do not count
+    rows = [event(i, f"m{i % 7 % 3}", ["c0", "c0", "", "c1"][i % 4], seconds=i * 20,
+                  kind="payment_intent.payment_failed" if i % 9 == 0 else sc.SUCCEEDED) for i in range(100)]
+    frame, parts = spark.createDataFrame(rows, EVENT), [rows[i:i + 20] for i in range(0, 100, 20)]
+    want = {r.event_id: r.device_switch_flag for r in batch.device_switch(frame).collect()}
+    got = _carried(spark, feed(*parts, name="devices"), carried.device_sink, compact_every=compact_every)
+    assert {r.event_id: r.device_switch_flag for r in got.collect()} == want and 0 < sum(want.values()) < 100
+    want = {r.event_id: (r.position, r.limited) for r in intake.rate_limit(frame, 5, "hour").collect()}
+    got = _carried(spark, feed(*parts, name="limits"), carried.rate_limit_sink, limit=5, bucket_seconds=3600, compact_every=compact_every)
+    assert {r.event_id: (r.position, r.limited) for r in got.collect()} == want
+    assert got.columns == [*frame.columns, "position", "limited", "batch_id"]
+
+
+def test_a_carried_hot_key_spans_tasks_and_batches_rerun(spark, folder, many_blocks):
+    rows = [event(i, "hot" if i % 3 else f"m{i}", seconds=i) for i in range(300)]
+    frame = spark.createDataFrame(rows, EVENT)
+    sink = carried.rate_limit_sink(f"{folder}/state", f"{folder}/out", limit=50, bucket_seconds=86_400)
+    for part, n in ((0, 0), (1, 1), (1, 1), (2, 2), (2, 2)):
+        sink(spark.createDataFrame(rows[part * 100:part * 100 + 100], EVENT), n)
+    want = {r.event_id: (r.position, r.limited) for r in intake.rate_limit(frame, 50, "day").collect()}
+    assert {r.event_id: (r.position, r.limited) for r in spark.read.parquet(f"{folder}/out").collect()} == want
+    blocks = carried.ordered_blocks(frame, ["merchant_id"], ["received_at", "event_id"])
+    assert blocks.where("merchant_id = 'hot'").select("_block").distinct().count() > 1
+
+
+def test_carried_limits_forget_old_buckets_only(spark, folder):
+    sink = carried.rate_limit_sink(f"{folder}/state", f"{folder}/out", limit=1, bucket_seconds=60, keep_seconds=3600, compact_every=1)
+    for n, seconds in enumerate((0, 1800, 1801, 9000, 9001)):
+        sink(spark.createDataFrame([event(n, seconds=seconds)], EVENT), n)
+    assert spark.read.parquet(f"{folder}/state/snapshots/upto=5").count() == 1
+    got = {r.event_id: r.position for r in spark.read.parquet(f"{folder}/out").collect()}
+    assert got == {"e000": 1, "e001": 1, "e002": 2, "e003": 1, "e004": 2}
