@@ -1,5 +1,7 @@
 """Feature vectors, training and scoring with Spark ML."""
 
+from functools import reduce
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
@@ -60,6 +62,29 @@ def load(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
+def _tree(node) -> Column:
+    """A node of a fitted tree and all below it as one expression; not a number goes right, as in the model."""
+    if node.subtreeDepth() == 0:
+        return F.lit(float(node.prediction()))
+    split = node.split()
+    below = F.col(sc.FEATURE_ORDER[split.featureIndex()]).cast("double") <= F.lit(float(split.threshold()))
+    return F.when(below, _tree(node.leftChild())).otherwise(_tree(node.rightChild()))
+
+
+def compiled(model: PipelineModel) -> Column:
+    """The risk score of a fitted model over the feature columns, without vectors and without the model.
+
+    All features are continuous, so a tree is a nest of comparisons; trees are summed with their weights. A row with
+    a null feature gets null, where the model itself fails.
+    """
+    boosted = model.stages[-1]
+    trees = [_tree(t.rootNode()) * F.lit(float(w)) for t, w in zip(boosted._java_obj.trees(), boosted.treeWeights)]
+    # the sum over an array keeps the trees out of one generated method, whose size is limited
+    margin = F.aggregate(F.array(*trees), F.lit(0.0), lambda total, tree: total + tree)
+    known = reduce(Column.__and__, (F.col(c).isNotNull() for c in sc.FEATURE_ORDER))
+    return F.when(known, 1 / (1 + F.exp(-2 * margin)))
+
+
 def score(model: PipelineModel, df: DataFrame) -> DataFrame:
     """Add ``risk_score`` and its flags; events without features go to manual review."""
     raw = model.transform(df).withColumn("risk_score", vector_to_array("probability")[1])

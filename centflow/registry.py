@@ -10,13 +10,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from centflow import schemas as sc
 from centflow.functions.scalar import date_range, enrich, utc_day
-from centflow.operators import features, intake, lifecycle, marts, model, quality, recon, reports, service_metrics
+from centflow.operators import digests, features, intake, lifecycle, marts, model, quality, recon, reports, service_metrics
 from centflow.operators import validate as rules
 from centflow.plans import incremental, reconciliation, scoring, warehouse
 from centflow.session import configure, scratch_path, written
-from centflow.sources import key_index, tables, topics
+from centflow.sources import bucketed, key_index, tables, topics
 from centflow.sources.testviews import VIEWS, needs, view
-from centflow.streaming import carried, features as stream_features, lifecycle as stream_lifecycle, stateful, windows
+from centflow.streaming import alerts, carried, features as stream_features, lifecycle as stream_lifecycle, stateful, windows
 
 DAY = date(1997, 2, 13)
 FROM, TO = date(1996, 1, 1), date(1999, 6, 30)
@@ -155,13 +155,24 @@ def _labelled(v: Views) -> DataFrame:
     return written(features.live_features(v.payment_events, v.merchant_risk).join(label, "event_id"), "labelled")
 
 
+_fitted: dict[tuple[str, str], str] = {}
+
+
+def _risk_model(v: Views, labelled: DataFrame):
+    """The model of a folder's training events, fitted once per application, saved, and loaded."""
+    known = v.spark.sparkContext.applicationId, v.sf_dir
+    if known not in _fitted:
+        path = scratch_path(v.spark, "risk-model")
+        model.save(model.train(model.split(labelled)[0]), path)
+        _fitted[known] = path
+    return model.load(_fitted[known])
+
+
 def _train_risk_model(v: Views) -> DataFrame:
     """Which events train the model; it is fitted on them, saved, and loaded to score the others."""
     labelled = _labelled(v)
     train, held_out = model.split(labelled)
-    path = scratch_path(v.spark, "risk-model")
-    model.save(model.train(train), path)
-    scored = model.score(model.load(path), held_out).select("event_id", "risk_score")
+    scored = model.score(_risk_model(v, labelled), held_out).select("event_id", "risk_score")
     sane = F.when(F.col("risk_score").between(0, 1), "held out").otherwise("bad score").alias("part")
     return train.select("event_id", F.lit("training").alias("part")).union(scored.select("event_id", sane))
 
@@ -188,15 +199,56 @@ def _csv_seed(v: Views) -> DataFrame:
 
 def _risk_score(v: Views) -> DataFrame:
     labelled = _labelled(v)
-    train, _ = model.split(labelled)
-    scored = model.score(model.train(train), labelled)
+    scored = model.score(_risk_model(v, labelled), labelled)
     return scored.select("event_id", "risk_score", "is_high_risk", "manual_review")
 
 
+def _risk_score_compiled(v: Views) -> DataFrame:
+    """Every event, and whether the score compiled to a column equals that of the model."""
+    labelled = _labelled(v)
+    fitted = _risk_model(v, labelled)
+    both = model.score(fitted, labelled).withColumn("_compiled", model.compiled(fitted))
+    return both.select("event_id", (F.abs(F.col("risk_score") - F.col("_compiled")) <= 1e-9).alias("equal"))
+
+
 def _model_auc(v: Views) -> DataFrame:
-    train, held_out = model.split(_labelled(v))
-    fitted = model.train(train)
-    return v.spark.createDataFrame([(model.auc(fitted, held_out),)], "auc double")
+    labelled = _labelled(v)
+    held_out = model.split(labelled)[1]
+    return v.spark.createDataFrame([(model.auc(_risk_model(v, labelled), held_out),)], "auc double")
+
+
+def _recon_bucketed(v: Views) -> DataFrame:
+    """The comparison over tables stored by transaction and day."""
+    names = []
+    for df, id_column, ts in ((v.processor_intents, "id", "created"), (v.ledger_entries, "transaction_id", "created_at")):
+        path = scratch_path(v.spark, "bucketed")
+        names.append("recon_" + path.rsplit("-", 1)[1])
+        bucketed.save_by_transaction(df, names[-1], id_column, ts, 8, path)
+    return recon.recon_compare(*map(v.spark.table, names), id_col="transaction_id")
+
+
+def _append_only_digests(v: Views) -> DataFrame:
+    """The audit against a tree of digests that was stored with the old snapshot."""
+    path = scratch_path(v.spark, "digests")
+    digests.write_tree(digests.digest_tree(v.ledger_entries, "transaction_id", "created_at", 8), path)
+    stored = digests.read_tree(v.spark, path)
+    return digests.append_only_audit(v.ledger_entries, v.ledger_tampered, "transaction_id", "created_at", stored, ranges=8)
+
+
+def _stream_alert_state(v: Views, parts: int = 4) -> DataFrame:
+    """The log replayed in parts by time; a last request of a far time lets the watermark pass all others."""
+    log, path = v.request_log, scratch_path(v.spark, "requests")
+    span = log.agg(F.unix_seconds(F.min("ts")).alias("first"), F.unix_seconds(F.max("ts")).alias("last")).first()
+    if span.first is not None:
+        step = (span.last - span.first) // parts + 1
+        part = F.floor((F.unix_seconds("ts") - span.first) / step)
+        for i in range(parts):
+            log.where(part == i).coalesce(1).write.mode("append").parquet(path)
+    far = F.lit("2100-01-01 00:00:00").cast("timestamp")
+    v.spark.range(1).select(far.alias("ts"), F.lit(False).alias("is_error")).coalesce(1).write.mode("append").parquet(path)
+    stream = v.spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    found = drained(alerts.stream_alerts(stream, size_seconds=3600, threshold=0.15, late="1 second"))
+    return found.where("breach IS NOT NULL").select("window_start", "breach", "firing")
 
 
 def _feature_vector(v: Views) -> DataFrame:
@@ -490,6 +542,7 @@ _QUERIES: dict[str, Callable[[Views], DataFrame]] = {
     "fact_transactions": lambda v: v.fact,
     "recon_compare": lambda v: recon.recon_compare(*_recon_args(v)),
     "recon_compare_day": lambda v: recon.recon_compare(*_recon_args(v), DAY, DAY),
+    "recon_compare_bucketed": _recon_bucketed,
     "merchant_risk_lookup": lambda v: features.with_merchant_risk(v.payment_events, v.merchant_risk).select(
         "event_id", "merchant_id", "merchant_risk_score"),
     "feature_lookup": lambda v: lifecycle.lookup_features(v.payment_events, v.stored_features).select(
@@ -580,6 +633,7 @@ _QUERIES: dict[str, Callable[[Views], DataFrame]] = {
     "score_auc": _score_auc,
     "model_auc": _model_auc,
     "risk_score": _risk_score,
+    "risk_score_compiled": _risk_score_compiled,
     "score_fallback": lambda v: v.scored.select("event_id", "risk_score", "is_high_risk", "manual_review"),
     "reconstruct_features": lambda v: _features_out(features.reconstruct_features(
         v.payment_state_log, v.ledger_entries, v.merchant_risk)),
@@ -594,6 +648,7 @@ _QUERIES: dict[str, Callable[[Views], DataFrame]] = {
     "dq_accepted_values": lambda v: _dq(v, "accepted_values"),
     "assert_ledger_balanced": lambda v: quality.assert_ledger_balanced(v.balanced),
     "append_only_audit": lambda v: quality.append_only_audit(v.ledger_entries, v.ledger_tampered),
+    "append_only_digests": _append_only_digests,
     "state_machine_audit": lambda v: quality.state_machine_audit(v.state_log_gaps),
     "ledger_pair_audit": lambda v: quality.ledger_pair_audit(v.payment_state_log, v.ledger_entries),
     # service metrics
@@ -605,6 +660,7 @@ _QUERIES: dict[str, Callable[[Views], DataFrame]] = {
     "request_rate_1m": lambda v: rounded(service_metrics.request_rate(v.request_log), "requests_per_second"),
     "request_total": lambda v: service_metrics.request_total(v.request_log),
     "alert_state": lambda v: service_metrics.alert_state(service_metrics.error_rate(v.request_log, "1 hour", 0.15), 3600),
+    "stream_alert_state": _stream_alert_state,
 }
 
 
