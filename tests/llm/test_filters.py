@@ -2,6 +2,7 @@
 
 import base64
 import collections
+import math
 import random
 import re
 import zlib
@@ -12,7 +13,7 @@ import pytest
 
 from centflow.llm import decontaminate, language_id, quality_rules, queries, toxicity
 from centflow.llm.batches import table
-from centflow.llm.clause_grammar import CLASSES, Grammar
+from centflow.llm.clause_grammar import CLASSES, MARKS, Grammar, machines
 
 SF, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.1"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -105,6 +106,36 @@ def test_clauses_are_read_to_their_ends():
             assert [c for c, v in zip(CLASSES, found) if v] == [cls]
 
 
+def _tapes(machine, tape, weight):
+    """All (written tape, weight) of a machine that reads a tape of (mark, weight of the word)."""
+    paths = [(machine.start, [], weight)]
+    for mark, w in tape:
+        paths = [(to, [*written, (mark2, w)], v * w if takes else v) for state, written, v in paths
+                 for mark2, takes, to in machine.arcs[state].get(mark, ())]
+    return [(written + [(m, 1.0) for m in machine.ends[state]], v) for state, written, v in paths if state in machine.ends]
+
+
+def test_composed_grammar_equals_its_transducers_one_after_the_other():
+    stems = {"idio": 4.0, "moro": 2.5}
+    words = {"insult": ["idiots", "moron"], "threat": ["kill"], "target": ["you"], "negation": ["not"], "report": ["said"], "word": ["it", "so"]}
+    assert set(words) == set(MARKS)
+    grammar, draw, seen = Grammar(stems), random.Random(5), set()
+    for _ in range(400):
+        clause = [draw.choice(words[draw.choice(MARKS)]) for _ in range(draw.randrange(10))]
+        tapes = [([grammar.mark(w) for w in clause], 1.0)]
+        for machine in machines():
+            tapes = [(t, v) for tape, weight in tapes for t, v in _tapes(machine, tape, weight)]
+        want = dict.fromkeys(CLASSES, 0.0)
+        for tape, weight in tapes:
+            for mark, _ in tape[len(clause):]:
+                if mark in want:
+                    want[mark] += weight
+        found = dict(zip(CLASSES, map(math.expm1, grammar.features(" ".join(clause)))))
+        assert found == pytest.approx(want)
+        seen |= {c for c in want if want[c]}
+    assert seen == set(CLASSES)
+
+
 def test_toxicity_held_out(spark):
     found = queries.op3_toxicity(spark, LARGER).join(table(spark, LARGER, "labels"), "doc_id").where("held_out").collect()
     hits = sum(r["toxic"] == r["predicted"] for r in found)
