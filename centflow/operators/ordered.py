@@ -27,9 +27,13 @@ class Part:
     order: list[str]
 
     def placed(self) -> DataFrame:
-        """One task per block, whatever the hashes of the block numbers; windows inside need no other shuffle."""
-        partitions = int(self.rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        return self.rows.repartitionById(partitions, F.col(BLOCK))
+        """One task per block, whatever the hashes of the block numbers; windows inside need no other shuffle.
+
+        There are no tasks beyond the blocks: where a later join turns out to be a broadcast, adaptive execution
+        reads runs of tasks at once, and tasks without rows would leave all blocks in the first run.
+        """
+        last = self.rows.agg(F.max(BLOCK)).first()[0]
+        return self.rows.repartitionById(1 if last is None else last + 1, F.col(BLOCK))
 
     def inside(self, order: list[str] | None = None):
         """The window over the stretch of a key in a block."""
@@ -182,16 +186,26 @@ def running_moments(part: Part, value: str) -> DataFrame:
 def key_moments(part: Part, value: str, rows: DataFrame | None = None) -> DataFrame:
     """Mean and sample deviation over all rows of the key: columns ``_mean`` and ``_std``.
 
-    They come from an aggregate with a map-side part and one row per key, joined back by key.
+    A key inside one block gets them there. Those of a key over several blocks come from an aggregate with a
+    map-side part; a block begins or ends at most two such keys, so they are as few as the blocks and are broadcast.
     """
-    stats = part.rows.groupBy(*[F.col(k).alias(f"_k_{k}") for k in part.keys]).agg(
-        F.avg(value).alias("_mean"), F.stddev_samp(value).alias("_std")
-    )
+    v = F.col(value)
+    moments = {"_mean": F.avg(v), "_std": F.stddev_samp(v)}
+    first, last = F.min(BLOCK), F.max(BLOCK)
+    across = part.rows.groupBy(*[F.col(k).alias(f"_k_{k}") for k in part.keys]).agg(
+        *[c.alias(f"_k{n}") for n, c in moments.items()], (first < last).alias("_across")
+    ).where("_across")
     match = F.lit(True)
     for k in part.keys:
         match = match & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    whole = part.inside().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rows = part.placed() if rows is None else rows
-    return rows.join(stats, match, "left").drop(*[f"_k_{k}" for k in part.keys])
+    return (
+        rows.join(F.broadcast(across), match, "left")
+        .withColumns({f"_h{n}": c.over(whole) for n, c in moments.items()})
+        .withColumns({n: F.when(F.col("_across"), F.col(f"_k{n}")).otherwise(F.col(f"_h{n}")) for n in moments})
+        .drop(*across.columns, *[f"_h{n}" for n in moments])
+    )
 
 
 def previous(part: Part, columns: dict[str, str]) -> DataFrame:

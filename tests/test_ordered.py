@@ -49,6 +49,41 @@ def test_hot_key_spans_blocks(df, many_blocks):
     assert blocks.where("merchant_id = 'hot'").select("_block").distinct().count() > 1
 
 
+def test_key_moments(df, events, layout):
+    blocks = ordered.ordered_blocks(df, ["merchant_id"], ["received_at", "event_id"])
+    part = ordered.Part(blocks, ["merchant_id"], ["received_at", "event_id"])
+    got = {r.event_id: r for r in ordered.key_moments(part, "amount_cents").collect()}
+    assert len(got) == len(events) and set(got["e900"].asDict()) == {*blocks.columns, "_mean", "_std"}
+    for e in events:
+        values = [o[3] for o in events if o[1] == e[1]]
+        assert got[e[0]]._mean == pytest.approx(statistics.mean(values), abs=1e-9)
+        assert got[e[0]]._std == pytest.approx(statistics.stdev(values), abs=1e-9)
+
+
+def test_few_blocks_stay_spread_over_tasks(spark, df):
+    """A handful of blocks among many shuffle partitions, and joins that turn out to be broadcasts."""
+    settings = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+                "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4096",
+                "spark.sql.adaptive.coalescePartitions.minPartitionSize": "4096"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        blocks = ordered.ordered_blocks(df, ["merchant_id"], ["received_at", "event_id"])
+        count = blocks.select("_block").distinct().count()
+        assert 3 < count < 20
+        part = ordered.Part(blocks, ["merchant_id"], ["received_at", "event_id"])
+        assert part.placed().rdd.getNumPartitions() == count
+        risk = spark.createDataFrame([("hot", 0.5)], "merchant_id string, score double").groupBy("merchant_id").agg(
+            F.max("score").alias("score"))
+        for rows in (ordered.key_moments(part, "amount_cents"), features.with_merchant_risk(part.placed(), risk)):
+            tasks = rows.groupBy(F.spark_partition_id()).count().collect()
+            assert sum(r["count"] for r in tasks) == 602 and max(r["count"] for r in tasks) < 400
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 @pytest.mark.parametrize("size", [1, 60, 300])
 def test_trailing_counts(df, events, layout, size):
     got = {r.event_id: r.n for r in features.tx_velocity(df, {"n": size}).collect()}
