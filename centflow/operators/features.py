@@ -6,6 +6,7 @@ from centflow import schemas as sc
 from centflow.functions.scalar import date_range, enrich
 from centflow.operators.ordered import Part, in_order, key_moments, previous, running_moments, running_sum_with_peers
 from centflow.operators.skew import spread_join
+from centflow.session import written
 
 
 VELOCITIES = {"tx_velocity_1m": 60, "tx_velocity_5m": 300}
@@ -139,11 +140,11 @@ def with_merchant_risk(
 def live_features(events: DataFrame, risk: DataFrame) -> DataFrame:
     """All eight features for every event, in event-time order.
 
-    The device flag comes first: where blocks are needed, their bounds are found by sampling, which
-    evaluates the input of the second ordering twice, so that input should be the cheap one.
+    The device flag comes first and is stored: the bounds of the second ordering's blocks are found by
+    sampling, which would compute the flag again.
     """
     df = events.select("event_id", "merchant_id", "stripe_customer_id", "amount_cents", "received_at")
-    df = velocity_and_zscore(device_switch(df))
+    df = velocity_and_zscore(written(device_switch(df).drop("stripe_customer_id"), "devices"))
     df = enrich(with_merchant_risk(df, risk))
     numbers = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in sc.FEATURE_ORDER]
     return df.select("event_id", "merchant_id", "received_at", *numbers)

@@ -196,3 +196,18 @@ def test_fan_out_left_equals_plain_join(spark):
     many = spark.range(300).selectExpr("CASE WHEN id < 200 THEN 'hot' ELSE concat('k', id % 3) END k", "id v")
     got, want = skew.fan_out_left(one, many, "k"), one.join(many, "k", "left")
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+
+
+def test_live_features_compute_the_device_flag_once(spark, df, events, many_blocks, monkeypatch):
+    seen, plain = spark.sparkContext.accumulator(0), features.device_switch
+
+    def counted(flag):
+        seen.add(1)
+        return flag
+
+    count = F.udf(counted, "int").asNondeterministic()
+    monkeypatch.setattr(features, "device_switch", lambda rows: plain(rows).withColumn(
+        "device_switch_flag", count("device_switch_flag")))
+    risk = spark.createDataFrame([("hot", 0.5)], "merchant_id string, score double")
+    assert len(features.live_features(df, risk).collect()) == len(events)
+    assert seen.value == len(events)
