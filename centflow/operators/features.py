@@ -4,7 +4,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from centflow import schemas as sc
 from centflow.functions.scalar import date_range, enrich
-from centflow.operators.ordered import Part, in_order, key_moments, previous, running_moments, running_sum_with_peers
+from centflow.operators.ordered import (
+    Part, in_order, key_moments, moment_totals, peer_totals, previous, running_moments, running_sum_with_peers,
+)
 from centflow.operators.skew import spread_join
 from centflow.session import written
 
@@ -19,29 +21,34 @@ def _with_exits(df: DataFrame, sizes: dict[str, int], key: str, ts: str, tie: st
     any time is then a running sum of entries minus exits: linear, whatever a window holds. Exit
     rows carry only the key, their time and the id that keeps equal times apart.
     """
-    at = F.unix_micros(ts)
     known = F.col(ts).isNotNull()
-    entry = F.struct(
-        at.alias("_at"), F.lit(True).alias("_row"),
-        *[F.when(known, 1).otherwise(0).alias(f"_d_{n}") for n in sizes],
-    )
-    exits = [
-        F.when(known, F.struct(
-            (at + F.lit(seconds * 1_000_000 + 1)).alias("_at"), F.lit(False).alias("_row"),
-            *[F.lit(-1 if n == name else 0).alias(f"_d_{n}") for n in sizes],
-        ))
-        for name, seconds in sizes.items()
-    ]
-    steps = df.withColumn("_step", F.explode(F.array_compact(F.array(entry, *exits))))
-    kept = {key, tie}
+    # which step a row makes: arrays of plain numbers, so that no struct is built for each
+    steps = df.withColumn("_step", F.explode(
+        F.when(known, F.array(*map(F.lit, range(len(sizes) + 1)))).otherwise(F.array(F.lit(0)))
+    ))
+    later = F.lit(0)
+    for i, seconds in enumerate(sizes.values(), 1):
+        later = F.when(F.col("_step") == i, F.lit(seconds * 1_000_000 + 1)).otherwise(later)
+    row, kept = F.col("_step") == 0, {key, tie}
     return steps.select(
-        *[F.col(c) if c in kept else F.when(F.col("_step._row"), F.col(c)).alias(c) for c in df.columns], "_step.*"
+        *[F.col(c) if c in kept else F.when(row, F.col(c)).alias(c) for c in df.columns],
+        (F.unix_micros(ts) + later).alias("_at"), row.alias("_row"),
+        *[
+            F.when(row & known, 1).when(F.col("_step") == i, -1).otherwise(0).alias(f"_d_{n}")
+            for i, n in enumerate(sizes, 1)
+        ],
     )
 
 
-def _trailing(part: Part, sizes: dict[str, int], rows: DataFrame | None = None) -> DataFrame:
+def _steps(sizes: dict[str, int]) -> dict[str, Column]:
+    return {n: F.col(f"_d_{n}") for n in sizes}
+
+
+def _trailing(
+    part: Part, sizes: dict[str, int], rows: DataFrame | None = None, totals: DataFrame | None = None
+) -> DataFrame:
     """Trailing counts on rows with exits; drops the exit rows."""
-    counted = running_sum_with_peers(part, "_at", {n: F.col(f"_d_{n}") for n in sizes}, rows)
+    counted = running_sum_with_peers(part, "_at", _steps(sizes), rows, totals)
     return counted.where("_row").withColumns({
         n: F.when(F.col("_at").isNotNull(), F.col(n)) for n in sizes
     })
@@ -79,7 +86,8 @@ def velocity_and_zscore(df: DataFrame) -> DataFrame:
     key, ts, tie, value = "merchant_id", "received_at", "event_id", "amount_cents"
 
     def both(part: Part) -> DataFrame:
-        rows = _trailing(part, VELOCITIES, running_moments(part, value))
+        totals = part.per_block(*moment_totals(value), *peer_totals("_at", _steps(VELOCITIES)))
+        rows = _trailing(part, VELOCITIES, running_moments(part, value, totals), totals)
         return rows.withColumn("amount_zscore", _running_z(value, 3)).select(*df.columns, *VELOCITIES, "amount_zscore")
 
     steps = _with_exits(df, VELOCITIES, key, ts, tie)

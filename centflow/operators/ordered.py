@@ -35,6 +35,10 @@ class Part:
         last = self.rows.agg(F.max(BLOCK)).first()[0]
         return self.rows.repartitionById(1 if last is None else last + 1, F.col(BLOCK))
 
+    def per_block(self, *values: Column) -> DataFrame:
+        """Aggregates of each key's stretch in each block, in one pass and stored: one row per (key, block)."""
+        return written(self.rows.groupBy(*self.keys, BLOCK).agg(*values), "per-block")
+
     def inside(self, order: list[str] | None = None):
         """The window over the stretch of a key in a block."""
         return Window.partitionBy(*self.keys, BLOCK).orderBy(*(order or self.order))
@@ -90,23 +94,26 @@ def running_sum(part: Part, values: dict[str, Column]) -> DataFrame:
     )
 
 
+def peer_totals(at: str, values: dict[str, Column]) -> list[Column]:
+    """What ``running_sum_with_peers`` has to know of each block."""
+    return [*[F.sum(v).alias(f"_t_{o}") for o, v in values.items()], F.min(at).alias("_first"), F.max(at).alias("_last")]
+
+
 def running_sum_with_peers(
-    part: Part, at: str, values: dict[str, Column], rows: DataFrame | None = None
+    part: Part, at: str, values: dict[str, Column], rows: DataFrame | None = None, totals: DataFrame | None = None
 ) -> DataFrame:
     """Like ``running_sum`` along ``at``, but rows with the same ``at`` all get the sum over them all.
 
     A group of equal ``at`` that lies across blocks also needs what follows in the next blocks. There
     is at most one such group per block border, so these sums are as few as the blocks. ``rows`` are
-    the part's rows with more columns, if some were already added.
+    the part's rows with more columns, if some were already added; ``totals`` holds ``peer_totals`` by block.
     """
     zero = F.lit(0)
     upto = part.inside([at]).rangeBetween(Window.unboundedPreceding, 0)
     here = {o: F.coalesce(F.sum(v).over(upto), zero) for o, v in values.items()}
     keys, blocks = part.keys, part.rows
     sums = {f"_t_{o}": F.sum(v) for o, v in values.items()}
-    totals = blocks.groupBy(*keys, BLOCK).agg(
-        *[v.alias(n) for n, v in sums.items()], F.min(at).alias("_first"), F.max(at).alias("_last")
-    )
+    totals = part.per_block(*peer_totals(at, values)) if totals is None else totals
     along = Window.partitionBy(*keys).orderBy(BLOCK)
     across = (
         totals.withColumn("_next", F.lead("_first").over(along)).where("_last = _next")
@@ -139,11 +146,17 @@ def running_sum_with_peers(
     )
 
 
-def running_moments(part: Part, value: str) -> DataFrame:
+def moment_totals(value: str) -> list[Column]:
+    """What ``running_moments`` has to know of each block."""
+    v = F.col(value).cast("double")
+    return [F.count(v).alias("bn"), F.avg(v).alias("bmean"), (F.var_pop(v) * F.count(v)).alias("bm2")]
+
+
+def running_moments(part: Part, value: str, totals: DataFrame | None = None) -> DataFrame:
     """Running count, mean and sum of squared deviations: columns ``_n``, ``_mean``, ``_m2``.
 
     Moments of earlier blocks are merged around the key's first block mean, not around 0, so that
-    large amounts with a small spread keep their digits.
+    large amounts with a small spread keep their digits. ``totals`` holds ``moment_totals`` by block.
     """
     v, zero = F.col(value).cast("double"), F.lit(0.0)
     upto = part.inside().rowsBetween(Window.unboundedPreceding, 0)
@@ -153,9 +166,8 @@ def running_moments(part: Part, value: str) -> DataFrame:
         "_m2": F.coalesce(F.var_pop(v).over(upto), zero) * F.count(v).over(upto),
     }
     keys = part.keys
-    stats = part.rows.groupBy(*keys, BLOCK).agg(
-        F.count(v).alias("bn"), F.avg(v).alias("bmean"), (F.var_pop(v) * F.count(v)).alias("bm2")
-    )
+    stats = part.per_block(*moment_totals(value)) if totals is None else totals
+    stats = stats.select(*keys, BLOCK, "bn", "bmean", "bm2")
     anchor = F.first("bmean", ignorenulls=True).over(
         Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(
             Window.unboundedPreceding, Window.unboundedFollowing

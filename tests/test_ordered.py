@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from centflow.operators import features, intake, ordered, skew
+from centflow.session import written
 
 START = datetime(2024, 3, 1)
 
@@ -211,3 +212,30 @@ def test_live_features_compute_the_device_flag_once(spark, df, events, many_bloc
     risk = spark.createDataFrame([("hot", 0.5)], "merchant_id string, score double")
     assert len(features.live_features(df, risk).collect()) == len(events)
     assert seen.value == len(events)
+
+
+def test_exits_are_made_without_structs(df, events):
+    """One step number per row, no lambda over an array of structs, which runs outside generated code."""
+    steps = features._with_exits(df, {"a": 60, "b": 300}, "merchant_id", "received_at", "event_id")
+    plan = steps._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan and "struct" not in plan
+    got = {(r.event_id, r._at): r for r in steps.collect()}
+    assert steps.count() == len(got) == 3 * len(events)
+    first = min(r._at for r in got.values() if r.event_id == "e001")
+    entry, out = got["e001", first], got["e001", first + 300_000_001]
+    assert (entry._row, entry._d_a, entry._d_b, entry.amount_cents) == (True, 1, 1, events[1][3])
+    assert (out._row, out._d_a, out._d_b, out.amount_cents, out.merchant_id) == (False, 0, -1, None, events[1][1])
+
+
+def test_blocks_are_summed_up_once(df, events, many_blocks, monkeypatch):
+    """Moments and trailing counts of one ordering share one stored row per key and block."""
+    stored = []
+
+    def kept(rows, name):
+        stored.append((name, written(rows, name)))
+        return stored[-1][1]
+
+    monkeypatch.setattr(ordered, "written", kept)
+    assert features.velocity_and_zscore(df).count() == len(events)
+    assert [name for name, _ in stored] == ["blocks", "per-block"]
+    assert stored[1][1].count() == stored[0][1].select("merchant_id", "_block").distinct().count()
